@@ -48,9 +48,26 @@ def evidence_text(pct_negative: Column) -> Column:
     return F.concat(pct_negative.cast("string"), F.lit("% negative"))
 
 
+def round_one(number: Column) -> Column:
+    """One digit behind the point: ten times the number, to the nearest whole, ties to even."""
+    return F.rint(number * 10) / 10
+
+
 def one_decimal(number: Column) -> Column:
-    """The number with one digit behind the point, ties to the even digit of the exact value."""
-    return F.format_string("%.1f", F.bround(number, 1))
+    """Text of a non-negative number with one digit behind the point, rounded from its exact value.
+
+    8x + 2x splits 10x into a double and the part lost in adding, so that 0.35 (a little less than
+    its text) goes down and only true ties go to the even digit.
+    """
+    tenths = number * 8 + number * 2
+    lost = number * 2 - (tenths - number * 8)
+    whole = F.floor(tenths)
+    rest = tenths - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    digits = whole + up.cast("bigint")
+    return F.concat(
+        F.floor(digits / 10).cast("bigint").cast("string"), F.lit("."), (digits % 10).cast("string")
+    )
 
 
 def mentions(text: Column, words: Sequence[str]) -> Column:

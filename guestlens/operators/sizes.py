@@ -1,0 +1,17 @@
+"""Broadcasts behind a check of the size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SMALL_ROWS = 100_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Has the frame at most ``rows`` rows?  Stops counting there."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Ask for a broadcast only of a small frame; a large one is left to a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df
