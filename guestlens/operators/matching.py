@@ -109,7 +109,7 @@ class SpecMatcher:
         self.reviews, self.fields, self.spec_key = reviews, tuple(fields), spec_key
         self.specs = specs.select(spec_key, _mask(fields).alias("_mask"),
                                   *[f.accepted.alias(f"_{f.name}") for f in fields])
-        self.masks = sorted(r["_mask"] for r in self.specs.select("_mask").distinct().collect())
+        self.masks = sorted(r["_mask"] for r in self.specs.select("_mask").distinct().collect()) or [0]
         used = 0
         for mask in self.masks:
             used |= mask

@@ -37,7 +37,8 @@ def read_store(base: DataFrame, path: str, key: str = "review_uid") -> DataFrame
     """All stored results; an empty frame before the first run."""
     spark = base.sparkSession
     schema = store_schema(base.schema[key].dataType, key)
-    return read_if_present(spark, path, schema) or spark.createDataFrame([], schema)
+    stored = read_if_present(spark, path, schema)
+    return spark.createDataFrame([], schema) if stored is None else stored
 
 
 def latest_results(store: DataFrame, key: str = "review_uid") -> DataFrame:
