@@ -5,13 +5,14 @@ it restricts is its mask.  Under one mask, a review meets a specification exactl
 the masked fields equal one of the accepted combinations.  So both sides get a text signature of
 (mask, masked values) and are joined on it: hash join, no nested loop, any number of specifications.
 
-Reviews are first counted into cells, one row per combination of the fields that some specification
-restricts.  Only cells, not reviews, are repeated once per mask in use.
+A review gets one signature per mask in use.  Signatures that no specification has fall out at once;
+the others are counted (partial sums before the shuffle) or cut to their first reviews before they
+meet the specifications, so pairs of review and specification are never listed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guestlens.functions.calendar import months_of_season, visit_month
 from guestlens.operators.insights import weighted_mean
 from guestlens.operators.ranking import first_k_per_group
+from guestlens.operators.sizes import SMALL_ROWS
 
 SIGNATURE = "signature"
 
@@ -28,13 +30,15 @@ class Field:
     """A field that specifications may restrict.
 
     ``of_review`` is the review's value, or its array of values if ``many``.
-    ``accepted`` is the array of accepted values of a specification; null leaves the field open.
+    ``accepted`` is what a specification accepts: an array of values if ``several``, else one value;
+    null leaves the field open.
     """
 
     name: str
     of_review: Column
     accepted: Column
     many: bool = False
+    several: bool = False
 
 
 def _lowered(topics: Column) -> Column:
@@ -42,11 +46,11 @@ def _lowered(topics: Column) -> Column:
 
 
 def _text(name: str) -> Column:
-    return F.when(F.length(name) > 0, F.array(F.col(name)))
+    return F.when(F.length(name) > 0, F.col(name))
 
 
 def _any_case(name: str) -> Column:
-    return F.when(F.length(name) > 0, F.array(F.lower(F.col(name))))
+    return F.when(F.length(name) > 0, F.lower(name))
 
 
 def _accepted_months() -> Column:
@@ -62,14 +66,15 @@ def question_fields() -> tuple[Field, ...]:
         Field("branch", F.lower("Branch"), _any_case("branch")),
         Field("location", F.lower("Reviewer_Location"), _any_case("reviewer_location")),
         Field("year_month", F.col("Year_Month"), _text("year_month")),
-        Field("month", visit_month(F.col("Year_Month")), _accepted_months()),
+        Field("month", visit_month(F.col("Year_Month")), _accepted_months(), several=True),
         Field("sentiment", F.col("sentiment_label"), _text("sentiment_label")),
-        Field("complaint", F.col("is_complaint"), F.when(F.col("is_complaint").isNotNull(), F.array("is_complaint"))),
+        Field("complaint", F.col("is_complaint"), F.col("is_complaint")),
         Field("crowd", F.col("crowd_level"), _text("crowd_level")),
         Field("staff", F.col("staff_sentiment"), _text("staff_sentiment")),
         Field("price", F.col("price_sensitivity"), _text("price_sensitivity")),
         Field("family", F.col("family_sentiment"), _text("family_sentiment")),
-        Field("topic", _lowered(F.col("topics")), F.when(F.size("topics") > 0, _lowered(F.col("topics"))), many=True),
+        Field("topic", _lowered(F.col("topics")), F.when(F.size("topics") > 0, _lowered(F.col("topics"))),
+              many=True, several=True),
     )
 
 
@@ -78,7 +83,7 @@ def task_fields() -> tuple[Field, ...]:
     return (
         Field("branch", F.lower("Branch"), _any_case("branch")),
         Field("season", F.lower("Season"), _any_case("season")),
-        Field("month", visit_month(F.col("Year_Month")), F.when(F.col("month") != 0, F.array("month"))),
+        Field("month", visit_month(F.col("Year_Month")), F.when(F.col("month") != 0, F.col("month"))),
         Field("location", F.lower("Reviewer_Location"), _any_case("reviewer_location")),
     )
 
@@ -90,105 +95,136 @@ def _mask(fields: Sequence[Field]) -> Column:
     return bits
 
 
-def _signature(fields: Sequence[Field], mask: Column, values: Mapping[str, Column]) -> Column:
-    masked = [
-        F.when(mask.bitwiseAND(2**i) != 0, values[f.name]).alias(f.name) for i, f in enumerate(fields)
-    ]
-    return F.to_json(F.struct(mask.alias("mask"), *masked))
+def _part(value: Column) -> Column:
+    text = value.cast("string")
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
 
 
 class SpecMatcher:
     """Matches a table of specifications with a table of reviews.
 
-    ``specs`` holds the columns named in the ``accepted`` parts of ``fields`` and a key ``spec_key``.
-    Equal specifications should share a key, so that they are matched once.  The masks in use are
-    read once by the driver: at most ``2 ** len(fields)`` numbers, whatever the number of specs.
+    ``specs`` holds the columns that the ``accepted`` parts of ``fields`` name and a key ``spec_key``,
+    one row per key.  Equal specifications should share a key, so that they are matched once.
+
+    The driver reads which masks are in use and how many signatures there are: at most
+    ``2 ** len(fields)`` rows, whatever the number of specifications.  Few signatures are broadcast
+    to the reviews; many are joined by a shuffle, after the reviews are counted.
     """
 
+    MANY_MASKS = 16
+
     def __init__(self, reviews: DataFrame, specs: DataFrame, fields: Sequence[Field], spec_key: str = "spec_key"):
-        self.reviews, self.fields, self.spec_key = reviews, tuple(fields), spec_key
-        self.specs = specs.select(spec_key, _mask(fields).alias("_mask"),
-                                  *[f.accepted.alias(f"_{f.name}") for f in fields])
-        self.masks = sorted(r["_mask"] for r in self.specs.select("_mask").distinct().collect()) or [0]
-        used = 0
-        for mask in self.masks:
-            used |= mask
-        self.used = [f for i, f in enumerate(fields) if used & 2**i]
+        self.fields, self.spec_key = tuple(fields), spec_key
+        self.specs = specs.select(
+            spec_key, _mask(fields).alias("_mask"), *[f.accepted.alias(f"_{f.name}") for f in fields]
+        )
+        combinations = F.lit(1)
+        for field in (f for f in fields if f.several):
+            combinations = combinations * F.coalesce(F.size(f"_{field.name}"), F.lit(1))
+        found = self.specs.groupBy("_mask").agg(F.sum(combinations).alias("n")).collect()
+        self.masks = sorted(r["_mask"] for r in found) or [0]
+        self.small = sum(r["n"] for r in found) <= SMALL_ROWS
+        self.used = [f for i, f in enumerate(self.fields) if any(m & 2**i for m in self.masks)]
         self.columns = [f"_{f.name}" for f in self.used]
+        self.reviews = reviews.withColumns({f"_{f.name}": f.of_review for f in self.used})
+
+    def _masked(self, name: str) -> Column:
+        bit = 2 ** next(i for i, f in enumerate(self.fields) if f.name == name)
+        return F.col("_mask").bitwiseAND(bit) != 0
+
+    def _signature(self) -> Column:
+        """Mask and masked values in one text; null if a masked value is missing.
+
+        Every value carries its length, so different values never give the same text.  Fields with
+        several values per review stay out.
+        """
+        single = [f for f in self.used if not f.many]
+        parts = [F.when(self._masked(f.name), _part(F.col(f"_{f.name}"))).otherwise(F.lit("")) for f in single]
+        return F.concat(F.col("_mask").cast("string"), *[c for p in parts for c in (F.lit("|"), p)])
+
+    def _many(self) -> list[Field]:
+        return [f for f in self.used if f.many]
 
     def _spec_signatures(self) -> DataFrame:
-        """One row per specification and accepted combination of values."""
+        """One row per specification and accepted combination: key, signature, value of each many-valued field."""
         rows = self.specs
-        for field in self.fields:
-            accepted = F.coalesce(F.col(f"_{field.name}"), F.array(F.lit(None)))
-            rows = rows.withColumn(f"_{field.name}", F.explode(accepted))
-        values = {f.name: F.col(f"_{f.name}") for f in self.fields}
-        return rows.select(
-            self.spec_key, _signature(self.fields, F.col("_mask"), values).alias(SIGNATURE)
-        )
-
-    def _cell_signatures(self, cells: DataFrame) -> DataFrame:
-        """One row per cell and mask in use; per topic too where the mask asks for topics."""
-        rows = cells.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in self.masks])))
-        values = {f.name: F.lit(None).cast("string") for f in self.fields}
-        for i, field in enumerate(self.fields):
-            if field not in self.used:
-                continue
-            values[field.name] = F.col(f"_{field.name}")
-            if field.many:
-                asked = F.when(F.col("_mask").bitwiseAND(2**i) != 0, F.col(f"_{field.name}"))
-                rows = rows.withColumn("_one", F.explode(F.coalesce(asked, F.array(F.lit(None)))))
-                values[field.name] = F.col("_one")
-        return rows.withColumn(SIGNATURE, _signature(self.fields, F.col("_mask"), values))
-
-    def _keyed_reviews(self) -> DataFrame:
-        return self.reviews.withColumns({f"_{f.name}": f.of_review for f in self.used})
-
-    def matched_cells(self, measures: Mapping[str, Column], *by: str) -> DataFrame:
-        """(specification, cell) pairs with the measures of the cell; ``by`` are further cell columns."""
-        aggregates = [c.alias(n) for n, c in measures.items()]
-        grouped = self._keyed_reviews().groupBy(*self.columns, *by)
-        cells = grouped.agg(*aggregates)
-        return self._pairs(cells, [*self.columns, *by, *measures])
-
-    def _pairs(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-        pairs = self._cell_signatures(rows).join(self._spec_signatures(), SIGNATURE)
-        pairs = pairs.select(self.spec_key, *keep)
-        # A review with two wanted topics, or two accepted spellings, is still one match.
-        return pairs.dropDuplicates() if any(f.many for f in self.used) else pairs
+        for field in (f for f in self.used if f.several):
+            rows = rows.withColumn(f"_{field.name}", F.explode(F.coalesce(f"_{field.name}", F.array(F.lit(None)))))
+        many = [F.col(f"_{f.name}").cast("string").alias(f"_one_{f.name}") for f in self._many()]
+        return rows.select(self.spec_key, self._signature().alias(SIGNATURE), *many)
+
+    def _hint(self, specs: DataFrame) -> DataFrame:
+        return F.broadcast(specs) if self.small else specs
+
+    def _signed_reviews(self, rows: DataFrame) -> DataFrame:
+        """One row per review and mask in use with a signature that some specification has."""
+        signed = rows.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in self.masks])))
+        many = {f"_{f.name}": F.when(self._masked(f.name), F.col(f"_{f.name}")) for f in self._many()}
+        signed = signed.withColumns({SIGNATURE: self._signature(), **many}).filter(F.col(SIGNATURE).isNotNull())
+        if not self.small:
+            return signed
+        return signed.join(F.broadcast(self._spec_signatures().select(SIGNATURE).distinct()), SIGNATURE, "left_semi")
+
+    def _each_value(self, rows: DataFrame) -> DataFrame:
+        """One row per value of the many-valued fields under the mask; one with null where the field is open."""
+        for f in self._many():
+            wanted = F.when(self._masked(f.name), F.col(f"_{f.name}")).otherwise(F.array(F.lit(None)))
+            rows = rows.withColumn(f"_one_{f.name}", F.explode(wanted))
+        return rows
+
+    def _same(self, rows: DataFrame, specs: DataFrame) -> Column:
+        same = rows[SIGNATURE] == specs[SIGNATURE]
+        for f in self._many():
+            same = same & rows[f"_one_{f.name}"].eqNullSafe(specs[f"_one_{f.name}"])
+        return same
+
+    def _joined(self, rows: DataFrame) -> DataFrame:
+        specs = self._hint(self._spec_signatures())
+        ones = [f"_one_{f.name}" for f in self._many()]
+        joined = rows.join(specs, self._same(rows, specs)).drop(specs[SIGNATURE])
+        for one in ones:
+            joined = joined.drop(rows[one]).drop(specs[one])
+        return joined
+
+    def matched_counts(self, *by: str) -> DataFrame:
+        """Number of matching reviews per specification and value of the columns ``by``."""
+        rows = self.reviews.select(*self.columns, *by, F.lit(1).cast("bigint").alias("rows"))
+        if len(self.masks) > self.MANY_MASKS:
+            rows = rows.groupBy(*self.columns, *by).agg(F.sum("rows").alias("rows"))
+        many = [f"_{f.name}" for f in self._many()]
+        cells = self._signed_reviews(rows).groupBy("_mask", SIGNATURE, *many, *by).agg(F.sum("rows").alias("rows"))
+        pairs = self._joined(self._each_value(cells))
+        if many:
+            # A review with two wanted topics is still one match.
+            pairs = pairs.select(self.spec_key, SIGNATURE, *many, *by, "rows").distinct()
+        return pairs.groupBy(self.spec_key, *by).agg(F.sum("rows").alias("reviews"))
 
     def counts(self) -> DataFrame:
         """Number of matching reviews per specification that has any."""
-        return self.matched_cells({"rows": F.count(F.lit(1))}).groupBy(self.spec_key).agg(
-            F.sum("rows").alias("matches")
-        )
+        return self.matched_counts().withColumnRenamed("reviews", "matches")
 
     def label_counts(self) -> DataFrame:
         """Number of matching reviews per specification and sentiment label."""
-        cells = self.matched_cells({"rows": F.count(F.lit(1))}, "sentiment_label")
-        return cells.groupBy(self.spec_key, "sentiment_label").agg(F.sum("rows").alias("reviews"))
+        return self.matched_counts("sentiment_label")
 
     def metrics(self) -> DataFrame:
         """Review count, mean rating and mean score per specification that has a match."""
-        cells = self.matched_cells({"rows": F.count(F.lit(1))}, "Rating", "sentiment_score")
-        return cells.groupBy(self.spec_key).agg(
-            F.sum("rows").alias("review_count"),
-            weighted_mean("Rating", "rows").alias("avg_rating"),
-            weighted_mean("sentiment_score", "rows").alias("avg_sentiment"),
+        return self.matched_counts("Rating", "sentiment_score").groupBy(self.spec_key).agg(
+            F.sum("reviews").alias("review_count"),
+            weighted_mean("Rating", "reviews").alias("avg_rating"),
+            weighted_mean("sentiment_score", "reviews").alias("avg_sentiment"),
         )
 
     def first_matches(self, k: int, key: str = "review_uid") -> DataFrame:
         """Keys of the first ``k`` matching reviews of every specification, in key order.
 
-        The first ``k`` of a specification are among the first ``k`` of its cells, so cells are cut
-        to ``k`` keys before they meet the specifications.
+        The first ``k`` of a specification are among the first ``k`` of its signatures, so each
+        signature is cut to ``k`` keys before it meets the specifications.
         """
-        keyed = self._keyed_reviews().select(key, *self.columns)
-        if self.columns:
-            keyed = first_k_per_group(keyed, self.columns, [F.col(key)], k, F.col(key), rank="_rank").drop("_rank")
-            pairs = self._pairs(keyed, [key])
-        else:
-            # No specification restricts anything: all see the same first rows.
-            firsts = keyed.orderBy(key).limit(k)
-            pairs = self._pairs(firsts, [key])
+        signed = self._each_value(self._signed_reviews(self.reviews.select(key, *self.columns)))
+        group = [SIGNATURE, *[f"_one_{f.name}" for f in self._many()]]
+        firsts = first_k_per_group(signed.select(key, *group), group, [F.col(key)], k, F.col(key), rank="_rank")
+        pairs = self._joined(firsts.drop("_rank")).select(self.spec_key, key)
+        if any(f.several for f in self.used):
+            pairs = pairs.distinct()
         return first_k_per_group(pairs, [self.spec_key], [F.col(key)], k, F.col(key))

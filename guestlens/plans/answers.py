@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from guestlens import fixed_values as fixed
 from guestlens.functions.models import Embed, word_hash_embedder
@@ -15,6 +15,7 @@ from guestlens.operators.matching import SpecMatcher, question_fields
 from guestlens.plans.quant import keyed_specs
 from guestlens.plans.search import CANDIDATE_POOL, TOP_K, top_by_similarity, with_embeddings
 from guestlens.schema import FILTER_SPEC
+from guestlens.session import use_checkpoints
 
 INTENTS = ["search_reviews", "view_report", "capability_discovery"]
 SPEC_FIELDS = tuple(n for n in FILTER_SPEC.fieldNames() if n not in ("intent", "reasoning"))
@@ -56,50 +57,67 @@ def is_empty_spec() -> Column:
 def alias_target(entity: Column, aliases: Sequence[tuple[str, str | None]] = fixed.PARK_ALIASES) -> Column:
     """Park for a name: the alias itself, else the first alias contained in the name, else the name."""
     low = F.trim(F.lower(entity))
-    out = F.when(F.length(entity) < 1, F.lit(None).cast("string"))
-    for alias, park in aliases:
-        out = out.when(low == alias, F.lit(park).cast("string"))
-    for alias, park in aliases:
-        if park:
-            out = out.when(low.contains(alias), F.lit(park))
-    return out.otherwise(entity)
-
-
-def resolve_parks(rows: DataFrame, branches: DataFrame, entity: str, name: str) -> DataFrame:
-    """The park meant by ``entity``: a branch of that name in any case, else by alias."""
-    named = branches.groupBy(F.lower("Branch").alias("_name")).agg(F.min("Branch").alias("_branch"))
-    joined = rows.withColumn("_name", F.trim(F.lower(entity))).join(named, "_name", "left")
-    return joined.withColumn(name, F.coalesce("_branch", alias_target(F.col(entity)))).drop("_name", "_branch")
+    table = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(p).cast("string").alias("park")) for a, p in aliases])
+    exact = F.get(F.filter(table, lambda a: a["alias"] == low), 0)
+    inside = F.get(F.filter(table, lambda a: a["park"].isNotNull() & F.contains(low, a["alias"])), 0)
+    return (
+        F.when(F.length(entity) < 1, F.lit(None).cast("string"))
+        .when(exact.isNotNull(), exact["park"])
+        .otherwise(F.coalesce(inside["park"], entity))
+    )
 
 
 def branch_list(branches: DataFrame) -> DataFrame:
-    """One row with all parks, sorted: as many as there are parks."""
+    """One row with the sorted names of all parks: the list a refusal spells out."""
     return branches.agg(F.array_sort(F.collect_set("Branch")).alias("parks"))
 
 
+def park_of(entity: Column, parks: Column) -> Column:
+    """The park meant by a name: the branch of that name in any case, else by alias."""
+    same = F.filter(parks, lambda p: F.lower(p) == F.trim(F.lower(entity)))
+    return F.coalesce(F.get(same, 0), alias_target(entity))
+
+
+def resolve_parks(rows: DataFrame, branches: DataFrame, entity: str, name: str) -> DataFrame:
+    """``name``: the park meant by the column ``entity``."""
+    with_parks = rows.withColumn("_parks", branch_list(branches).scalar())
+    return with_parks.withColumn(name, park_of(F.col(entity), F.col("_parks"))).drop("_parks")
+
+
 def guard(specs: DataFrame, branches: DataFrame) -> DataFrame:
     """Normalised branch, and a refusal where a search asks for a park that is not in the data.
 
-    An unsupported entity that names a known park becomes the branch.
+    An unsupported entity that names a known park becomes the branch.  The list of parks is a scalar
+    subquery; nothing is joined.
     """
-    entity = F.coalesce(F.when(F.length("unsupported_entity") > 0, F.col("unsupported_entity")),
-                        F.when(F.length("branch") > 0, F.col("branch")))
     search = F.col("intent") == INTENTS[0]
-    named = resolve_parks(specs.withColumn("_entity", F.when(search, entity)), branches, "_entity", "_park")
     asked = F.coalesce(F.length("unsupported_entity") > 0, F.lit(False))
+    entity = F.when(asked, F.col("unsupported_entity")).when(F.length("branch") > 0, F.col("branch"))
+    named = specs.withColumn("_parks", branch_list(branches).scalar()).withColumn(
+        "_park", F.when(search, park_of(entity, F.col("_parks")))
+    )
     lost = search & asked & F.col("_park").isNull()
     settled = named.withColumns({
         "branch": F.when(search & ~lost, F.coalesce("_park", "branch")).otherwise(F.col("branch")),
         "unsupported_entity": F.when(~search | lost, F.col("unsupported_entity")),
     })
-    known = branches.select(F.col("Branch").alias("branch"), F.lit(True).alias("_known"))
-    checked = settled.join(known, "branch", "left").withColumn("_parks", branch_list(branches).scalar())
-    unknown = search & (F.length("branch") > 0) & F.col("_known").isNull()
+    unknown = search & (F.length("branch") > 0) & ~F.array_contains("_parks", F.col("branch"))
+    lost = search & (F.length("unsupported_entity") > 0)
     reason = F.when(lost, F.col("unsupported_entity")).when(unknown, F.col("branch"))
-    return checked.withColumn("refusal_reason", reason).withColumn("refusal", F.concat(
+    return settled.withColumn("refusal_reason", reason).withColumn("refusal", F.concat(
         F.lit("I do not have data about "), "refusal_reason", F.lit(". I only have data for: "),
         F.array_join("_parks", ", "), F.lit("."),
-    )).drop("_entity", "_park", "_known", "_parks")
+    )).drop("_park", "_parks")
+
+
+def settled_questions(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+    """Parsed and guarded questions, written to the checkpoint folder.
+
+    Every part of an answer starts from them; reading them back keeps those plans short and parses
+    each specification once.
+    """
+    use_checkpoints(reviews.sparkSession)
+    return guard(parse_specs(questions), valid_branches(reviews)).checkpoint()
 
 
 def searches(guarded: DataFrame) -> DataFrame:
@@ -111,32 +129,44 @@ def searches(guarded: DataFrame) -> DataFrame:
 
 
 def matcher(reviews: DataFrame, asked: DataFrame) -> SpecMatcher:
-    specs = asked.select("spec_key", *MATCH_FIELDS).dropDuplicates(["spec_key"])
-    return SpecMatcher(reviews, specs, question_fields())
+    return SpecMatcher(reviews, asked.select("spec_key", *MATCH_FIELDS).distinct(), question_fields())
+
+
+def spec_distributions(label_counts: DataFrame) -> DataFrame:
+    """Matches and sentiment text per specification; unlabelled reviews count as matches only."""
+    counted = F.sum("reviews").over(Window.partitionBy("spec_key")).alias("matches")
+    matches = label_counts.select("spec_key", counted).distinct()
+    labelled = label_counts.filter(F.col("sentiment_label").isNotNull())
+    texts = distribution_text(shares(labelled, "spec_key"), "spec_key")
+    return matches.join(texts, "spec_key", "left")
 
 
 def question_distributions(reviews: DataFrame, asked: DataFrame) -> DataFrame:
     """Sentiment text per question over all its matches; N/A without labelled matches."""
-    labelled = matcher(reviews, asked).label_counts().filter(F.col("sentiment_label").isNotNull())
-    texts = distribution_text(shares(labelled, "spec_key"), "spec_key")
-    return asked.join(texts, "spec_key", "left").withColumn("distribution", F.coalesce("distribution", F.lit("N/A")))
+    told = spec_distributions(matcher(reviews, asked).label_counts())
+    return asked.join(told, "spec_key", "left").withColumn("distribution", F.coalesce("distribution", F.lit("N/A")))
 
 
-def match_summaries(
-    reviews: DataFrame, asked: DataFrame, version: str = "v4", file_name: str = "reviews_enriched_v4.parquet",
-    top_k: int = TOP_K,
+def with_summary(
+    found: DataFrame, reviews: DataFrame, version: str = "v4",
+    file_name: str = "reviews_enriched_v4.parquet", top_k: int = TOP_K,
 ) -> DataFrame:
-    """How many reviews match each question, and the sentence that says so."""
-    counts = matcher(reviews, asked).counts()
+    """The sentence that tells how many reviews match; ``found`` holds ``matches``, null for none."""
     whole = coverage(reviews).select(F.struct("reviews", "coverage"))
-    found = asked.join(counts, "spec_key", "left").withColumn("_all", whole.scalar())
     matches = F.coalesce("matches", F.lit(0).cast("bigint"))
     summary = F.concat(
         F.lit(f"[{version}: {file_name} ("), one_decimal(F.col("_all.coverage")), F.lit("% Enriched)] Found "),
-        matches.cast("string"), F.lit(" matches of "), F.col("_all.reviews").cast("string"),
-        F.lit(" entries. Using top "), F.least(matches, F.lit(top_k)).cast("string"), F.lit("."),
+        F.col("matches").cast("string"), F.lit(" matches of "), F.col("_all.reviews").cast("string"),
+        F.lit(" entries. Using top "), F.least(F.col("matches"), F.lit(top_k)).cast("string"), F.lit("."),
     )
-    return found.withColumn("summary", summary).withColumn("matches", matches).drop("_all")
+    return found.withColumn("matches", matches).withColumn("_all", whole.scalar()).withColumn(
+        "summary", summary).drop("_all")
+
+
+def match_summaries(reviews: DataFrame, asked: DataFrame, **labels: str) -> DataFrame:
+    """How many reviews match each question, and the sentence that says so."""
+    counts = matcher(reviews, asked).counts()
+    return with_summary(asked.join(counts, "spec_key", "left"), reviews, **labels)
 
 
 def candidates(reviews: DataFrame, asked: DataFrame, pool: int = CANDIDATE_POOL) -> DataFrame:
@@ -148,11 +178,19 @@ def top_reviews(
     reviews: DataFrame, asked: DataFrame, question: str = "question", pool: int = CANDIDATE_POOL,
     k: int = TOP_K, factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid",
 ) -> DataFrame:
-    """The ``k`` reviews of each question's candidate pool that are most similar to the question.
+    """The ``k`` reviews of each question's candidate pool that are most similar to the question."""
+    return closest(reviews, asked, candidates(reviews, asked, pool), question, k, factory, qid)
+
+
+def closest(
+    reviews: DataFrame, asked: DataFrame, pooled: DataFrame, question: str = "question", k: int = TOP_K,
+    factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid",
+) -> DataFrame:
+    """The pooled reviews most similar to each question.
 
     Each candidate text and each question is embedded once, whatever the number of pairs.
     """
-    pooled = candidates(reviews, asked, pool).drop("rank")
+    pooled = pooled.drop("rank")
     texts = reviews.join(pooled.select("review_uid").distinct(), "review_uid", "left_semi")
     vectors = with_embeddings(texts.select("review_uid", "Review_Text"), "Review_Text", factory).drop("Review_Text")
     asking = with_embeddings(asked.select(qid, "spec_key", question), question, factory, "query_vector")
@@ -204,8 +242,9 @@ def chart_selection(guarded: DataFrame, branches: DataFrame, question: str = "qu
     charts = []
     for title, kind, path in fixed.GLOBAL_CHARTS:
         wanted = contains_any(low, fixed.CHART_QUESTION_WORDS[kind]) | extra.get(kind, F.lit(False))
-        for word in fixed.CHART_TOPIC_WORDS.get(kind, []):
-            wanted = wanted | F.exists(topics, lambda t, w=word: F.coalesce(t.contains(w), F.lit(False)))
+        if kind in fixed.CHART_TOPIC_WORDS:
+            words = fixed.CHART_TOPIC_WORDS[kind]
+            wanted = wanted | (F.size(F.filter(topics, lambda t: contains_any(t, words))) > 0)
         charts.append(F.when(report | (search & wanted), _chart(F.lit(title), kind, F.lit(path))))
     of_all_parks = F.array_compact(F.array(*charts))
     none = F.transform(F.array().cast("array<string>"), _heatmap)
@@ -220,12 +259,15 @@ def chart_selection(guarded: DataFrame, branches: DataFrame, question: str = "qu
 def answered(reviews: DataFrame, questions: DataFrame) -> DataFrame:
     """Everything an answer is written from, one row per question: refusal, or summary, distribution
     and context."""
-    guarded = guard(parse_specs(questions), valid_branches(reviews))
+    guarded = settled_questions(reviews, questions)
     asked = searches(guarded)
-    summed = match_summaries(reviews, asked).select("qid", "matches", "summary")
-    spread = question_distributions(reviews, asked).select("qid", "distribution")
-    contexts = answer_contexts(context_rows(top_reviews(reviews, asked), reviews))
-    told = guarded.select("qid", "intent", "refusal")
-    for part in (summed, spread, contexts):
-        told = told.join(part, "qid", "left")
-    return told
+    matched = matcher(reviews, asked)
+    told = asked.select("qid", "spec_key").join(spec_distributions(matched.label_counts()), "spec_key", "left")
+    told = with_summary(told, reviews).withColumn("distribution", F.coalesce("distribution", F.lit("N/A")))
+    top = closest(reviews, asked, matched.first_matches(CANDIDATE_POOL))
+    contexts = answer_contexts(context_rows(top, reviews))
+    return (
+        guarded.select("qid", "intent", "refusal")
+        .join(told.select("qid", "matches", "summary", "distribution"), "qid", "left")
+        .join(contexts, "qid", "left")
+    )

@@ -61,9 +61,27 @@ def trend(delta: Column, eps: float = TREND_EPS) -> Column:
 
 
 def trends_from_cells(cells: DataFrame, min_volume: int = MIN_VOLUME, trend_eps: float = TREND_EPS) -> DataFrame:
-    issues = with_baseline(playbook_cells(cells, min_volume).filter(~F.col("low_data_flag")), cells)
+    """Cells with enough data, their baseline and trend.
+
+    Baseline and cells come from the same aggregate: the baseline sums the few seasons of a park and
+    theme by a window, so the reviews are read once and nothing is joined.
+    """
+    in_theme = Window.partitionBy("Branch", "theme")
+    summed = cells.filter(F.col("Branch").isNotNull()).groupBy(*CELL).agg(
+        F.sum("n").alias("volume"),
+        weighted_median("sentiment_score", "rows").alias("median_sentiment"),
+        negative_count().alias("neg_count"),
+        F.sum(F.col("sentiment_score") * F.col("rows")).alias("_scores"),
+        F.sum(F.when(F.col("sentiment_score").isNotNull(), F.col("rows"))).alias("_scored"),
+    )
+    baseline = F.try_divide(F.sum("_scores").over(in_theme).cast("double"), F.sum("_scored").over(in_theme))
+    gated = summed.withColumns({
+        "pct_negative": pct_negative(),
+        "low_data_flag": low_data(F.col("volume"), min_volume),
+        "baseline_severity": baseline,
+    }).filter(F.col("Season").isNotNull() & ~F.col("low_data_flag")).drop("_scores", "_scored")
     delta = F.col("median_sentiment") - F.col("baseline_severity")
-    return issues.withColumn("delta_vs_baseline", delta).withColumn("trend", trend(F.col("delta_vs_baseline"), trend_eps))
+    return gated.withColumn("delta_vs_baseline", delta).withColumn("trend", trend(F.col("delta_vs_baseline"), trend_eps))
 
 
 def playbook_trends(reviews: DataFrame, min_volume: int = MIN_VOLUME, trend_eps: float = TREND_EPS) -> DataFrame:
@@ -80,35 +98,21 @@ def critical_issues(trends: DataFrame, top: int = TOP) -> DataFrame:
     return trends.orderBy(*severity_order()).limit(top)
 
 
-def quote_keys(reviews: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """Per park, season and theme the keys of the first negative review and of the first quotable one.
+def quotes(reviews: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """The quote of each cell: the first negative text of 40 to 300 characters, else the start of the
+    first negative text.
 
-    The aggregate holds two numbers per cell, so it hashes; texts are fetched later by key.  ``cells``
-    restricts it to a small list of cells.
+    One pass over the texts; what travels is at most 300 characters per review, and one per cell and
+    task after the partial aggregate.  ``cells`` restricts it to a short list of cells.
     """
+    whole = quotable(F.col("Review_Text"))
     negative = with_season(reviews).filter(F.col("sentiment_label") == "Negative")
-    themed = grouped_cells(explode_themes(negative))
+    shown = F.when(whole, F.col("Review_Text")).otherwise(snippet(F.col("Review_Text"), SHORT_QUOTE, always=True))
+    themed = grouped_cells(explode_themes(negative.withColumns({"_whole": whole, "_shown": shown})))
     if cells is not None:
         themed = themed.join(F.broadcast(cells.select(*CELL)), CELL, "left_semi")
-    return themed.groupBy(*CELL).agg(
-        F.min(F.when(quotable(F.col("Review_Text")), F.col("review_uid"))).alias("quotable_uid"),
-        F.min("review_uid").alias("first_uid"),
-    )
-
-
-def quotes(reviews: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """The quote of each cell: the first negative text of 40 to 300 characters, else the start of the
-    first negative text."""
-    keys = quote_keys(reviews, cells).select(
-        *CELL,
-        F.coalesce("quotable_uid", "first_uid").alias("review_uid"),
-        F.col("quotable_uid").isNotNull().alias("_whole"),
-    )
-    texts = reviews.select("review_uid", "Review_Text")
-    cut = snippet(F.col("Review_Text"), SHORT_QUOTE, always=True)
-    return keys.join(texts, "review_uid").select(
-        *CELL, F.when(F.col("_whole"), F.col("Review_Text")).otherwise(cut).alias("quote")
-    )
+    first = F.struct(~F.col("_whole"), F.col("review_uid"))
+    return themed.groupBy(*CELL).agg(F.min_by("_shown", first).alias("quote"))
 
 
 def with_quotes(issues: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -154,58 +158,57 @@ def volume_order() -> list[Column]:
     return [F.desc("vol"), F.asc_nulls_last("severity"), F.asc("park"), F.asc("season"), F.asc("theme")]
 
 
-def narrative_lines(playbook: DataFrame, top: int = 3) -> DataFrame:
-    """The lines of the summary, as (section, line_no, line): worst, largest and worsening issues.
+def ranked_lines(playbook: DataFrame, top: int = 3) -> DataFrame:
+    """Every issue with its lines for the three sections, null where it does not appear.
 
-    The playbook is a top list, so its rankings are small.
+    The playbook is a short list, so its rankings and the one-row summary are small.
     """
-    issues = playbook.select("park", "theme", "issue", "season", "severity", "vol", "trend")
-    worsens = F.col("trend").contains("Worse")
-    ranked = issues.withColumns({
+    worsens = F.coalesce(F.col("trend").contains("Worse"), F.lit(False))
+    ranked = playbook.select("park", "theme", "issue", "season", "severity", "vol", worsens.alias("worsens")).withColumns({
         "by_severity": F.row_number().over(Window.orderBy(*playbook_order())),
         "by_volume": F.row_number().over(Window.orderBy(*volume_order())),
-        "by_trend": F.row_number().over(Window.orderBy(worsens.cast("int").desc(), *playbook_order())),
+        "by_trend": F.row_number().over(Window.orderBy(F.desc("worsens"), *playbook_order())),
     })
+    volume = F.concat(F.lit("Vol: "), F.col("vol").cast("string"), F.lit(")"))
+    start = F.concat(F.lit("- "), "park", F.lit(": "), "issue", F.lit(" ("))
+    severity = F.concat(start, F.lit("Severity: "), one_decimal(F.col("severity")), F.lit(", "), volume)
+    worse = F.concat(F.lit("- "), "park", F.lit(" "), "theme", F.lit(": Sentiment deteriorated vs baseline."))
 
     def entry(section: int, rank: str, shown: Column, line: Column) -> Column:
         return F.when(shown, F.struct(F.lit(section).alias("section"), F.col(rank).alias("line_no"), line.alias("line")))
 
-    severity = F.concat(
-        F.lit("- "), "park", F.lit(": "), "issue", F.lit(" (Severity: "), one_decimal(F.col("severity")),
-        F.lit(", Vol: "), F.col("vol").cast("string"), F.lit(")"),
+    return ranked.select(
+        "worsens",
+        entry(1, "by_severity", F.col("by_severity") <= top, severity).alias("worst"),
+        entry(2, "by_volume", F.col("by_volume") <= top, F.concat(start, volume)).alias("largest"),
+        entry(3, "by_trend", F.col("worsens") & (F.col("by_trend") <= top), worse).alias("worsening"),
     )
-    volume = F.concat(F.lit("- "), "park", F.lit(": "), "issue", F.lit(" (Vol: "), F.col("vol").cast("string"), F.lit(")"))
-    worse = F.concat(F.lit("- "), "park", F.lit(" "), "theme", F.lit(": Sentiment deteriorated vs baseline."))
-    entries = F.array_compact(F.array(
-        entry(1, "by_severity", F.col("by_severity") <= top, severity),
-        entry(2, "by_volume", F.col("by_volume") <= top, volume),
-        entry(3, "by_trend", worsens & (F.col("by_trend") <= top), worse),
-    ))
-    return ranked.select(F.inline(entries))
+
+
+def narrative_lines(playbook: DataFrame, top: int = 3) -> DataFrame:
+    """The lines of the summary, as (section, line_no, line): worst, largest and worsening issues."""
+    return ranked_lines(playbook, top).select(F.inline(F.array_compact(F.array("worst", "largest", "worsening"))))
 
 
 def narrative(playbook: DataFrame, top: int = 3) -> DataFrame:
     """The summary as one text; a fixed sentence for an empty playbook."""
-    lines = narrative_lines(playbook, top).groupBy().agg(
-        F.array_sort(F.collect_list(F.struct("section", "line_no", "line"))).alias("lines")
-    )
-    counted = playbook.agg(
-        F.count(F.lit(1)).alias("issues"), F.count_if(F.col("trend").contains("Worse")).alias("worse")
-    )
 
-    def section(number: int) -> Column:
-        picked = F.filter("lines", lambda e: e["section"] == number)
-        return F.array_join(F.transform(picked, lambda e: F.concat(e["line"], F.lit("\n"))), "")
+    def section(name: str) -> Column:
+        in_order = F.array_sort(F.collect_list(F.col(name)))
+        return F.array_join(F.transform(in_order, lambda e: F.concat(e["line"], F.lit("\n"))), "")
 
-    worsening = F.concat(F.lit("Verified Worsening Trends ("), F.col("worse").cast("string"), F.lit(" items):\n"), section(3))
+    told = ranked_lines(playbook, top).agg(
+        F.count(F.lit(1)).alias("issues"),
+        F.count_if("worsens").alias("worse"),
+        *[section(name).alias(name) for name in ("worst", "largest", "worsening")],
+    )
+    worsening = F.concat(F.lit("Verified Worsening Trends ("), F.col("worse").cast("string"), F.lit(" items):\n"), "worsening")
     text = F.concat(
-        F.lit("Playbook Statistical Summary:\n\nTop 3 High Severity Issues (Lowest Sentiment):\n"), section(1),
-        F.lit("\nTop 3 High Volume Issues (Most Frequent):\n"), section(2), F.lit("\n"),
+        F.lit("Playbook Statistical Summary:\n\nTop 3 High Severity Issues (Lowest Sentiment):\n"), "worst",
+        F.lit("\nTop 3 High Volume Issues (Most Frequent):\n"), "largest", F.lit("\n"),
         F.when(F.col("worse") > 0, worsening).otherwise(F.lit(fixed.NO_WORSENING + "\n")),
     )
-    return counted.withColumn("lines", lines.scalar()).select(
-        F.when(F.col("issues") == 0, F.lit(fixed.NO_ISSUES)).otherwise(text).alias("narrative")
-    )
+    return told.select(F.when(F.col("issues") == 0, F.lit(fixed.NO_ISSUES)).otherwise(text).alias("narrative"))
 
 
 def worst_cells(cells: DataFrame, least: int = MIN_VOLUME) -> DataFrame:

@@ -22,7 +22,7 @@ def task_metrics(reviews: DataFrame, tasks: DataFrame, task: str = "task_id") ->
     ``tasks`` holds ``branch``, ``season``, ``month`` and ``reviewer_location``, null for no restriction.
     """
     keyed = keyed_specs(tasks, TASK_COLUMNS)
-    specs = keyed.select("spec_key", *TASK_COLUMNS).dropDuplicates(["spec_key"])
+    specs = keyed.select("spec_key", *TASK_COLUMNS).distinct()
     measured = SpecMatcher(with_season(reviews), specs, task_fields()).metrics()
     return (
         keyed.select(task, "spec_key").join(measured, "spec_key", "left")

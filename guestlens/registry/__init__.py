@@ -6,6 +6,6 @@ from guestlens.registry.base import ENTRIES, Entry
 
 
 def all_entries() -> dict[str, Entry]:
-    from guestlens.registry import analysis, columns  # noqa: F401
+    from guestlens.registry import analysis, columns, models  # noqa: F401
 
     return dict(ENTRIES)

@@ -158,7 +158,7 @@ _filtered("filter_crowd", Spec(crowd_level="Crowded"), "crowd_level = 'Crowded'"
 _filtered("filter_staff", Spec(staff_sentiment="Rude"), "staff_sentiment = 'Rude'")
 _filtered("filter_price", Spec(price_sensitivity="Rip-off"), "price_sensitivity = 'Rip-off'")
 _filtered("filter_family", Spec(family_sentiment="Joyful"), "family_sentiment = 'Joyful'")
-_filtered("filter_location", Spec(reviewer_location="france"), "lower(Reviewer_Location) = 'france'")
+_filtered("filter_location", Spec(reviewer_location="nation_3"), "lower(Reviewer_Location) = 'nation_3'")
 _filtered("filter_branch", Spec(branch="disneyland_PARIS"), "lower(Branch) = 'disneyland_paris'")
 _filtered("filter_year_month", Spec(year_month="1995-3"), "Year_Month = '1995-3'")
 _filtered("filter_month", Spec(month=6), f"{MONTH} = 6")

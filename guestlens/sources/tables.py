@@ -37,12 +37,12 @@ FROM (
 # One filter specification per kind of question; the kind is a number from 0 to 15.
 _SPECS = [
     '{"intent":"search_reviews","branch":"Paris","staff_sentiment":"Rude","reasoning":"r"}',
-    '{"branch":"disneyland_hongkong","reviewer_location":"japan","reasoning":"r"}',
+    '{"branch":"disneyland_hongkong","reviewer_location":"nation_2","reasoning":"r"}',
     '{"season":"spring","branch":"Disneyland_HongKong","reasoning":"r"}',
     '{"month":6,"branch":"Anaheim park","reasoning":"r"}',
     '{"topics":["Food","queues","RIDES"],"reasoning":"r"}',
     '{"sentiment_label":"Negative","is_complaint":false,"reasoning":"r"}',
-    '{"crowd_level":"Crowded","topics":["Family"],"reviewer_location":"France","reasoning":"r"}',
+    '{"crowd_level":"Crowded","topics":["Family"],"reviewer_location":"Nation_3","reasoning":"r"}',
     '{"unsupported_entity":"Tel-Aviv","reasoning":"r"}',
     '{"unsupported_entity":"Hong Kong","topics":[],"reasoning":"r"}',
     '{"season":"Autumn","family_sentiment":"Joyful","reasoning":"r"}',
@@ -54,7 +54,7 @@ _SPECS = [
     '{"branch":"Disneyland","reasoning":"r"}',
 ]
 _PHRASES = [
-    "Is the staff in Paris friendly?", "What do visitors from Japan say?", "Is spring a good time to visit?",
+    "Is the staff in Paris friendly?", "What do visitors from nation 2 say?", "Is spring a good time to visit?",
     "Is it crowded in June?", "How is the food?", "What is the worst complaint?",
     "Do families like it? What charts are available?", "Tell me more.",
 ]
