@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -38,19 +41,22 @@ def _season_by_month(starts: Mapping[str, int]) -> Column:
 
 
 def _per_park(branch: Column, seasons: Seasons, value) -> Column:
-    """``value(starts)`` of the first park whose name contains ``branch``, ignoring case."""
+    """``value(starts)`` of the first park whose name contains ``branch``, ignoring case.
+
+    Neighbouring parks with the same calendar share one case.
+    """
     wanted = F.lower(branch)
     out = F.when(F.lit(False), value(next(iter(seasons.values()))))
-    for park, starts in seasons.items():
-        out = out.when(F.lit(park.lower()).contains(wanted), value(starts))
+    for _, same in groupby(seasons.items(), key=lambda park: park[1]):
+        parks = list(same)
+        named = reduce(or_, [F.lit(park.lower()).contains(wanted) for park, _ in parks])
+        out = out.when(named, value(parks[0][1]))
     return out
 
 
 def season(branch: Column, year_month: Column, seasons: Seasons = SEASON_STARTS) -> Column:
     """Season of a visit, from the park's own calendar; null for an unknown park or month."""
-    month = visit_month(year_month)
-    named = _per_park(branch, seasons, lambda starts: F.get(_season_by_month(starts), month - 1))
-    return F.when(month.between(1, 12), named)
+    return _per_park(branch, seasons, lambda starts: F.get(_season_by_month(starts), visit_month(year_month) - 1))
 
 
 def months_of_season(branch: Column, season_name: Column, seasons: Seasons = SEASON_STARTS) -> Column:

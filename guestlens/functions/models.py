@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from guestlens.functions.lexicon import label_patterns, lexicon_fields
+from guestlens.functions.lexicon import label_patterns, lexicon_fields, plain_words
 from guestlens.schema import ENRICHMENT
 
 # One answer per text: JSON text, or the exception that stands for a failed call.
@@ -40,29 +40,31 @@ MAX_TOPICS = 3
 EMBEDDING_SIZE = 64
 
 
-def _any_word(words: Sequence[str]) -> str:
-    return r"\b(?:" + "|".join(re.escape(w) for w in words) + r")\b"
+def _finder(words: Sequence[str], pattern: str | None = None) -> Callable[[str], set[str]]:
+    """The words found in a text as whole words.  A plain search comes first, as most texts have none."""
+    search = re.compile(pattern or r"\b(?:" + "|".join(re.escape(w) for w in words) + r")\b")
+    return lambda text: set(search.findall(text)) if any(w in text for w in words) else set()
 
 
 def rule_annotator() -> Annotate:
     """A deterministic annotator from word lists: good words raise the score, bad words lower it."""
-    good, bad = re.compile(_any_word(GOOD_WORDS)), re.compile(_any_word(BAD_WORDS))
-    topics = [(name, re.compile(_any_word(words))) for name, words in TOPIC_WORDS]
-    labels = {f: [(n, re.compile(p)) for n, p in label_patterns(f)] for f in lexicon_fields()}
-    labels["family_sentiment"] = [(n, re.compile(_any_word(w))) for n, w in FAMILY_WORDS]
+    good, bad = _finder(GOOD_WORDS), _finder(BAD_WORDS)
+    topics = [(name, _finder(words)) for name, words in TOPIC_WORDS]
+    labels = {f: [(n, _finder(plain_words(f, n), p)) for n, p in label_patterns(f)] for f in lexicon_fields()}
+    labels["family_sentiment"] = [(n, _finder(w)) for n, w in FAMILY_WORDS]
 
     def one(text: str) -> str:
         low = text.lower()
-        bad_hits = len(set(bad.findall(low)))
-        score = min(5, max(1, 3 + len(set(good.findall(low))) - bad_hits))
+        bad_hits = len(bad(low))
+        score = min(5, max(1, 3 + len(good(low)) - bad_hits))
         record = {
             "sentiment_score": score,
             "sentiment_label": "Negative" if score < 3 else "Neutral" if score == 3 else "Positive",
-            "topics": [name for name, pattern in topics if pattern.search(low)][:MAX_TOPICS],
+            "topics": [name for name, find in topics if find(low)][:MAX_TOPICS],
             "is_complaint": bad_hits > 0,
         }
         for field, rules in labels.items():
-            record[field] = next((name for name, pattern in rules if pattern.search(low)), None)
+            record[field] = next((name for name, find in rules if find(low)), None)
         return json.dumps(record)
 
     return lambda texts: [one(t) for t in texts]
@@ -110,23 +112,30 @@ def annotate(
     return expand_json(flat, "enriched_json", schema)
 
 
+class _Places(dict):
+    """Place of each word, worked out when first seen."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        place = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.size
+        if len(self) < 500_000:
+            self[word] = place
+        return place
+
+
 def word_hash_embedder(size: int = EMBEDDING_SIZE) -> Embed:
     """Word counts hashed into ``size`` places.  Whole numbers, so that cosines are the same everywhere."""
-    places: dict[str, int] = {}
-
-    def place(word: str) -> int:
-        if word not in places:
-            if len(places) > 500_000:
-                places.clear()
-            places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % size
-        return places[word]
+    places = _Places(size)
 
     def embed(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), size), dtype=np.float32)
-        for row, text in zip(out, texts):
-            for word in text.lower().split(" "):
-                if word:
-                    row[place(word)] += 1
+        for i, text in enumerate(texts):
+            found = [places[w] for w in text.lower().split(" ") if w]
+            if found:
+                out[i] = np.bincount(found, minlength=size)
         return out
 
     return embed

@@ -14,7 +14,7 @@ from guestlens import fixed_values as fixed
 from guestlens.functions.calendar import month_start, season
 from guestlens.functions.lexicon import has_label
 from guestlens.functions.text import one_decimal, round_one
-from guestlens.functions.themes import with_themes
+from guestlens.functions.themes import explode_mask, review_mask
 from guestlens.operators.filters import branch_contains, gate, low_rating
 
 CELL = ["Branch", "Season", "theme"]
@@ -49,14 +49,12 @@ def theme_cells(reviews: DataFrame) -> DataFrame:
     Reviews are counted by their set of themes first and exploded afterwards, so the explosion
     works on cells.  ``rows`` counts reviews, ``n`` those with a key.
     """
-    keys = ["Branch", "Season", "themes", "sentiment_score", "sentiment_label"]
     counted = (
-        with_themes(with_season(reviews))
-        .filter(F.size("themes") > 0)
-        .groupBy(*keys)
+        with_season(reviews).withColumn("_mask", review_mask())
+        .groupBy("Branch", "Season", "_mask", "sentiment_score", "sentiment_label")
         .agg(F.count(F.lit(1)).alias("rows"), F.count("review_uid").alias("n"))
     )
-    return counted.withColumn("theme", F.explode("themes")).drop("themes")
+    return explode_mask(counted, "_mask")
 
 
 def grouped_cells(cells: DataFrame) -> DataFrame:
@@ -110,13 +108,10 @@ def season_pivot(heatmap: DataFrame, value: str) -> DataFrame:
 
 def low_rating_drivers(reviews: DataFrame, top: int = 10) -> DataFrame:
     """Most frequent themes of reviews rated 1 or 2."""
-    counted = (
-        with_themes(reviews.filter(low_rating()))
-        .groupBy("themes")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    low = reviews.filter(low_rating()).withColumn("_mask", review_mask())
+    counted = low.groupBy("_mask").agg(F.count(F.lit(1)).alias("rows"))
     return (
-        counted.withColumn("theme", F.explode("themes"))
+        explode_mask(counted, "_mask")
         .groupBy("theme")
         .agg(F.sum("rows").alias("reviews"))
         .orderBy(F.desc("reviews"), "theme")

@@ -132,15 +132,22 @@ class SpecMatcher:
         bit = 2 ** next(i for i, f in enumerate(self.fields) if f.name == name)
         return F.col("_mask").bitwiseAND(bit) != 0
 
-    def _signature(self) -> Column:
+    def _signature(self, mask: int | None = None) -> Column:
         """Mask and masked values in one text; null if a masked value is missing.
 
         Every value carries its length, so different values never give the same text.  Fields with
-        several values per review stay out.
+        several values per review stay out.  Without ``mask`` it is taken from the row.
         """
-        single = [f for f in self.used if not f.many]
-        parts = [F.when(self._masked(f.name), _part(F.col(f"_{f.name}"))).otherwise(F.lit("")) for f in single]
-        return F.concat(F.col("_mask").cast("string"), *[c for p in parts for c in (F.lit("|"), p)])
+        parts = [F.col("_mask").cast("string") if mask is None else F.lit(str(mask))]
+        for i, field in enumerate(self.fields):
+            if field.many or field not in self.used:
+                continue
+            part = _part(F.col(f"_{field.name}"))
+            if mask is None:
+                parts += [F.lit("|"), F.when(self._masked(field.name), part).otherwise(F.lit(""))]
+            else:
+                parts += [F.lit("|"), part if mask & 2**i else F.lit("")]
+        return F.concat(*parts)
 
     def _many(self) -> list[Field]:
         return [f for f in self.used if f.many]
@@ -158,12 +165,13 @@ class SpecMatcher:
 
     def _signed_reviews(self, rows: DataFrame) -> DataFrame:
         """One row per review and mask in use with a signature that some specification has."""
-        signed = rows.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in self.masks])))
-        many = {f"_{f.name}": F.when(self._masked(f.name), F.col(f"_{f.name}")) for f in self._many()}
-        signed = signed.withColumns({SIGNATURE: self._signature(), **many}).filter(F.col(SIGNATURE).isNotNull())
-        if not self.small:
-            return signed
-        return signed.join(F.broadcast(self._spec_signatures().select(SIGNATURE).distinct()), SIGNATURE, "left_semi")
+        signatures = [F.struct(F.lit(m).alias("_mask"), self._signature(m).alias(SIGNATURE)) for m in self.masks]
+        signed = rows.select(*rows.columns, F.inline(F.array(*signatures))).filter(F.col(SIGNATURE).isNotNull())
+        if self.small:
+            known = self._spec_signatures().select(SIGNATURE).distinct()
+            signed = signed.join(F.broadcast(known), SIGNATURE, "left_semi")
+        return signed.withColumns(
+            {f"_{f.name}": F.when(self._masked(f.name), F.col(f"_{f.name}")) for f in self._many()})
 
     def _each_value(self, rows: DataFrame) -> DataFrame:
         """One row per value of the many-valued fields under the mask; one with null where the field is open."""

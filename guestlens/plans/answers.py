@@ -184,16 +184,20 @@ def top_reviews(
 
 def closest(
     reviews: DataFrame, asked: DataFrame, pooled: DataFrame, question: str = "question", k: int = TOP_K,
-    factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid",
+    factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid", partitions: int | None = None,
 ) -> DataFrame:
     """The pooled reviews most similar to each question.
 
-    Each candidate text and each question is embedded once, whatever the number of pairs.
+    Each candidate text and each question is embedded once, whatever the number of pairs.  Calls run
+    on ``partitions`` partitions, by default as many as the cluster has cores.
     """
+    partitions = partitions or reviews.sparkSession.sparkContext.defaultParallelism
     pooled = pooled.drop("rank")
     texts = reviews.join(pooled.select("review_uid").distinct(), "review_uid", "left_semi")
-    vectors = with_embeddings(texts.select("review_uid", "Review_Text"), "Review_Text", factory).drop("Review_Text")
-    asking = with_embeddings(asked.select(qid, "spec_key", question), question, factory, "query_vector")
+    texts = texts.select("review_uid", "Review_Text")
+    vectors = with_embeddings(texts, "Review_Text", factory, partitions=partitions).drop("Review_Text")
+    asking = asked.select(qid, "spec_key", question)
+    asking = with_embeddings(asking, question, factory, "query_vector", partitions)
     pairs = asking.drop(question).join(pooled, "spec_key").join(vectors, "review_uid").drop("spec_key")
     return top_by_similarity(pairs, qid, "vector", "query_vector", "review_uid", k)
 

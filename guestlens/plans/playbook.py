@@ -213,12 +213,17 @@ def narrative(playbook: DataFrame, top: int = 3) -> DataFrame:
 
 def worst_cells(cells: DataFrame, least: int = MIN_VOLUME) -> DataFrame:
     """Per park the cell with the lowest median among those with enough data, and the mean of the
-    medians of its theme in the park."""
-    gated = playbook_cells(cells, least).filter(~F.col("low_data_flag") & F.col("median_sentiment").isNotNull())
+    medians of its theme in the park.
+
+    Parks without such a cell keep one row with ``low_data_flag`` set.
+    """
+    thin = F.col("low_data_flag") | F.col("median_sentiment").isNull()
     in_theme = Window.partitionBy("Branch", "theme")
-    in_park = Window.partitionBy("Branch").orderBy("median_sentiment", "Season", "theme")
+    in_park = Window.partitionBy("Branch").orderBy("low_data_flag", "median_sentiment", "Season", "theme")
     return (
-        gated.withColumn("theme_average", F.avg("median_sentiment").over(in_theme))
+        playbook_cells(cells, least)
+        .withColumn("low_data_flag", thin)
+        .withColumn("theme_average", F.avg(F.when(~F.col("low_data_flag"), F.col("median_sentiment"))).over(in_theme))
         .withColumn("rank", F.row_number().over(in_park))
         .filter("rank = 1")
         .drop("rank")
@@ -227,20 +232,21 @@ def worst_cells(cells: DataFrame, least: int = MIN_VOLUME) -> DataFrame:
 
 def insight_findings(reviews: DataFrame, least: int = MIN_VOLUME, least_drop: float = 0.3) -> DataFrame:
     """Per park the critical issue, an action, and its drop below the theme's average if large."""
-    cells = theme_cells(reviews)
-    parks = grouped_cells(cells).select("Branch").distinct()
+    found = worst_cells(theme_cells(reviews), least)
+    met = ~F.col("low_data_flag")
     drop = F.col("theme_average") - F.col("median_sentiment")
-    found = parks.join(worst_cells(cells, least), "Branch", "left")
+    issue = F.concat(
+        F.lit("CRITICAL ISSUE: '"), "theme", F.lit("' in "), "Season", F.lit(" has lowest sentiment ("),
+        one_decimal(F.col("median_sentiment")), F.lit(", N="), F.col("volume").cast("string"), F.lit(")."),
+    )
+    note = F.concat(
+        F.lit("This is "), one_decimal(drop), F.lit(" points lower than the "), "theme",
+        F.lit(" average ("), one_decimal(F.col("theme_average")), F.lit(") at this park."),
+    )
     return found.select(
         "Branch",
-        F.when(F.col("theme").isNull(), F.lit(fixed.NO_THEMES_MET)).otherwise(F.concat(
-            F.lit("CRITICAL ISSUE: '"), "theme", F.lit("' in "), "Season", F.lit(" has lowest sentiment ("),
-            one_decimal(F.col("median_sentiment")), F.lit(", N="), F.col("volume").cast("string"), F.lit(")."),
-        )).alias("finding"),
-        F.when(F.col("theme").isNotNull(), finding_action_for(F.col("theme"))).alias("action"),
-        F.when(drop > least_drop, F.concat(
-            F.lit("This is "), one_decimal(drop), F.lit(" points lower than the "), "theme",
-            F.lit(" average ("), one_decimal(F.col("theme_average")), F.lit(") at this park."),
-        )).alias("drop_note"),
-        F.when(drop > least_drop, drop).alias("drop"),
+        F.when(met, issue).otherwise(F.lit(fixed.NO_THEMES_MET)).alias("finding"),
+        F.when(met, finding_action_for(F.col("theme"))).alias("action"),
+        F.when(met & (drop > least_drop), note).alias("drop_note"),
+        F.when(met & (drop > least_drop), drop).alias("drop"),
     )

@@ -16,8 +16,11 @@ CANDIDATE_POOL = 150
 
 def with_embeddings(
     rows: DataFrame, text: str, factory: Callable[[], Embed] = word_hash_embedder, name: str = "vector",
+    partitions: int | None = None,
 ) -> DataFrame:
-    return rows.withColumn(name, embed_text(F.col(text), factory))
+    """Vectors of the texts.  ``partitions`` spreads few large partitions over more model calls."""
+    spread = rows.repartition(partitions) if partitions else rows
+    return spread.withColumn(name, embed_text(F.col(text), factory))
 
 
 def top_by_similarity(

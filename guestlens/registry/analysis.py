@@ -244,7 +244,7 @@ WORST_SQL = CELLS + """
 
 @query("worst_cells", WORST_SQL + " SELECT Branch, Season, theme, CAST(volume AS BIGINT) AS volume, median_sentiment, round(theme_average, 6) AS theme_average FROM worst")
 def worst_cells(spark, sf):
-    worst = playbook.worst_cells(insights.theme_cells(light_reviews(spark, sf)))
+    worst = playbook.worst_cells(insights.theme_cells(light_reviews(spark, sf))).filter("NOT low_data_flag")
     return rounded(worst.select(*insights.CELL, "volume", "median_sentiment", "theme_average"), "theme_average")
 
 

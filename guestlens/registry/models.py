@@ -47,7 +47,8 @@ SELECT {UID}, CAST(score AS BIGINT) AS sentiment_score, CASE WHEN score < 3 THEN
 @query("model_enrichment", LABELLED_SQL)
 def model_enrichment(spark, sf):
     raw = tables.reviews(spark, sf).select("review_uid", "Review_Text")
-    labelled = models.annotate(raw).select("review_uid", *FIELDS)
+    cores = spark.sparkContext.defaultParallelism
+    labelled = models.annotate(raw, partitions=cores).select("review_uid", *FIELDS)
     return as_bigint(labelled.withColumn("topics", as_text("topics")), "sentiment_score")
 
 
@@ -149,7 +150,8 @@ def _places_sql(name, key, text, source):
 @query("review_embeddings", REVIEWS + ", " + _places_sql("v", "review_uid", "Review_Text", "reviews") + """
 SELECT CAST(review_uid AS BIGINT) AS review_uid, count(*) AS places, CAST(sum(n) AS DOUBLE) AS words, CAST(sum(n * (place + 1)) AS DOUBLE) AS weighted FROM v GROUP BY 1""")
 def review_embeddings(spark, sf):
-    vectors = search.with_embeddings(tables.reviews(spark, sf).select("review_uid", "Review_Text"), "Review_Text")
+    texts = tables.reviews(spark, sf).select("review_uid", "Review_Text")
+    vectors = search.with_embeddings(texts, "Review_Text", partitions=spark.sparkContext.defaultParallelism)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return vectors.select(
         "review_uid",
@@ -431,11 +433,11 @@ WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[
  kept AS (SELECT doc_id, words, list_filter(words, lambda w: regexp_full_match(w, 'c|[cb]?a(b?a)*')) AS good FROM split)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(words) AS BIGINT) AS words, CAST(len(good) AS BIGINT) AS valid, array_to_string(list_sort(list_distinct(good)), '|') AS valid_words FROM kept""")
 def valid_words(spark, sf):
-    text = F.col("text")
-    return tables.table(spark, sf, "documents").select(
-        "doc_id", F.size(words.words_of(F.lower(text))).cast("bigint").alias("words"),
-        F.size(words.valid_words(text)).cast("bigint").alias("valid"),
-        as_text(F.array_sort(F.array_distinct(words.valid_words(text)))).alias("valid_words"))
+    found = tables.table(spark, sf, "documents").select("doc_id", words.words_of(F.lower("text")).alias("all")).withColumn(
+        "good", F.filter("all", lambda w: words.is_valid_word(w)))
+    return found.select(
+        "doc_id", F.size("all").cast("bigint").alias("words"), F.size("good").cast("bigint").alias("valid"),
+        as_text(F.array_sort(F.array_distinct("good"))).alias("valid_words"))
 
 
 @query("dialogue_context", """

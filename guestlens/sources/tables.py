@@ -91,76 +91,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_PRIORITY = "CAST(substr(o_orderpriority, 1, 1) AS INT)"
+_DRAW = f"(o_orderkey * 7 + {_PRIORITY})"
+_REVIEW_COLUMNS = {
+    "review_uid": "o_orderkey",
+    "Branch": "CASE r_name WHEN 'ASIA' THEN 'Disneyland_HongKong' WHEN 'AMERICA' THEN 'Disneyland_California' "
+              "WHEN 'EUROPE' THEN 'Disneyland_Paris' WHEN 'AFRICA' THEN 'Disney_World_Florida' END",
+    "Rating": f"6 - {_PRIORITY}",
+    "Year_Month": "if(o_orderkey % 97 = 0, 'missing', concat(year(o_orderdate), '-', month(o_orderdate)))",
+    "Reviewer_Location": "n_name",
+    "sentiment_score": "CAST(CASE WHEN o_orderkey % 11 = 0 THEN NULL "
+                       f"WHEN month(o_orderdate) IN (6, 7, 8) AND o_orderkey % 7 IN (0, 2) THEN 1 + {_DRAW} % 3 "
+                       f"WHEN month(o_orderdate) IN (3, 4, 5) AND o_orderkey % 7 = 3 THEN 3 + {_DRAW} % 3 "
+                       f"ELSE 1 + {_DRAW} % 5 END AS INT)",
+    "topics": "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 151 = 0 THEN array('Weather') ELSE "
+              "array(array('Queues', 'Food'), array('Staff service'), array('Ticket Price', 'Waiting staff'), "
+              "array('Rides', 'Cleanliness'), array('Family'), array('Parking'), "
+              "array('Crowds', 'Dining', 'Cost'))[CAST(o_orderkey % 7 AS INT)] END",
+    "crowd_level": "CASE o_orderkey % 13 WHEN 3 THEN 'Crowded' WHEN 5 THEN 'Empty' WHEN 7 THEN 'None' END",
+    "staff_sentiment": "CASE o_orderkey % 13 WHEN 2 THEN 'Neutral' WHEN 6 THEN 'Rude' WHEN 7 THEN 'None' END",
+    "price_sensitivity": "CASE o_orderkey % 13 WHEN 4 THEN 'Rip-off' WHEN 8 THEN 'Cheap' END",
+    "family_sentiment": "CASE o_orderkey % 13 WHEN 1 THEN 'Joyful' WHEN 9 THEN 'Tired' END",
+}
+_REVIEW_TEXT = (
+    "concat(array('The park was Packed and the staff were rude.', 'Quiet day, walk on rides and friendly cast.', "
+    "'Overpriced food but helpful people.', 'Long lines everywhere, still worth it.', "
+    "'A moderate crowd and reasonable tickets.', 'Empty in the morning, crowded at noon.', "
+    "'Unpacked our bags; it was meaningful.', 'A rip off.', 'Nice but pricey.', 'Lovely castle.')"
+    "[CAST(o_orderkey % 10 AS INT)], ' ', coalesce(doc_text, ''))"
+)
+_LABELS = [
+    "CASE WHEN sentiment_score <= 2 THEN 'Negative' WHEN sentiment_score = 3 THEN 'Neutral' "
+    "WHEN sentiment_score > 3 THEN 'Positive' END AS sentiment_label",
+    "if(sentiment_score IS NULL, NULL, sentiment_score <= 3 AND o_orderstatus = 'F') AS is_complaint",
+]
+
+
 def reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """One review per order.  ``text=False`` leaves out the text column and the join it needs."""
     orders, customer, nation, region = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
-    key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    priority = F.substring("o_orderpriority", 1, 1).cast("int")
     base = (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(nation, customer.c_nationkey == nation.n_nationkey)
-        .join(region, nation.n_regionkey == region.r_regionkey)
-    )
-    parks = {"ASIA": "Disneyland_HongKong", "AMERICA": "Disneyland_California",
-             "EUROPE": "Disneyland_Paris", "AFRICA": "Disney_World_Florida"}
-    openings = [
-        "The park was Packed and the staff were rude.", "Quiet day, walk on rides and friendly cast.",
-        "Overpriced food but helpful people.", "Long lines everywhere, still worth it.",
-        "A moderate crowd and reasonable tickets.", "Empty in the morning, crowded at noon.",
-        "Unpacked our bags; it was meaningful.", "A rip off.", "Nice but pricey.", "Lovely castle.",
-    ]
-    topic_lists = [["Queues", "Food"], ["Staff service"], ["Ticket Price", "Waiting staff"],
-                   ["Rides", "Cleanliness"], ["Family"], ["Parking"], ["Crowds", "Dining", "Cost"]]
-
-    def pick(index, values):
-        return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-
-    def labelled(names):
-        out = F.when(F.lit(False), F.lit(""))
-        for rest, label in names.items():
-            out = out.when(key % 13 == rest, F.lit(label))
-        return out
-
-    month, draw = F.month(day), key * 7 + priority
-    score = (
-        F.when(key % 11 == 0, F.lit(None).cast("int"))
-        .when(month.isin(6, 7, 8) & (key % 7).isin(0, 2), 1 + draw % 3)
-        .when(month.isin(3, 4, 5) & (key % 7 == 3), 3 + draw % 3)
-        .otherwise(1 + draw % 5).cast("int")
+        orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    scored = F.col("sentiment_score")
-    columns = {
-        "review_uid": key,
-        "Branch": pick_branch(F.col("r_name"), parks),
-        "Rating": F.lit(6) - priority,
-        "Year_Month": F.when(key % 97 == 0, F.lit("missing")).otherwise(
-            F.concat(F.year(day).cast("string"), F.lit("-"), month.cast("string"))),
-        "Reviewer_Location": F.col("n_name"),
-        "sentiment_score": score,
-        "topic_list": F.when(key % 151 == 0, F.array(F.lit("Weather"))).otherwise(pick(key % 7, topic_lists)),
-        "crowd_level": labelled({3: "Crowded", 5: "Empty", 7: "None"}),
-        "staff_sentiment": labelled({2: "Neutral", 6: "Rude", 7: "None"}),
-        "price_sensitivity": labelled({4: "Rip-off", 8: "Cheap"}),
-        "family_sentiment": labelled({1: "Joyful", 9: "Tired"}),
-    }
+    columns = dict(_REVIEW_COLUMNS)
     if text:
-        documents = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc_text"))
-        base = base.join(documents, F.col("doc_id") == key, "left")
-        columns["Review_Text"] = F.concat(pick(key % 10, openings), F.lit(" "), F.coalesce("doc_text", F.lit("")))
-    rows = base.select("o_orderstatus", *[c.alias(n) for n, c in columns.items()])
-    label = F.when(scored <= 2, F.lit("Negative")).when(scored == 3, F.lit("Neutral")).when(scored > 3, F.lit("Positive"))
-    return rows.withColumns({
-        "sentiment_label": label,
-        "is_complaint": F.when(scored.isNotNull(), (scored <= 3) & (F.col("o_orderstatus") == "F")),
-        "topics": F.when(scored.isNotNull(), F.col("topic_list")),
-    }).drop("o_orderstatus", "topic_list")
-
-
-def pick_branch(region, parks):
-    out = F.when(F.lit(False), F.lit(""))
-    for name, park in parks.items():
-        out = out.when(region == name, F.lit(park))
-    return out
+        documents = table(spark, sf_dir, "documents").selectExpr("doc_id", "text AS doc_text")
+        base = base.join(documents, F.col("doc_id") == F.col("o_orderkey"), "left")
+        columns["Review_Text"] = _REVIEW_TEXT
+    rows = base.selectExpr("o_orderstatus", *[f"{e} AS {n}" for n, e in columns.items()])
+    return rows.selectExpr(*columns, *_LABELS)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

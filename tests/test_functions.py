@@ -61,7 +61,7 @@ def test_months_of_season(spark, branch, season, expected):
 ])
 def test_themes(spark, topics, crowd, price, staff, expected):
     row = spark.createDataFrame([(topics, crowd, price, staff)], "t array<string>, c string, p string, s string")
-    assert row.select(themes.themes(*[F.col(c) for c in "tcps"])).first()[0] == expected
+    assert row.select(themes.themes_of(themes.theme_mask(*[F.col(c) for c in "tcps"]))).first()[0] == expected
 
 
 def test_exploding_themes_drops_reviews_without_one(spark):
@@ -80,7 +80,7 @@ def test_exploding_themes_drops_reviews_without_one(spark):
 ])
 def test_keyword_label(spark, current, said, expected):
     row = spark.createDataFrame([(current, said)], "c string, t string")
-    assert row.select(lexicon.keyword_label(F.col("c"), F.col("t"), "crowd_level")).first()[0] == expected
+    assert row.select(lexicon.keyword_label(F.col("c"), F.lower("t"), "crowd_level")).first()[0] == expected
 
 
 def test_users_can_bring_their_own_lexicon(spark):
@@ -90,6 +90,11 @@ def test_users_can_bring_their_own_lexicon(spark):
     assert got == ["Sad", "Happy", None]
 
 
+def test_only_plain_patterns_are_searched_as_words():
+    assert lexicon.plain_words("crowd_level", "Moderate") == ["moderate", "okay wait"]
+    assert lexicon.plain_words("f", "l", [("f", "l", r"\bno+\b"), ("f", "l", r"\byes\b")]) is None
+
+
 WORDS = ["ac", "ab", "aba", "a", "b", "c", "aaaaa", "ca", "cb", "bb", "ad", "", "ba"]
 VALID = [False, False, True, True, False, True, True, True, False, False, False, False, True]
 
