@@ -150,8 +150,8 @@ def top_locations(reviews: DataFrame, top: int = 10) -> DataFrame:
 
 
 def from_top_locations(reviews: DataFrame, top: int = 10) -> DataFrame:
-    """Reviews from the top locations; the broadcast side has at most ``top`` rows."""
-    wanted = F.broadcast(top_locations(reviews, top).select("Reviewer_Location"))
+    """Reviews from the top locations.  Spark broadcasts a list of ``top`` rows if that is small."""
+    wanted = top_locations(reviews, top).select("Reviewer_Location")
     return reviews.join(wanted, "Reviewer_Location", "left_semi")
 
 

@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from guestlens.functions.calendar import months_of_season, visit_month
 from guestlens.operators.insights import weighted_mean
 from guestlens.operators.ranking import first_k_per_group
-from guestlens.operators.sizes import SMALL_ROWS
 
 SIGNATURE = "signature"
+# Up to so many signatures of specifications are broadcast: some ten megabytes.
+SMALL_ROWS = 100_000
 
 
 @dataclass(frozen=True)

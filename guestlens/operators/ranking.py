@@ -160,4 +160,5 @@ def head(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def repeatable_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows picked by a hash of the key and the seed; all rows when there are no more."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    return df.orderBy(draw, key).limit(n)

@@ -219,6 +219,13 @@ def answer_contexts(lines: DataFrame, qid: str = "qid") -> DataFrame:
     return lines.groupBy(qid).agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("context"))
 
 
+def chart_catalog(branches: DataFrame) -> DataFrame:
+    """All charts in order: the heatmap of every park, then those over all parks."""
+    overall = F.array(*[_chart(F.lit(t), kind, F.lit(path)) for t, kind, path in fixed.GLOBAL_CHARTS])
+    parks = branch_list(branches).withColumn("chart", F.concat(F.transform("parks", _heatmap), overall))
+    return parks.select(F.posexplode("chart").alias("position", "chart")).select("position", "chart.*")
+
+
 def _chart(title: Column, kind: str, path: Column) -> Column:
     return F.struct(title.alias("title"), F.lit(kind).alias("type"), path.alias("path"))
 

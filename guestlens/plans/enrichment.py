@@ -22,7 +22,8 @@ from guestlens.sources.files import append, read_if_present, write_stage
 
 FIELDS = tuple(ENRICHMENT.fieldNames())
 BATCH_SIZE = 50
-REMOTE_CLIENTS, LOCAL_CLIENTS = 100, 2
+# Concurrent model calls that served well: 100 for a remote service, 2 for a local model.
+CLIENTS = {"remote": 100, "local": 2}
 
 
 def store_schema(key_type: T.DataType, key: str = "review_uid") -> T.StructType:

@@ -110,13 +110,13 @@ def quotes(reviews: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     shown = F.when(whole, F.col("Review_Text")).otherwise(snippet(F.col("Review_Text"), SHORT_QUOTE, always=True))
     themed = grouped_cells(explode_themes(negative.withColumns({"_whole": whole, "_shown": shown})))
     if cells is not None:
-        themed = themed.join(F.broadcast(cells.select(*CELL)), CELL, "left_semi")
+        themed = themed.join(cells.select(*CELL), CELL, "left_semi")
     first = F.struct(~F.col("_whole"), F.col("review_uid"))
     return themed.groupBy(*CELL).agg(F.min_by("_shown", first).alias("quote"))
 
 
 def with_quotes(issues: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Issues with their quote.  ``issues`` is a top list, so broadcasting its cells is bounded."""
+    """Issues with their quote.  Spark knows the size of a top list and broadcasts it if it is small."""
     found = quotes(reviews, issues)
     return issues.join(found, CELL, "left").withColumn(
         "representative_quote", F.coalesce("quote", F.lit(fixed.NO_QUOTE))
@@ -125,9 +125,11 @@ def with_quotes(issues: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def cx_playbook(
     reviews: DataFrame, min_volume: int = MIN_VOLUME, trend_eps: float = TREND_EPS, top: int = TOP,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
-    """The ranked issue table."""
-    issues = critical_issues(playbook_trends(reviews, min_volume, trend_eps), top)
+    """The ranked issue table.  ``cells`` saves the first pass if the theme cells are there already."""
+    cells = theme_cells(reviews) if cells is None else cells
+    issues = critical_issues(trends_from_cells(cells, min_volume, trend_eps), top)
     return formatted(with_quotes(issues, reviews)).orderBy(*playbook_order())
 
 
@@ -232,7 +234,11 @@ def worst_cells(cells: DataFrame, least: int = MIN_VOLUME) -> DataFrame:
 
 def insight_findings(reviews: DataFrame, least: int = MIN_VOLUME, least_drop: float = 0.3) -> DataFrame:
     """Per park the critical issue, an action, and its drop below the theme's average if large."""
-    found = worst_cells(theme_cells(reviews), least)
+    return findings_from_cells(theme_cells(reviews), least, least_drop)
+
+
+def findings_from_cells(cells: DataFrame, least: int = MIN_VOLUME, least_drop: float = 0.3) -> DataFrame:
+    found = worst_cells(cells, least)
     met = ~F.col("low_data_flag")
     drop = F.col("theme_average") - F.col("median_sentiment")
     issue = F.concat(

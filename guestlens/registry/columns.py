@@ -35,9 +35,10 @@ def canonical_id(spark, sf):
     return as_bigint(files.normalise_id(raw).select("review_uid", "Rating"), "Rating")
 
 
-@query("column_peek")
+@query("column_peek", REVIEWS + f" SELECT {UID}, CAST(Rating AS BIGINT) AS Rating, Year_Month, Reviewer_Location, Branch FROM reviews ORDER BY review_uid LIMIT 5")
 def column_peek(spark, sf):
-    return paging.peek(light_reviews(spark, sf).drop("topics"))
+    raw = light_reviews(spark, sf).select("review_uid", "Rating", "Year_Month", "Reviewer_Location", "Branch")
+    return as_bigint(paging.peek(raw, key="review_uid"), "Rating")
 
 
 @query("paged_reviews", REVIEWS + """
@@ -244,8 +245,11 @@ def head_rows(spark, sf):
     return ranking.head(light_reviews(spark, sf).select("review_uid", "Branch", "Year_Month"), "review_uid", 50)
 
 
-@query("evidence_sample")
+@query("evidence_sample", REVIEWS + f"""
+SELECT {UID}, CAST(Rating AS BIGINT) AS Rating, CASE WHEN length(Review_Text) > 300 THEN concat(substr(Review_Text, 1, 300), '...') ELSE Review_Text END AS quote
+FROM reviews WHERE crowd_level = 'Crowded' AND Branch = 'Disneyland_Paris' ORDER BY md5(concat('0|', CAST(review_uid AS VARCHAR))), review_uid LIMIT 3""")
 def evidence_sample(spark, sf):
     wanted = filters.equal_to(tables.reviews(spark, sf), {"crowd_level": "Crowded", "Branch": "Disneyland_Paris"})
     sample = ranking.repeatable_sample(wanted, "review_uid", 3)
-    return sample.select("review_uid", "Rating", text.snippet(F.col("Review_Text"), 300).alias("quote"))
+    quote = text.snippet(F.col("Review_Text"), 300).alias("quote")
+    return as_bigint(sample.select("review_uid", "Rating", quote), "Rating")

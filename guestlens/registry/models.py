@@ -352,6 +352,19 @@ def chart_selection(spark, sf):
     return as_bigint(answers.chart_selection(guarded, branches), "position")
 
 
+def _catalog_sql():
+    rows = " UNION ALL ".join(f"SELECT 1000000 + {i}, '{t}', '{kind}', '{path}'" for i, (t, kind, path) in enumerate(fixed.GLOBAL_CHARTS))
+    return REVIEWS + f"""
+, charts(ord, title, type, path) AS (SELECT row_number() OVER (ORDER BY Branch), concat('Theme Sentiment: ', replace(Branch, '_', ' ')), 'sent_heatmap',
+  concat('/plots/insight1_', Branch, '.png') FROM (SELECT DISTINCT Branch FROM reviews WHERE Branch IS NOT NULL) UNION ALL {rows})
+SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS position, title, type, path FROM charts"""
+
+
+@query("chart_catalog", _catalog_sql())
+def chart_catalog(spark, sf):
+    return as_bigint(answers.chart_catalog(insights.valid_branches(light_reviews(spark, sf))), "position")
+
+
 @query("answered_questions", TOP_SQL + """
 , whole AS (SELECT count(*) AS n, count(sentiment_score) * 100.0 / count(*) AS cov FROM reviews),
  c AS (SELECT qid, sentiment_label, count(*) AS n FROM hits WHERE sentiment_label IS NOT NULL GROUP BY 1, 2),

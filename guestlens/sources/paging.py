@@ -45,9 +45,9 @@ def page(df: DataFrame, key: str, number: int, size: int = PAGE_SIZE, rows_per_b
     return df.orderBy(key).offset(first - skip).limit(size)
 
 
-def peek(df: DataFrame, rows: int = 5) -> DataFrame:
-    """A few rows for a look at the data; which ones is up to the reader."""
-    return df.limit(rows)
+def peek(df: DataFrame, rows: int = 5, key: str | None = None) -> DataFrame:
+    """A few rows for a look at the data: the first by ``key``, else those that come fastest."""
+    return (df.orderBy(key) if key else df).limit(rows)
 
 
 def columns_of(df: DataFrame) -> DataFrame:

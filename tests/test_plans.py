@@ -135,6 +135,16 @@ def test_confusion_adds_up(reviews):
     assert sum(r.reviews for r in compare.confusion(paired, "crowd_level_a", "crowd_level_b").collect()) == reviews.count()
 
 
+def test_report_tables(reviews):
+    from guestlens.plans.report import report_tables
+
+    tables_of = report_tables(reviews)
+    assert [tuple(r) for r in tables_of["playbook"].collect()] == [tuple(r) for r in playbook.cx_playbook(reviews).collect()]
+    heat = {(r.Branch, r.Season, r.theme): r.volume for r in tables_of["theme_season_heatmap"].collect()}
+    assert heat == {(r.Branch, r.Season, r.theme): r.volume for r in insights.theme_season_heatmap(reviews).collect()}
+    assert all(t.count() > 0 for t in tables_of.values())
+
+
 # --- questions ----------------------------------------------------------------------------
 
 def ask(spark, *specs):
