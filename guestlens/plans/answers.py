@@ -10,6 +10,7 @@ from guestlens import fixed_values as fixed
 from guestlens.functions.models import Embed, word_hash_embedder
 from guestlens.functions.text import one_decimal, spaced
 from guestlens.functions.themes import contains_any
+from guestlens.functions.vectors import with_norm
 from guestlens.operators.insights import coverage, distribution_text, shares, valid_branches
 from guestlens.operators.matching import SpecMatcher, question_fields
 from guestlens.plans.quant import keyed_specs
@@ -198,7 +199,8 @@ def closest(
     vectors = with_embeddings(texts, "Review_Text", factory, partitions=partitions).drop("Review_Text")
     asking = asked.select(qid, "spec_key", question)
     asking = with_embeddings(asking, question, factory, "query_vector", partitions)
-    pairs = asking.drop(question).join(pooled, "spec_key").join(vectors, "review_uid").drop("spec_key")
+    asking = with_norm(asking.drop(question), "query_vector")
+    pairs = asking.join(pooled, "spec_key").join(with_norm(vectors, "vector"), "review_uid").drop("spec_key")
     return top_by_similarity(pairs, qid, "vector", "query_vector", "review_uid", k)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from guestlens.functions.models import Embed, embed_text, word_hash_embedder
-from guestlens.functions.vectors import cosine
+from guestlens.functions.vectors import cosine_of_normed, with_norm
 from guestlens.operators.ranking import first_k_per_group
 
 TOP_K = 5
@@ -28,10 +28,11 @@ def top_by_similarity(
 ) -> DataFrame:
     """The ``k`` most similar rows per query, with ``similarity`` and ``rank``.
 
-    A missing vector sorts last, ties go by key; so if no vector is there the first ``k`` keys remain.
+    ``pairs`` holds both vectors and their lengths, see :func:`with_norm`.  A missing vector sorts last, ties go by key; so if no vector is there the first ``k`` keys remain.
     Only keys and similarities are ranked and shuffled.
     """
-    scored = pairs.withColumn("similarity", cosine(F.col(vector), F.col(query_vector))).drop(vector, query_vector)
+    scored = pairs.withColumn("similarity", cosine_of_normed(vector, query_vector)).drop(
+        vector, query_vector, f"{vector}_norm", f"{query_vector}_norm")
     return first_k_per_group(
         scored, [query], [F.desc_nulls_last("similarity"), F.col(key)], k, F.col(key), salts=8
     )
@@ -42,7 +43,8 @@ def filtered_search(
     vector: str = "vector", query_vector: str = "query_vector", k: int = TOP_K,
 ) -> DataFrame:
     """Exact search among the items that agree with the query in the metadata columns ``on``."""
-    pairs = queries.select(query, query_vector, *on).join(items.select(key, vector, *on), list(on))
+    asked = with_norm(queries.select(query, query_vector, *on), query_vector)
+    pairs = asked.join(with_norm(items.select(key, vector, *on), vector), list(on))
     return top_by_similarity(pairs.drop(*on), query, vector, query_vector, key, k)
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guestlens import fixed_values as fixed
+from guestlens.functions.vectors import with_norm
 from guestlens.operators import compare, insights
 from guestlens.plans import answers, playbook, quant, search
 from guestlens.plans.answers import answered, chart_selection, guard, parse_specs
@@ -45,6 +46,7 @@ def test_vector_search_of_the_original_test_suite(spark):
 
 def test_without_vectors_the_first_keys_remain(spark):
     pairs = spark.createDataFrame([(1, k, None, [1.0]) for k in range(9)], "query int, key int, vector array<double>, query_vector array<double>")
+    pairs = with_norm(with_norm(pairs, "vector"), "query_vector")
     got = [r.key for r in search.top_by_similarity(pairs, "query", "vector", "query_vector", "key").orderBy("rank").collect()]
     assert got == [0, 1, 2, 3, 4]
 
