@@ -238,12 +238,16 @@ def shares(counted: DataFrame, *group: str) -> DataFrame:
     return counted.withColumn("share", F.col("reviews") / total * 100)
 
 
+def share_text(label: Column, share: Column) -> Column:
+    return F.concat(label, F.lit(" ("), one_decimal(share), F.lit("%)"))
+
+
 def distribution_text(shared: DataFrame, *group: str) -> DataFrame:
     """One text per group, most frequent label first: ``Positive (77.7%), Neutral (12.0%)``."""
     entry = F.struct(
         (-F.col("reviews")).alias("order"),
         F.col("sentiment_label").alias("label"),
-        F.concat("sentiment_label", F.lit(" ("), one_decimal(F.col("share")), F.lit("%)")).alias("text"),
+        share_text(F.col("sentiment_label"), F.col("share")).alias("text"),
     )
     entries = F.array_sort(F.collect_list(entry))
     return shared.groupBy(*group).agg(F.concat_ws(", ", F.transform(entries, lambda e: e["text"])).alias("distribution"))

@@ -90,9 +90,16 @@ def positions(
     """The position of every row from 0 in the order of the unique ``key``, and the number of rows.
 
     Rows are ranked within key ranges; the ranges before them add their row counts.  The table of
-    range counts has at most ``MAX_BUCKETS`` rows, which bounds its window and its broadcast.
+    range counts has at most ``MAX_BUCKETS`` rows, which bounds its window and its broadcast.  A table
+    of no more than ``rows_per_bucket`` rows is one range and is ranked as such.
     """
     bounds = key_bounds(df, key, rows_per_bucket)
+    if not bounds:
+        ordered = Window.orderBy(key)
+        every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({
+            position: F.row_number().over(ordered) - 1, total: F.count(F.lit(1)).over(every),
+        })
     placed = df.withColumn("_bucket", bucket_of(_sort_code(df, key), bounds))
     counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _running_offsets(counts, [])

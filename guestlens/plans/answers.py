@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from guestlens import fixed_values as fixed
 from guestlens.functions.models import Embed, word_hash_embedder
 from guestlens.functions.text import one_decimal, spaced
 from guestlens.functions.themes import contains_any
 from guestlens.functions.vectors import with_norm
-from guestlens.operators.insights import coverage, distribution_text, shares, valid_branches
+from guestlens.operators.insights import coverage, share_text, valid_branches
 from guestlens.operators.matching import SpecMatcher, question_fields
 from guestlens.plans.quant import keyed_specs
 from guestlens.plans.search import CANDIDATE_POOL, TOP_K, top_by_similarity, with_embeddings
@@ -134,12 +134,19 @@ def matcher(reviews: DataFrame, asked: DataFrame) -> SpecMatcher:
 
 
 def spec_distributions(label_counts: DataFrame) -> DataFrame:
-    """Matches and sentiment text per specification; unlabelled reviews count as matches only."""
-    counted = F.sum("reviews").over(Window.partitionBy("spec_key")).alias("matches")
-    matches = label_counts.select("spec_key", counted).distinct()
-    labelled = label_counts.filter(F.col("sentiment_label").isNotNull())
-    texts = distribution_text(shares(labelled, "spec_key"), "spec_key")
-    return matches.join(texts, "spec_key", "left")
+    """Matches and sentiment text per specification; unlabelled reviews count as matches only.
+
+    A specification has as many rows as there are labels, so its list is short.
+    """
+    entry = F.struct((-F.col("reviews")).alias("order"), F.col("sentiment_label").alias("label"))
+    listed = label_counts.groupBy("spec_key").agg(
+        F.sum("reviews").alias("matches"),
+        F.sum(F.when(F.col("sentiment_label").isNotNull(), F.col("reviews"))).alias("_labelled"),
+        F.array_sort(F.collect_list(F.when(F.col("sentiment_label").isNotNull(), entry))).alias("_labels"),
+    )
+    texts = F.transform("_labels", lambda e: share_text(e["label"], -e["order"] / F.col("_labelled") * 100))
+    return listed.withColumn("distribution", F.when(F.size("_labels") > 0, F.array_join(texts, ", "))).drop(
+        "_labels", "_labelled")
 
 
 def question_distributions(reviews: DataFrame, asked: DataFrame) -> DataFrame:
@@ -189,11 +196,12 @@ def closest(
 ) -> DataFrame:
     """The pooled reviews most similar to each question.
 
-    Each candidate text and each question is embedded once, whatever the number of pairs.  Calls run
+    The pool is checkpointed: it is needed to fetch the texts and to pair them, and is made once.  Each candidate text and each question is embedded once, whatever the number of pairs.  Calls run
     on ``partitions`` partitions, by default as many as the cluster has cores.
     """
     partitions = partitions or reviews.sparkSession.sparkContext.defaultParallelism
-    pooled = pooled.drop("rank")
+    use_checkpoints(reviews.sparkSession)
+    pooled = pooled.drop("rank").checkpoint()
     texts = reviews.join(pooled.select("review_uid").distinct(), "review_uid", "left_semi")
     texts = texts.select("review_uid", "Review_Text")
     vectors = with_embeddings(texts, "Review_Text", factory, partitions=partitions).drop("Review_Text")

@@ -17,6 +17,7 @@ from guestlens.operators.filters import low_data
 from guestlens.operators.insights import (
     CELL, grouped_cells, negative_count, pct_negative, theme_cells, weighted_mean, weighted_median, with_season,
 )
+from guestlens.session import use_checkpoints
 
 MIN_VOLUME = 30
 TREND_EPS = 0.2
@@ -127,9 +128,14 @@ def cx_playbook(
     reviews: DataFrame, min_volume: int = MIN_VOLUME, trend_eps: float = TREND_EPS, top: int = TOP,
     cells: DataFrame | None = None,
 ) -> DataFrame:
-    """The ranked issue table.  ``cells`` saves the first pass if the theme cells are there already."""
+    """The ranked issue table.  ``cells`` saves the first pass if the theme cells are there already.
+
+    The list of issues is checkpointed: it is needed to look for quotes and to join them, and is made
+    once.
+    """
     cells = theme_cells(reviews) if cells is None else cells
-    issues = critical_issues(trends_from_cells(cells, min_volume, trend_eps), top)
+    use_checkpoints(reviews.sparkSession)
+    issues = critical_issues(trends_from_cells(cells, min_volume, trend_eps), top).checkpoint()
     return formatted(with_quotes(issues, reviews)).orderBy(*playbook_order())
 
 
