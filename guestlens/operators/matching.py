@@ -133,22 +133,18 @@ class SpecMatcher:
         bit = 2 ** next(i for i, f in enumerate(self.fields) if f.name == name)
         return F.col("_mask").bitwiseAND(bit) != 0
 
-    def _signature(self, mask: int | None = None) -> Column:
+    def _with_parts(self, rows: DataFrame) -> DataFrame:
+        """The signature part of every single-valued field, worked out once for all masks."""
+        return rows.withColumns({f"_part_{f.name}": _part(F.col(f"_{f.name}")) for f in self.used if not f.many})
+
+    def _signature(self, mask: int) -> Column:
         """Mask and masked values in one text; null if a masked value is missing.
 
         Every value carries its length, so different values never give the same text.  Fields with
-        several values per review stay out.  Without ``mask`` it is taken from the row.
+        several values per review stay out.
         """
-        parts = [F.col("_mask").cast("string") if mask is None else F.lit(str(mask))]
-        for i, field in enumerate(self.fields):
-            if field.many or field not in self.used:
-                continue
-            part = _part(F.col(f"_{field.name}"))
-            if mask is None:
-                parts += [F.lit("|"), F.when(self._masked(field.name), part).otherwise(F.lit(""))]
-            else:
-                parts += [F.lit("|"), part if mask & 2**i else F.lit("")]
-        return F.concat(*parts)
+        masked = [f for i, f in enumerate(self.fields) if mask & 2**i and not f.many]
+        return F.concat(F.lit(f"{mask}|"), *[F.col(f"_part_{f.name}") for f in masked])
 
     def _many(self) -> list[Field]:
         return [f for f in self.used if f.many]
@@ -159,7 +155,10 @@ class SpecMatcher:
         for field in (f for f in self.used if f.several):
             rows = rows.withColumn(f"_{field.name}", F.explode(F.coalesce(f"_{field.name}", F.array(F.lit(None)))))
         many = [F.col(f"_{f.name}").cast("string").alias(f"_one_{f.name}") for f in self._many()]
-        return rows.select(self.spec_key, self._signature().alias(SIGNATURE), *many)
+        signature = F.lit(None).cast("string")
+        for mask in self.masks:
+            signature = F.when(F.col("_mask") == mask, self._signature(mask)).otherwise(signature)
+        return self._with_parts(rows).select(self.spec_key, signature.alias(SIGNATURE), *many)
 
     def _hint(self, specs: DataFrame) -> DataFrame:
         return F.broadcast(specs) if self.small else specs
@@ -167,7 +166,10 @@ class SpecMatcher:
     def _signed_reviews(self, rows: DataFrame) -> DataFrame:
         """One row per review and mask in use with a signature that some specification has."""
         signatures = [F.struct(F.lit(m).alias("_mask"), self._signature(m).alias(SIGNATURE)) for m in self.masks]
-        signed = rows.select(*rows.columns, F.inline(F.array(*signatures))).filter(F.col(SIGNATURE).isNotNull())
+        single = {f"_{f.name}" for f in self.used if not f.many}
+        kept = [c for c in rows.columns if c not in single]
+        signed = self._with_parts(rows).select(*kept, F.inline(F.array(*signatures)))
+        signed = signed.filter(F.col(SIGNATURE).isNotNull())
         if self.small:
             known = self._spec_signatures().select(SIGNATURE).distinct()
             signed = signed.join(F.broadcast(known), SIGNATURE, "left_semi")
