@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -12,7 +10,7 @@ def build_session(app_name: str = "guestlens", master: str | None = None, **conf
 
     The number of shuffle partitions, memory and the master are the cluster's business; pass
     ``master`` and ``conf`` for local runs.  Adaptive execution coalesces small partitions and
-    splits skewed join partitions.
+    splits skewed join partitions.  Checkpoint files go when nothing refers to them any more.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -20,6 +18,7 @@ def build_session(app_name: str = "guestlens", master: str | None = None, **conf
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -29,12 +28,16 @@ def build_session(app_name: str = "guestlens", master: str | None = None, **conf
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only in local runs without it."""
+    """The shared checkpoint folder: the context's, else the one that ``spark.checkpoint.dir`` names.
+
+    Where neither is set, as in a bare local session, the folder lies in the warehouse, which driver and
+    executors share as well.  There is no temporary folder.
+    """
+    set_before = spark.sparkContext.getCheckpointDir()
+    if set_before:
+        return set_before
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
