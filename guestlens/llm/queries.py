@@ -57,3 +57,30 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
     )
+
+
+def remainder(key: str, of: int) -> Column:
+    """crc32 of the key as text, modulo ``of``; null for a null key."""
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(of))
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> "QualityModel":
+    """Learned from labels outside the held-out fold, with the texts that ``docs`` has of them."""
+    from guestlens.llm.quality import fit_quality
+
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    return fit_quality(docs, labels)
+
+
+@register
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.quality import ACCEPTED, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, quality_model(spark, sf_dir, docs), score="score")
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= ACCEPTED).cast("int").alias("predicted"),
+    )
