@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from guestlens.session import use_checkpoints
@@ -40,7 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_SLICE) -> Ite
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Pieces of Arrow batches with at most ``most`` bytes of text in ``column``; a longer text is a piece of its own."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for row, size in enumerate(sizes):
             if held and held + size > most:

@@ -84,3 +84,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= ACCEPTED).cast("int").alias("predicted"),
     )
+
+
+@register
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.language import fit_language, label_languages
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs, remainder("doc_id", 3) != 1)
+    return label_languages(docs, model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
