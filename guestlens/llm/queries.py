@@ -95,3 +95,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_languages(docs, model).select(
         "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"
     )
+
+
+@register
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.suffix import remove_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
