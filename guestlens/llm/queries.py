@@ -105,3 +105,10 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@register
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
