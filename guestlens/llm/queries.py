@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from guestlens.llm.common import table
+from guestlens.llm.lines import lines_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,3 +113,13 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from guestlens.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.lines import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+SQL["op10_lines"] = lines_sql()
