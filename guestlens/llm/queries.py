@@ -123,3 +123,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_lines"] = lines_sql()
+
+
+@register
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.decontaminate import find_leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", F.col("leak.item").alias("item_id"), "leak.similarity", "leak.start", "leak.words")
