@@ -132,3 +132,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
     return found.select("doc_id", F.col("leak.item").alias("item_id"), "leak.similarity", "leak.start", "leak.words")
+
+
+@register
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
