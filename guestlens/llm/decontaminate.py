@@ -164,28 +164,28 @@ class Items:
         return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", threshold: float = THRESHOLD, leaks: str = "leaks") -> DataFrame:
     """``docs`` with a column ``leaks``: an array of (item, similarity, start, words), the best window of each item found.
 
     Words are lower-case runs of letters and digits; ``start`` counts words.  All rows and columns are kept; a column
-    already named ``leaks`` is replaced.  Null and empty texts hold nothing; null texts and items of fewer than five words
+    of that name is replaced.  Null and empty texts hold nothing; null texts and items of fewer than five words
     are left out, null item keys are keys like others, and items with equal texts are all reported.  An empty benchmark or
     an empty table gives empty arrays or an empty table.  The benchmark goes to the executors in passes of bounded size;
     documents never move.
     """
-    names = [c for c in docs.columns if c != "leaks"]
+    names = [c for c in docs.columns if c != leaks]
     items = benchmark.select(F.col(item).alias("item"), F.col("text").alias("text")).where("text IS NOT NULL")
     amount = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     passes = max(1, -(-amount["n"] // ITEMS_PER_PASS), -(-amount["bytes"] // BYTES_PER_PASS))
     kind = benchmark.schema[item].dataType.simpleString()
-    found = docs.select(*(f"`{c}`" for c in names)).withColumn("leaks", F.expr(f"CAST(array() AS array<struct<item:{kind},similarity:double,start:int,words:int>>)"))
+    found = docs.select(*(f"`{c}`" for c in names)).withColumn(leaks, F.expr(f"CAST(array() AS array<struct<item:{kind},similarity:double,start:int,words:int>>)"))
     for turn in range(passes):
         some = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == turn) if passes > 1 else items
-        found = one_pass(found, sorted(map(tuple, some.collect()), key=repr), names, text, threshold)
+        found = one_pass(found, sorted(map(tuple, some.collect()), key=repr), names, text, threshold, leaks)
     return found
 
 
-def one_pass(docs: DataFrame, items: list[tuple[object, str]], names: list[str], text: str, threshold: float) -> DataFrame:
+def one_pass(docs: DataFrame, items: list[tuple[object, str]], names: list[str], text: str, threshold: float, column: str) -> DataFrame:
     place = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(items)
     loaded: list[Items] = []
@@ -197,6 +197,6 @@ def one_pass(docs: DataFrame, items: list[tuple[object, str]], names: list[str],
             hits = loaded[0].search(piece.column(place).to_pylist(), threshold)
             before = piece.column(len(names)).to_pylist()
             leaks = [b + [{"item": h.item, "similarity": h.similarity, "start": h.start, "words": h.words} for h in x] for b, x in zip(before, hits)]
-            yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], pa.array(leaks, piece.column(len(names)).type)], [*names, "leaks"])
+            yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], pa.array(leaks, piece.column(len(names)).type)], [*names, column])
 
     return docs.mapInArrow(work, docs.schema)
