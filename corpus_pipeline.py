@@ -8,28 +8,70 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from guestlens.llm.bpe import encode_documents
 from guestlens.llm.common import stored, table
-from guestlens.llm.queries import VOCABULARY
+from guestlens.llm.decontaminate import find_leaks
+from guestlens.llm.lines import drop_recurring_lines
+from guestlens.llm.neardup import near_duplicates
+from guestlens.llm.quality import ACCEPTED, score_quality
+from guestlens.llm.queries import VOCABULARY, quality_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left, and the text that they decode to."""
-    from guestlens.llm.bpe import encode_documents
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; one that knows no label accepts all.
 
+    The classifier learns from the labels outside the held-out fold.  Null and empty texts are judged as empty texts.
+    """
+    model = quality_model(spark, sf_dir, docs)
+    if not any(model.weights):
+        return docs
+    return score_quality(docs, model, score="_score").where(F.col("_score") >= ACCEPTED).select(docs.columns)
+
+
+def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without lines of recurring templates; ``n_chars`` follows the text."""
+    out = drop_recurring_lines(docs, counts=("_lines", "_dropped"))
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, changed).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least key; documents without a key stay."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark"), leaks="_leaks")
+    return found.where(F.size("_leaks") == 0).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, packed token ids, and the text that they decode to."""
     return encode_documents(docs, VOCABULARY)
 
 
-STAGES: list[tuple[str, Stage]] = [("bpe", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_documents),
+    ("lines", without_recurring_lines),
+    ("neardup", one_of_each_group),
+    ("decontaminate", without_leaks),
+    ("bpe", encoded),
+]
 
-#: Classifier, near-duplicate verification and merges have no SQL.
+#: The classifier, the similarity of near duplicates and the merges have no SQL; the tests hold a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``; the rows that are left, encoded."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
