@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
-from itertools import groupby
-from operator import or_
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from guestlens.fixed_values import SEASON_LENGTH, SEASON_STARTS
+from guestlens.fixed_values import SEASON_MONTHS
 
-Seasons = Mapping[str, Mapping[str, int]]
+# Park, season, months: any number of seasons of any length, broken spans too.
+Seasons = Sequence[tuple[str, str, Sequence[int]]]
 
 
 def visit_month(year_month: Column) -> Column:
@@ -28,45 +26,51 @@ def month_start(year_month: Column) -> Column:
     return F.try_to_date(year_month, "yyyy-M")
 
 
-def season_months(start: int) -> list[int]:
-    return [(start - 1 + i) % 12 + 1 for i in range(SEASON_LENGTH)]
+def parks_of(seasons: Seasons) -> list[str]:
+    """The parks of a season table, in its order."""
+    return list(dict.fromkeys(park for park, _, _ in seasons))
 
 
-def _season_by_month(starts: Mapping[str, int]) -> Column:
-    names: list[str | None] = [None] * 12
-    for season, start in starts.items():
-        for month in season_months(start):
-            names[month - 1] = season
-    return F.array(*[F.lit(n).cast("string") for n in names])
+def _of_park(branch: Column, seasons: Seasons, value) -> Column:
+    """``value(seasons of the park)`` for the first park whose name contains ``branch``, ignoring case.
 
-
-def _per_park(branch: Column, seasons: Seasons, value) -> Column:
-    """``value(starts)`` of the first park whose name contains ``branch``, ignoring case.
-
-    Neighbouring parks with the same calendar share one case.
+    The cases stand in the order of the table; neighbouring parks with equal seasons share one.
     """
     wanted = F.lower(branch)
-    out = F.when(F.lit(False), value(next(iter(seasons.values()))))
-    for _, same in groupby(seasons.items(), key=lambda park: park[1]):
-        parks = list(same)
-        named = reduce(or_, [F.lit(park.lower()).contains(wanted) for park, _ in parks])
-        out = out.when(named, value(parks[0][1]))
+    cases: list[tuple[Column, list[tuple[str, Sequence[int]]]]] = []
+    for park in parks_of(seasons):
+        own = [(name, months) for of_park, name, months in seasons if of_park == park]
+        named = F.lit(park.lower()).contains(wanted)
+        if cases and cases[-1][1] == own:
+            cases[-1] = (cases[-1][0] | named, own)
+        else:
+            cases.append((named, own))
+    out = F.when(F.lit(False), value(cases[0][1])) if cases else F.lit(None)
+    for named, own in cases:
+        out = out.when(named, value(own))
     return out
 
 
-def season(branch: Column, year_month: Column, seasons: Seasons = SEASON_STARTS) -> Column:
+def season(branch: Column, year_month: Column, seasons: Seasons = SEASON_MONTHS) -> Column:
     """Season of a visit, from the park's own calendar; null for an unknown park or month."""
-    return _per_park(branch, seasons, lambda starts: F.get(_season_by_month(starts), visit_month(year_month) - 1))
+    month = visit_month(year_month)
+
+    def name_of(own: Sequence[tuple[str, Sequence[int]]]) -> Column:
+        by_month = {month: name for name, months in reversed(own) for month in months}
+        last = max(by_month, default=0)
+        return F.get(F.array(*[F.lit(by_month.get(m)).cast("string") for m in range(1, last + 1)]), month - 1)
+
+    return _of_park(branch, seasons, name_of)
 
 
-def months_of_season(branch: Column, season_name: Column, seasons: Seasons = SEASON_STARTS) -> Column:
+def months_of_season(branch: Column, season_name: Column, seasons: Seasons = SEASON_MONTHS) -> Column:
     """Months of a season in a park; null when either is empty or unknown."""
     wanted = F.initcap(F.lower(season_name))
 
-    def months(starts: Mapping[str, int]) -> Column:
+    def months_of(own: Sequence[tuple[str, Sequence[int]]]) -> Column:
         out = F.when(F.lit(False), F.array(F.lit(0)))
-        for name, start in starts.items():
-            out = out.when(wanted == name, F.lit(season_months(start)))
+        for name, months in own:
+            out = out.when(wanted == name, F.lit(list(months)))
         return out
 
-    return F.when(F.length(branch) > 0, _per_park(branch, seasons, months))
+    return F.when(F.length(branch) > 0, _of_park(branch, seasons, months_of))

@@ -9,8 +9,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from guestlens.fixed_values import SEASON_STARTS
-from guestlens.functions.calendar import Seasons, season_months, visit_month
+from guestlens.fixed_values import SEASON_MONTHS
+from guestlens.functions.calendar import Seasons, parks_of, visit_month
 from guestlens.functions.lexicon import has_label
 
 
@@ -36,16 +36,15 @@ class FilterSpec:
         return all(getattr(self, f.name) is None for f in fields(self))
 
 
-def known_months(branch: str | None, season: str | None, seasons: Seasons = SEASON_STARTS) -> list[int] | None:
+def known_months(branch: str | None, season: str | None, seasons: Seasons = SEASON_MONTHS) -> list[int] | None:
     """Months of the season in the first park whose name contains ``branch``."""
     if not branch or not season:
         return None
-    parks = [park for park in seasons if branch.lower() in park.lower()]
-    start = seasons[parks[0]].get(season.capitalize()) if parks else None
-    return season_months(start) if start else None
+    park = next((park for park in parks_of(seasons) if branch.lower() in park.lower()), None)
+    return next((list(months) for of_park, name, months in seasons if (of_park, name) == (park, season.capitalize())), None)
 
 
-def in_season(branch: str | None, season: str | None, seasons: Seasons = SEASON_STARTS) -> Column | None:
+def in_season(branch: str | None, season: str | None, seasons: Seasons = SEASON_MONTHS) -> Column | None:
     """Month within the season of the park; no restriction when park or season is unknown."""
     months = known_months(branch, season, seasons)
     return visit_month(F.col("Year_Month")).isin(months) if months else None

@@ -34,12 +34,20 @@ def test_season(spark, branch, year_month, expected):
 
 
 def test_season_follows_each_parks_own_calendar(spark):
-    seasons = {"North": {"Summer": 6, "Winter": 12}, "South": {"Summer": 12, "Winter": 6}}
+    seasons = [("North", "Summer", [6, 7, 8]), ("North", "Winter", [12, 1, 2]), ("South", "Summer", [12, 1, 2]), ("South", "Winter", [6, 7, 8])]
     rows = spark.createDataFrame([("North", "2020-1"), ("South", "2020-1"), ("South", "2020-4")], "b string, ym string")
     got = [r[0] for r in rows.select(calendar.season(F.col("b"), F.col("ym"), seasons)).collect()]
     assert got == ["Winter", "Summer", None]
 
 
+def test_seasons_of_any_length_and_broken_spans(spark):
+    seasons = [("Park", "High", [1, 5, 6, 7, 8, 12]), ("Park", "Low", [10])]
+    rows = spark.createDataFrame([("park", f"2020-{m}") for m in (1, 2, 8, 10, 12, 13)], "b string, ym string")
+    assert [r[0] for r in rows.select(calendar.season(F.col("b"), F.col("ym"), seasons)).collect()] == ["High", None, "High", "Low", "High", None]
+    row = spark.createDataFrame([("PARK", "high")], "b string, s string")
+    assert row.select(calendar.months_of_season(F.col("b"), F.col("s"), seasons)).first()[0] == [1, 5, 6, 7, 8, 12]
+
+
 @pytest.mark.parametrize("branch, season, expected", [
     ("Disneyland_Paris", "spring", [3, 4, 5]), ("paris", "WINTER", [12, 1, 2]), ("Disneyland_Paris", "Fall", None),
     ("", "Spring", None), (None, "Spring", None), ("Tokyo", "Spring", None), ("paris", None, None),
