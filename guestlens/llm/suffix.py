@@ -390,17 +390,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     against each other.  Texts of any length are read whole, in blocks.  An empty table gives an empty result; other
     columns are not read.  Strings are compared by hashes of 96 bits or more.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    every = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
+    rows = every.where("key IS NOT NULL")  # both joins below read the same exchange of these rows
     entries = rows.mapInArrow(phrase_rows, "key long, entry binary")
     entries = entries.repartition(F.expr("substring(entry, 1, 6)")).sortWithinPartitions("entry", "key")
     marks = stored(entries.mapInArrow(decided, "key long, mark long"), "repeat-marks")
     kind = F.col("mark").bitwiseAND(F.lit(3))
     probes = marks.where(kind != WHOLE).groupBy("key").agg(F.collect_list("mark").alias("marks"))
-    suffixes = rows.join(probes.hint("shuffle_hash"), "key").select("key", "marks", "text").mapInArrow(
+    suffixes = rows.join(probes.hint("shuffle_hash"), "key").select("key", "marks", "body").mapInArrow(
         suffix_rows, "route long, key long, content long, at int, bytes binary"
     )
     runs = suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(repeated_runs, "key long, content long, start int, end int")
     whole = marks.where(kind == WHOLE).select("key", F.shiftright("mark", 2).alias("content"), F.lit(0).alias("start"), F.lit(ALL).alias("end"))
     lists = whole.union(runs).groupBy("key").agg(F.collect_list(F.struct("content", "start", "end")).alias("runs"))
-    listed = rows.join(lists.hint("shuffle_hash"), "key", "left").select("key", "runs.content", "runs.start", "runs.end", "text")
+    listed = rows.join(lists.hint("shuffle_hash"), "key", "left").select("key", "runs.content", "runs.start", "runs.end", "body")
+    nothing = [F.lit(None).cast(f"array<{t}>").alias(c) for c, t in (("content", "long"), ("start", "int"), ("end", "int"))]
+    listed = listed.union(every.where("key IS NULL").select("key", *nothing, "body"))
     return listed.mapInArrow(removed_rows, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").withColumnRenamed("key", key)
