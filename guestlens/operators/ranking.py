@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-BOUND_BITS = 10
-MAX_BUCKETS = 2**BOUND_BITS
+# Ranges of a table that has rows for them, sampled keys per range, and ranges up to which the sample is collected.
+LEAST_BUCKETS = 8
+SAMPLED = 20
+COLLECTED = 1_000
 
 
 def first_k_per_group(
@@ -32,43 +36,37 @@ def first_k_per_group(
     )
 
 
-def _sort_code(df: DataFrame, key: str) -> Column:
-    """A number that sorts like ``key``: itself, or the first seven bytes of a text."""
-    if isinstance(df.schema[key].dataType, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("bigint")
-    return F.col(key)
-
-
 def key_bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list:
-    """Cut points that split ``key`` into ranges of about ``rows_per_bucket`` rows.
+    """Keys that split the unique ``key``, of any type, into ranges of about ``rows_per_bucket`` rows.
 
-    One pass over the key column; at most ``MAX_BUCKETS`` numbers reach the driver.  The points
-    are approximate and only balance the work: positions are exact for any cut points.
+    The keys come from a sample by hash, so a repeated run gets the same, and are real keys, so common prefixes do no
+    harm.  Of a sample too large for the driver only every ``SAMPLED``-th key in order reaches it, by the positions of the
+    sample itself: one bound for each range.  Bounds only balance the work: positions are exact for any.
     """
-    cuts = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    row = df.select(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(_sort_code(df, key), F.lit(cuts), 10 * MAX_BUCKETS).alias("cuts"),
-    ).first()
-    buckets = min(MAX_BUCKETS, -(-row["n"] // rows_per_bucket))
+    keys = df.select(key)
+    rows = keys.count()
+    buckets = max(-(-rows // rows_per_bucket), min(LEAST_BUCKETS, COLLECTED, rows))
     if buckets < 2:
         return []
-    picked = [row["cuts"][i * MAX_BUCKETS // buckets - 1] for i in range(1, buckets)]
-    return sorted(set(picked))
-
-
-def bucket_of(value: Column, bounds: Sequence) -> Column:
-    """Number of bounds below ``value``, by halving steps over the literal list."""
-    if not bounds:
-        return F.lit(0)
-    bits = len(bounds).bit_length()
-    points = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(bits))])
+    draw = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    sample = keys.filter(draw < min(1 << 40, -(-(SAMPLED * buckets << 40) // rows)))
+    if buckets > COLLECTED:
+        numbered = positions(sample, key, max(rows_per_bucket, -(-SAMPLED * buckets // COLLECTED)), "_position", "_total")
+        every = F.greatest(F.lit(1), F.floor(F.col("_total") / buckets))
+        return sorted(r[0] for r in numbered.filter(F.col("_position") % every == every - 1).select(key).collect())
+    drawn = sorted(r[0] for r in sample.collect())
+    return sorted({drawn[len(drawn) * i // buckets - 1] for i in range(1, buckets) if len(drawn) * i // buckets})
+
+
+def bucket_of(df: DataFrame, key: str, bounds: Sequence) -> Column:
+    """Number of bounds below the key, by halving steps over the list, which is one literal."""
+    text = json.dumps([None if b is None else str(b) for b in bounds])
+    points = F.from_json(F.lit(text), T.ArrayType(T.StringType())).cast(T.ArrayType(df.schema[key].dataType))
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(max(1, len(bounds).bit_length())))])
     return F.aggregate(
         steps,
         F.lit(0),
-        lambda low, step: F.when(F.get(points, low + step - 1) < value, low + step).otherwise(low),
+        lambda low, step: F.when(F.get(points, low + step - 1) < F.col(key), low + step).otherwise(low),
     )
 
 
@@ -89,23 +87,17 @@ def positions(
 ) -> DataFrame:
     """The position of every row from 0 in the order of the unique ``key``, and the number of rows.
 
-    Rows are ranked within key ranges; the ranges before them add their row counts.  The table of
-    range counts has at most ``MAX_BUCKETS`` rows, which bounds its window and its broadcast.  A table
-    of no more than ``rows_per_bucket`` rows is one range and is ranked as such.
+    Rows are ranked within key ranges; the ranges before them add their row counts.  The driver gets one key and one count
+    for each range, that is for about ``rows_per_bucket`` rows.
     """
-    bounds = key_bounds(df, key, rows_per_bucket)
-    if not bounds:
-        ordered = Window.orderBy(key)
-        every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return df.withColumns({
-            position: F.row_number().over(ordered) - 1, total: F.count(F.lit(1)).over(every),
-        })
-    placed = df.withColumn("_bucket", bucket_of(_sort_code(df, key), bounds))
-    counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _running_offsets(counts, [])
+    placed = df.withColumn("_bucket", bucket_of(df, key, key_bounds(df, key, rows_per_bucket)))
+    counts = sorted(tuple(r) for r in placed.groupBy("_bucket").count().collect())
+    before = [0, *accumulate(n for _, n in counts)]
+    offsets = df.sparkSession.createDataFrame(
+        [(bucket, start, before[-1]) for (bucket, _), start in zip(counts, before)], "_bucket int, _offset bigint, _total bigint")
     in_bucket = Window.partitionBy("_bucket").orderBy(key)
     return (
-        placed.join(F.broadcast(offsets), "_bucket")
+        placed.join(offsets, "_bucket")
         .withColumn(position, F.row_number().over(in_bucket) - 1 + F.col("_offset"))
         .withColumnRenamed("_total", total)
         .drop("_bucket", "_offset")

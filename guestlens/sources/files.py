@@ -19,8 +19,8 @@ def read_review_csv(spark: SparkSession, path: str | list[str], schema: T.Struct
                     encoding: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
     """Review CSV with a header and quoted texts.
 
-    Texts with line breaks need ``multi_line``, where Spark reads each file in one task.  For files too
-    large for that use :func:`read_large_review_csv`, which splits them.
+    Texts with line breaks need ``multi_line``, where Spark reads each file in one task, whatever its size: have large
+    deliveries come as many files.
     """
     return (
         spark.read.schema(schema).options(**CSV_OPTIONS)
@@ -28,56 +28,6 @@ def read_review_csv(spark: SparkSession, path: str | list[str], schema: T.Struct
     )
 
 
-def read_large_review_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_REVIEW,
-                          encoding: str = "ISO-8859-1") -> DataFrame:
-    """The same rows from files of any size: the files are split, quoted line breaks are mended.
-
-    A line starts a record if the quotes before it in its file are even in number.  Quotes are
-    counted per split and summed over the splits of a file; lines are then joined per record.
-    Rows come in no particular order.  The encoding must be one byte per character or UTF-8, and the
-    header must be on the first line of every file.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("line"),
-        F.decode(F.col("value").cast("binary"), encoding).alias("value"),
-    )
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return _records(lines.withColumn("odd", quotes % 2), schema)
-
-
-def _records(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    from pyspark.sql import Window
-
-    in_split = Window.partitionBy("file", "split").orderBy("line")
-    in_file = Window.partitionBy("file").orderBy("split")
-    earlier = Window.unboundedPreceding
-    # Splits that start inside quotes: parity of the quotes in the splits before.
-    splits = lines.groupBy("file", "split").agg(F.sum("odd").alias("n")).select(
-        "file", "split", (F.coalesce(F.sum("n").over(in_file.rowsBetween(earlier, -1)), F.lit(0)) % 2).alias("open")
-    )
-    before = F.coalesce(F.sum("odd").over(in_split.rowsBetween(earlier, -1)), F.lit(0)) + F.col("open")
-    marked = lines.join(splits, ["file", "split"]).withColumn("starts", (before % 2 == 0).cast("int"))
-    # Records are numbered through the file: starts in the split plus starts in the splits before.
-    starts = marked.groupBy("file", "split").agg(F.sum("starts").alias("n")).select(
-        "file", "split", F.coalesce(F.sum("n").over(in_file.rowsBetween(earlier, -1)), F.lit(0)).alias("offset")
-    )
-    numbered = marked.join(starts, ["file", "split"]).withColumn(
-        "record", F.col("offset") + F.sum("starts").over(in_split.rowsBetween(earlier, 0))
-    )
-    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
-    joined = numbered.groupBy("file", "record").agg(
-        F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("text")
-    )
-    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"}
-    return (
-        joined.filter((F.col("record") > 1) & (F.col("text") != ""))
-        .select(F.from_csv("text", F.lit(schema.simpleString()[len("struct<"):-1].replace(":", " ")), options).alias("row"))
-        .select("row.*")
-    )
-
-
 def normalise_id(df: DataFrame, raw: str = "Review_ID", uid: str = "review_uid") -> DataFrame:
     """The identifier as text under its canonical name; frames without one stay as they are."""
     renamed = df.withColumnRenamed(raw, uid)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from guestlens.operators.ranking import _sort_code, bucket_of, key_bounds, positions
+from guestlens.operators.ranking import bucket_of, key_bounds, positions
 
 PAGE_SIZE = 100
 
@@ -22,13 +22,12 @@ def with_pages(df: DataFrame, key: str, size: int = PAGE_SIZE) -> DataFrame:
 def page(df: DataFrame, key: str, number: int, size: int = PAGE_SIZE, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """One page, reading only the key ranges that hold it.
 
-    The counts of the ranges (bounded) tell which ranges to keep; the rest is a filter on the key.
+    The counts of the ranges tell which ranges to keep; the rest is a filter on the key.
     """
     bounds = key_bounds(df, key, rows_per_bucket)
     first, skip = number * size, 0
     if bounds:
-        code = _sort_code(df, key)
-        counted = df.groupBy(bucket_of(code, bounds).alias("bucket")).count().orderBy("bucket").collect()
+        counted = sorted(df.groupBy(bucket_of(df, key, bounds).alias("bucket")).count().collect())
         wanted, before = [], 0
         for row in counted:
             if before + row["count"] > first and before < first + size:
@@ -39,9 +38,9 @@ def page(df: DataFrame, key: str, number: int, size: int = PAGE_SIZE, rows_per_b
         if not wanted:
             return df.limit(0)
         if wanted[0] > 0:
-            df = df.filter(code > bounds[wanted[0] - 1])
+            df = df.filter(F.col(key) > bounds[wanted[0] - 1])
         if wanted[-1] < len(bounds):
-            df = df.filter(code <= bounds[wanted[-1]])
+            df = df.filter(F.col(key) <= bounds[wanted[-1]])
     return df.orderBy(key).offset(first - skip).limit(size)
 
 

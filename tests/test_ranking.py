@@ -37,8 +37,23 @@ def test_positions_of_text_keys(spark):
 
 def test_ranges_are_balanced(numbered):
     bounds = ranking.key_bounds(numbered, "k", 90)
-    sizes = [r["count"] for r in numbered.groupBy(ranking.bucket_of(F.col("k"), bounds).alias("b")).count().collect()]
-    assert len(sizes) == 10 and max(sizes) < 180
+    sizes = [r["count"] for r in numbered.groupBy(ranking.bucket_of(numbered, "k", bounds).alias("b")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200
+
+
+@pytest.mark.parametrize("collected", [1_000, 3])
+def test_ranges_of_texts_with_a_common_prefix(spark, monkeypatch, collected):
+    monkeypatch.setattr(ranking, "COLLECTED", collected)
+    rows = spark.range(50_000).select(F.concat(F.lit("review-"), F.col("id")).alias("k"))
+    bounds = ranking.key_bounds(rows, "k", 2_500)
+    sizes = [r["count"] for r in rows.groupBy(ranking.bucket_of(rows, "k", bounds).alias("b")).count().collect()]
+    assert 19 <= len(sizes) <= 21 and max(sizes) < 5_500
+
+
+def test_one_path_without_a_single_partition(spark):
+    rows = spark.range(500).withColumnRenamed("id", "k")
+    for frame in (ranking.positions(rows, "k"), ranking.even_batches(rows, "k", 50), ranking.chunks(rows, "k", 10), paging.with_pages(rows, "k")):
+        assert "SinglePartition" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("rows, size", [(173, 50), (150, 50), (20, 50), (101, 10), (0, 50)])

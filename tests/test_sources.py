@@ -36,19 +36,16 @@ def test_csv_with_quotes_and_line_breaks(spark, tmp_path, rows):
     assert got == sorted(rows)
 
 
-@pytest.mark.parametrize("split_bytes", ["700", "5000", "100m"])
-def test_large_csv_is_split_and_mended(spark, tmp_path, rows, split_bytes):
-    write_csv(tmp_path / "a.csv", rows[:250])
-    write_csv(tmp_path / "b.csv", rows[250:])
-    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
-    spark.conf.set("spark.sql.files.openCostInBytes", "1")
-    try:
-        got = as_tuples(files.read_large_review_csv(spark, str(tmp_path)))
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    assert got == sorted(rows)
+def test_csv_over_several_files_with_stray_quotes_and_empty_fields(spark, tmp_path, rows):
+    write_csv(tmp_path / "a.csv", rows)
+    odd = 'Review_ID,Rating,Year_Month,Reviewer_Location,Review_Text,Branch\r\n' \
+        '1001,4,2019-4,UK,6" tall ride,Disneyland_Paris\r\n1002,,,,"caf\xe9, two\r\nlines",\r\n1003,5,missing,"","",Disneyland_Paris\r\n'
+    (tmp_path / "b.csv").write_bytes(odd.encode("ISO-8859-1"))
+    got = {r.Review_ID: r for r in files.read_review_csv(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) + 3
+    assert (got["1001"].Review_Text, got["1001"].Branch) == ('6" tall ride', "Disneyland_Paris")
+    assert got["1002"].Review_Text.replace("\r", "") == "caf\xe9, two\nlines" and got["1002"].Rating is None and got["1002"].Branch is None
+    assert got["1003"].Rating == 5 and not got["1003"].Review_Text and got["1003"].Branch == "Disneyland_Paris"
 
 
 def test_identifier_and_surrogate_key(spark):
