@@ -4,14 +4,17 @@ A specification restricts some fields to accepted values and leaves the others o
 it restricts is its mask.  Under one mask, a review meets a specification exactly if its values of
 the masked fields equal one of the accepted combinations.  So both sides get a text signature of
 (mask, masked values) and are joined on it: hash join, no nested loop, any number of specifications.
+A field with several values per review joins on one value more; such values are first cut to those
+that some specification wants.
 
-A review gets one signature per mask in use.  Signatures that no specification has fall out at once;
-the others are counted (partial sums before the shuffle) or cut to their first reviews before they
-meet the specifications, so pairs of review and specification are never listed.
+A review gets one signature per mask in use.  Reviews are counted by the fields in use before they
+are signed, and signatures that no specification has fall out before anything is exploded further, so
+the rows that meet the specifications are distinct combinations and not reviews.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,8 +25,8 @@ from guestlens.operators.insights import weighted_mean
 from guestlens.operators.ranking import first_k_per_group
 
 SIGNATURE = "signature"
-# Up to so many signatures of specifications are broadcast: some ten megabytes.
-SMALL_ROWS = 100_000
+# Up to so many bytes of wanted values are put into the plan as a literal; more are joined.
+VALUES_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,108 +110,111 @@ class SpecMatcher:
     ``specs`` holds the columns that the ``accepted`` parts of ``fields`` name and a key ``spec_key``,
     one row per key.  Equal specifications should share a key, so that they are matched once.
 
-    The driver reads which masks are in use and how many signatures there are: at most
-    ``2 ** len(fields)`` rows, whatever the number of specifications.  Few signatures are broadcast
-    to the reviews; many are joined by a shuffle, after the reviews are counted.
+    The driver reads which masks are in use (at most ``2 ** len(fields)`` numbers), and the wanted
+    values of a many-valued field if they are few bytes.  Which side of a join is broadcast is left to
+    Spark, which knows the bytes.
     """
 
-    MANY_MASKS = 16
-
     def __init__(self, reviews: DataFrame, specs: DataFrame, fields: Sequence[Field], spec_key: str = "spec_key"):
         self.fields, self.spec_key = tuple(fields), spec_key
         self.specs = specs.select(
             spec_key, _mask(fields).alias("_mask"), *[f.accepted.alias(f"_{f.name}") for f in fields]
         )
-        combinations = F.lit(1)
-        for field in (f for f in fields if f.several):
-            combinations = combinations * F.coalesce(F.size(f"_{field.name}"), F.lit(1))
-        found = self.specs.groupBy("_mask").agg(F.sum(combinations).alias("n")).collect()
-        self.masks = sorted(r["_mask"] for r in found) or [0]
-        self.small = sum(r["n"] for r in found) <= SMALL_ROWS
+        self.masks = sorted(r["_mask"] for r in self.specs.select("_mask").distinct().collect()) or [0]
         self.used = [f for i, f in enumerate(self.fields) if any(m & 2**i for m in self.masks)]
         self.columns = [f"_{f.name}" for f in self.used]
-        self.reviews = reviews.withColumns({f"_{f.name}": f.of_review for f in self.used})
+        self.reviews = reviews.withColumns({f"_{f.name}": self._wanted(f) for f in self.used})
+
+    def _wanted(self, field: Field) -> Column:
+        """The review's value; of several values only those that some specification wants."""
+        if not field.many:
+            return field.of_review
+        values = self.specs.select(F.explode(f"_{field.name}").alias("value")).distinct()
+        size = values.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+        if size > VALUES_BYTES:
+            return field.of_review
+        listed = json.dumps(sorted(r["value"] for r in values.filter("value IS NOT NULL").collect()))
+        return F.array_sort(F.array_intersect(field.of_review, F.from_json(F.lit(listed), "array<string>")))
+
+    def _bit(self, field: Field) -> int:
+        return 2 ** next(i for i, f in enumerate(self.fields) if f.name == field.name)
+
+    def _masked(self, field: Field) -> Column:
+        return F.col("_mask").bitwiseAND(self._bit(field)) != 0
 
-    def _masked(self, name: str) -> Column:
-        bit = 2 ** next(i for i, f in enumerate(self.fields) if f.name == name)
-        return F.col("_mask").bitwiseAND(bit) != 0
+    def _single(self) -> list[Field]:
+        return [f for f in self.used if not f.many]
 
-    def _with_parts(self, rows: DataFrame) -> DataFrame:
-        """The signature part of every single-valued field, worked out once for all masks."""
-        return rows.withColumns({f"_part_{f.name}": _part(F.col(f"_{f.name}")) for f in self.used if not f.many})
+    def _many(self) -> list[Field]:
+        return [f for f in self.used if f.many]
 
-    def _signature(self, mask: int) -> Column:
+    def _signature(self) -> Column:
         """Mask and masked values in one text; null if a masked value is missing.
 
         Every value carries its length, so different values never give the same text.  Fields with
         several values per review stay out.
         """
-        masked = [f for i, f in enumerate(self.fields) if mask & 2**i and not f.many]
-        return F.concat(F.lit(f"{mask}|"), *[F.col(f"_part_{f.name}") for f in masked])
-
-    def _many(self) -> list[Field]:
-        return [f for f in self.used if f.many]
+        parts = [F.when(self._masked(f), _part(F.col(f"_{f.name}"))).otherwise(F.lit("")) for f in self._single()]
+        return F.concat(F.col("_mask").cast("string"), F.lit("|"), *parts)
 
     def _spec_signatures(self) -> DataFrame:
-        """One row per specification and accepted combination: key, signature, value of each many-valued field."""
+        """One row per specification and accepted combination of single values: key, signature, wanted sets."""
         rows = self.specs
-        for field in (f for f in self.used if f.several):
+        for field in (f for f in self._single() if f.several):
             rows = rows.withColumn(f"_{field.name}", F.explode(F.coalesce(f"_{field.name}", F.array(F.lit(None)))))
-        many = [F.col(f"_{f.name}").cast("string").alias(f"_one_{f.name}") for f in self._many()]
-        signature = F.lit(None).cast("string")
-        for mask in self.masks:
-            signature = F.when(F.col("_mask") == mask, self._signature(mask)).otherwise(signature)
-        return self._with_parts(rows).select(self.spec_key, signature.alias(SIGNATURE), *many)
-
-    def _hint(self, specs: DataFrame) -> DataFrame:
-        return F.broadcast(specs) if self.small else specs
-
-    def _signed_reviews(self, rows: DataFrame) -> DataFrame:
-        """One row per review and mask in use with a signature that some specification has."""
-        signatures = [F.struct(F.lit(m).alias("_mask"), self._signature(m).alias(SIGNATURE)) for m in self.masks]
-        single = {f"_{f.name}" for f in self.used if not f.many}
-        kept = [c for c in rows.columns if c not in single]
-        signed = self._with_parts(rows).select(*kept, F.inline(F.array(*signatures)))
-        signed = signed.filter(F.col(SIGNATURE).isNotNull())
-        if self.small:
-            known = self._spec_signatures().select(SIGNATURE).distinct()
-            signed = signed.join(F.broadcast(known), SIGNATURE, "left_semi")
-        return signed.withColumns(
-            {f"_{f.name}": F.when(self._masked(f.name), F.col(f"_{f.name}")) for f in self._many()})
-
-    def _each_value(self, rows: DataFrame) -> DataFrame:
-        """One row per value of the many-valued fields under the mask; one with null where the field is open."""
+        sets = [F.array_sort(F.array_distinct(f"_{f.name}")).alias(f"_set_{f.name}") for f in self._many()]
+        return rows.select(self.spec_key, self._signature().alias(SIGNATURE), *sets).distinct()
+
+    def _groups(self) -> DataFrame:
+        """Specifications' signatures and wanted sets, each combination once, with a row for each wanted value."""
+        sets = [f"_set_{f.name}" for f in self._many()]
+        rows = self._spec_signatures().select(SIGNATURE, *sets).distinct()
         for f in self._many():
-            wanted = F.when(self._masked(f.name), F.col(f"_{f.name}")).otherwise(F.array(F.lit(None)))
-            rows = rows.withColumn(f"_one_{f.name}", F.explode(wanted))
+            rows = rows.withColumn(f"_one_{f.name}", F.explode(F.coalesce(f"_set_{f.name}", F.array(F.lit(None)))))
         return rows
 
-    def _same(self, rows: DataFrame, specs: DataFrame) -> Column:
-        same = rows[SIGNATURE] == specs[SIGNATURE]
+    def _signed(self, rows: DataFrame) -> DataFrame:
+        """One row per row and mask in use with a signature that some specification has."""
+        signed = rows.withColumn("_mask", F.explode(F.lit(self.masks))).withColumn(SIGNATURE, self._signature())
+        known = self._spec_signatures().select(SIGNATURE).distinct()
+        signed = signed.filter(F.col(SIGNATURE).isNotNull()).join(known, SIGNATURE, "left_semi")
+        return signed.withColumns({f"_{f.name}": F.when(self._masked(f), F.col(f"_{f.name}")) for f in self._many()})
+
+    def _met(self, signed: DataFrame) -> DataFrame:
+        """Signed rows with every combination of signature and wanted sets that they meet, once each."""
+        groups = self._groups()
+        for f in self._many():
+            values = F.when(self._masked(f), F.col(f"_{f.name}")).otherwise(F.array(F.lit(None).cast("string")))
+            signed = signed.withColumn(f"_mine_{f.name}", F.explode(values))
+        same = signed[SIGNATURE] == groups[SIGNATURE]
         for f in self._many():
-            same = same & rows[f"_one_{f.name}"].eqNullSafe(specs[f"_one_{f.name}"])
-        return same
-
-    def _joined(self, rows: DataFrame) -> DataFrame:
-        specs = self._hint(self._spec_signatures())
-        ones = [f"_one_{f.name}" for f in self._many()]
-        joined = rows.join(specs, self._same(rows, specs)).drop(specs[SIGNATURE])
-        for one in ones:
-            joined = joined.drop(rows[one]).drop(specs[one])
+            same = same & signed[f"_mine_{f.name}"].eqNullSafe(groups[f"_one_{f.name}"])
+        met = signed.join(groups, same).drop(groups[SIGNATURE])
+        for f in self._many():  # a review with two wanted values meets a set by the first of them
+            first = F.get(F.array_intersect(f"_{f.name}", f"_set_{f.name}"), F.lit(0))
+            met = met.filter(F.col(f"_one_{f.name}").isNull() | (F.col(f"_one_{f.name}") == first))
+            met = met.drop(f"_mine_{f.name}", f"_one_{f.name}")
+        return met
+
+    def _keyed(self, met: DataFrame) -> DataFrame:
+        """Combinations of signature and sets back to the specifications that have them."""
+        specs = self._spec_signatures()
+        same = met[SIGNATURE] == specs[SIGNATURE]
+        for f in self._many():
+            same = same & met[f"_set_{f.name}"].eqNullSafe(specs[f"_set_{f.name}"])
+        joined = met.join(specs, same).drop(specs[SIGNATURE])
+        for f in self._many():
+            joined = joined.drop(specs[f"_set_{f.name}"])
         return joined
 
     def matched_counts(self, *by: str) -> DataFrame:
         """Number of matching reviews per specification and value of the columns ``by``."""
-        rows = self.reviews.select(*self.columns, *by, F.lit(1).cast("bigint").alias("rows"))
-        if len(self.masks) > self.MANY_MASKS:
-            rows = rows.groupBy(*self.columns, *by).agg(F.sum("rows").alias("rows"))
+        cells = self.reviews.groupBy(*self.columns, *by).agg(F.count(F.lit(1)).alias("rows"))
         many = [f"_{f.name}" for f in self._many()]
-        cells = self._signed_reviews(rows).groupBy("_mask", SIGNATURE, *many, *by).agg(F.sum("rows").alias("rows"))
-        pairs = self._joined(self._each_value(cells))
-        if many:
-            # A review with two wanted topics is still one match.
-            pairs = pairs.select(self.spec_key, SIGNATURE, *many, *by, "rows").distinct()
-        return pairs.groupBy(self.spec_key, *by).agg(F.sum("rows").alias("reviews"))
+        signed = self._signed(cells).groupBy("_mask", SIGNATURE, *many, *by).agg(F.sum("rows").alias("rows"))
+        sets = [f"_set_{f.name}" for f in self._many()]
+        met = self._met(signed).groupBy(SIGNATURE, *sets, *by).agg(F.sum("rows").alias("rows"))
+        return self._keyed(met).groupBy(self.spec_key, *by).agg(F.sum("rows").alias("reviews"))
 
     def counts(self) -> DataFrame:
         """Number of matching reviews per specification that has any."""
@@ -226,16 +232,19 @@ class SpecMatcher:
             weighted_mean("sentiment_score", "reviews").alias("avg_sentiment"),
         )
 
+    def matches(self, *columns: str) -> DataFrame:
+        """``spec_key`` and ``columns`` of every matching review.  With few specifications no review is shuffled."""
+        met = self._met(self._signed(self.reviews.select(*columns, *self.columns)))
+        return self._keyed(met).select(self.spec_key, *columns)
+
     def first_matches(self, k: int, key: str = "review_uid") -> DataFrame:
         """Keys of the first ``k`` matching reviews of every specification, in key order.
 
-        The first ``k`` of a specification are among the first ``k`` of its signatures, so each
-        signature is cut to ``k`` keys before it meets the specifications.
+        The first ``k`` of a specification are among the first ``k`` of its signatures and wanted sets, so
+        those are cut to ``k`` keys before they meet the specifications.
         """
-        signed = self._each_value(self._signed_reviews(self.reviews.select(key, *self.columns)))
-        group = [SIGNATURE, *[f"_one_{f.name}" for f in self._many()]]
-        firsts = first_k_per_group(signed.select(key, *group), group, [F.col(key)], k, F.col(key), rank="_rank")
-        pairs = self._joined(firsts.drop("_rank")).select(self.spec_key, key)
-        if any(f.several for f in self.used):
-            pairs = pairs.distinct()
+        met = self._met(self._signed(self.reviews.select(key, *self.columns)))
+        group = [SIGNATURE, *[f"_set_{f.name}" for f in self._many()]]
+        firsts = first_k_per_group(met.select(key, *group), group, [F.col(key)], k, F.col(key), rank="_rank")
+        pairs = self._keyed(firsts.drop("_rank")).select(self.spec_key, key)
         return first_k_per_group(pairs, [self.spec_key], [F.col(key)], k, F.col(key))

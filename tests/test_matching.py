@@ -62,12 +62,10 @@ def spec_numbers(specs):
     return found
 
 
-@pytest.fixture(params=["broadcast", "shuffled", "many masks"])
+@pytest.fixture(params=["cut values", "all values"])
 def matcher(request, reviews, specs, monkeypatch):
-    if request.param == "shuffled":
-        monkeypatch.setattr(matching, "SMALL_ROWS", 0)
-    if request.param == "many masks":
-        monkeypatch.setattr(SpecMatcher, "MANY_MASKS", 2)
+    if request.param == "all values":
+        monkeypatch.setattr(matching, "VALUES_BYTES", 0)
     return SpecMatcher(reviews, specs.select("spec_key", *MATCH_FIELDS).distinct(), question_fields())
 
 
@@ -104,6 +102,40 @@ def test_label_counts_and_metrics(matcher, specs, reviews, expected):
         assert r.avg_sentiment == (pytest.approx(sum(scores) / len(scores)) if scores else None)
 
 
+def test_all_matches_agree_with_single_filters(matcher, specs, expected):
+    numbers = spec_numbers(specs)
+    got = sorted((numbers[r.spec_key], r.review_uid) for r in matcher.matches("review_uid").collect())
+    assert got == [(i, uid) for i, uids in enumerate(expected) for uid in uids]
+
+
+def test_every_mask_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from guestlens.operators.matching import Field
+
+    names = [f"f{i}" for i in range(11)]
+    fields = tuple(Field(n, F.col(n), F.col(n)) for n in names)
+    schema = ", ".join(f"{n} string" for n in names)
+    reviews = spark.createDataFrame([(1, *"abcdefghijk"), (2, *"abcdefghijx"), (3, *"xbcdefghijk")], "review_uid long, " + schema)
+    asked = spark.createDataFrame([(m, *(c if m >> i & 1 else None for i, c in enumerate("abcdefghijk"))) for m in range(1, 2048)], "spec_key int, " + schema)
+    got = {r.spec_key: r.matches for r in SpecMatcher(reviews, asked, fields).counts().collect()}
+    assert got == {m: 1 + (not m >> 10 & 1) + (not m & 1) for m in range(1, 2048)}
+
+
+def test_a_common_topic_makes_no_list_of_all_pairs(spark, reviews):
+    from pyspark.sql import functions as F
+
+    from guestlens.operators.matching import Field
+
+    fields = (Field("place", F.col("place"), F.col("place")), Field("topic", F.col("topics"), F.col("topics"), many=True, several=True))
+    rows = spark.range(2_000).select(F.col("id").alias("review_uid"), F.lit("p").alias("place"), F.array(F.lit("food"), F.concat(F.lit("own"), "id")).alias("topics"))
+    asked = spark.range(500).select(F.col("id").alias("spec_key"), F.when(F.col("id") % 2 == 0, "p").alias("place"), F.array(F.lit("food")).alias("topics"))
+    matcher = SpecMatcher(rows, asked, fields)
+    met = matcher._met(matcher._signed(matcher.reviews.groupBy(*matcher.columns).count()))
+    assert met.count() == 2
+    assert {r.matches for r in matcher.counts().collect()} == {2_000} and matcher.counts().count() == 500
+
+
 def test_filters_commute(reviews):
     parts = [FilterSpec(branch="Disneyland_Paris"), FilterSpec(topics=["food"]), FilterSpec(sentiment_label="Negative")]
     results = set()
