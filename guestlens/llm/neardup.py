@@ -6,7 +6,7 @@ time is done, so most end after one or two.  Registers of two texts agree with t
 
 Links.  Texts with the same words are one node.  Nodes that agree in all registers of a band share a bucket.  In each
 bucket all nodes are compared with its first one only, with the exact similarity; those that are not similar go on to the
-next round with a leader of their own, until every bucket has come to its end.  Since 1 - similarity is a metric, a node
+next round with more leaders, until every bucket has come to its end.  Since 1 - similarity is a metric, a node
 can only be linked to one that was found similar to the leader if its own similarity to the leader is not too low; such
 pairs are looked at last, as far as they are not connected yet.  So all links that the buckets hold find their class,
 no bucket is capped, and no bucket's pairs are listed.
@@ -19,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from guestlens.llm.common import byte_slices, stored
 from guestlens.llm.shingles import mixed, probability_jaccard, shingle_hashes, weighted, word_hashes, words_of
@@ -28,6 +28,7 @@ THRESHOLD = 0.8
 #: 24 bands of 4 registers: a pair at the threshold shares no bucket with probability 0.59 ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
+MORE_LEADERS = 16
 SLICE_BYTES = 2 << 20
 
 
@@ -142,11 +143,15 @@ def with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataF
 
 
 def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) that are needed to connect similar nodes of the buckets (bucket, node)."""
-    known, gray = None, []
+    """All links (a, b) that are needed to connect similar nodes of the buckets (bucket, node).
+
+    One leader in the first round, which settles groups of copies of any size, then ``MORE_LEADERS`` times as many in each.
+    """
+    known, rated_before, leaders = None, [], 1
     while True:
-        leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = stored(members.join(leaders, "bucket").where("node <> leader"), "bucket-pairs")
+        first = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
+        chosen = members.withColumn("place", first).where(F.col("place") <= leaders).select("bucket", F.col("node").alias("leader"))
+        pairs = stored(members.join(chosen, "bucket").where("node > leader"), "bucket-pairs")
         if pairs.isEmpty():
             break
         new = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -155,20 +160,25 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         found = stored(similarities(new, texts), "similarities")
         known = found if known is None else known.union(found)
         rated = pairs.join(known.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity"), ["leader", "node"])
-        gray.append(rated.where(F.col("similarity") >= 2 * threshold - 1))
-        members = stored(rated.where(F.col("similarity") < threshold).select("bucket", "node"), "bucket-rest")
+        rated_before.append(rated.where(F.col("similarity") >= 2 * threshold - 1))
+        unlike = rated.groupBy("bucket", "node").agg(F.max("similarity").alias("most")).where(F.col("most") < threshold)
+        rest = unlike.join(chosen.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        members = stored(rest.select("bucket", "node"), "bucket-rest")
+        leaders *= MORE_LEADERS
     if known is None:
         return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     links = known.where(F.col("similarity") >= threshold).select("a", "b")
     classes = components(links)
-    near = gray[0]
-    for more in gray[1:]:
+    near = rated_before[0]
+    for more in rated_before[1:]:
         near = near.union(more)
     apart = with_class(with_class(near.where(F.col("similarity") < threshold), classes, "node", "own"), classes, "leader", "theirs").where("own <> theirs")
     apart = apart.select("bucket", "leader", F.col("node").alias("b"), F.col("similarity").alias("far"))
     close = near.where(F.col("similarity") >= threshold).select("bucket", "leader", F.col("node").alias("a"), F.col("similarity").alias("close"))
     reach = F.col("close") <= F.col("far") + (1 - threshold) + 1e-9
-    late = apart.join(close, ["bucket", "leader"]).where(reach).select("a", "b").distinct()
+    late = stored(apart.join(close, ["bucket", "leader"]).where(reach).select("a", "b").distinct(), "late-pairs")
+    if late.isEmpty():
+        return links
     found = stored(similarities(late, texts), "similarities")
     return links.union(found.where(F.col("similarity") >= threshold).select("a", "b"))
 
