@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from guestlens.llm.common import slices
+from guestlens.llm.common import slices, to_python
 
 #: Words whose ids a task remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 150_000
@@ -224,7 +224,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, [key, "ids", "decoded"][: len(columns)])
 
-    return docs.select(key, text).mapInArrow(work, schema)
+    return to_python(docs.select(key, text), work, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -237,4 +237,4 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
             texts = pa.array([bpe.decode(x or b"") for x in piece.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([piece.column(0), texts.cast(pa.string())], [key, "decoded"])
 
-    return encoded.select(key, ids).mapInArrow(work, schema)
+    return to_python(encoded.select(key, ids), work, schema)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from guestlens.session import use_checkpoints
 
+#: Rows that go to Python at a time.  Spark's default of 10,000 texts can be gigabytes where texts are long.
+ROWS_PER_BATCH = "1000"
 #: Rows of an Arrow batch that a Python operator works on at a time; bounds what it holds besides the batch itself.
 ROWS_PER_SLICE = 512
 
@@ -31,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def to_python(df: DataFrame, work: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches of few rows; the setting is the session's and stays for its later queries."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    return df.mapInArrow(work, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_SLICE) -> Iterator[pa.RecordBatch]:
     """Short pieces of Arrow batches, without copying."""
     for batch in batches:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from guestlens.llm.common import byte_slices
+from guestlens.llm.common import byte_slices, to_python
 from guestlens.llm.shingles import SHINGLE, shingle_hashes, word_hashes, words_of
 
 THRESHOLD = 0.8
@@ -199,4 +199,4 @@ def one_pass(docs: DataFrame, items: list[tuple[object, str]], names: list[str],
             leaks = [b + [{"item": h.item, "similarity": h.similarity, "start": h.start, "words": h.words} for h in x] for b, x in zip(before, hits)]
             yield pa.RecordBatch.from_arrays([*piece.columns[: len(names)], pa.array(leaks, piece.column(len(names)).type)], [*names, column])
 
-    return docs.mapInArrow(work, docs.schema)
+    return to_python(docs, work, docs.schema)

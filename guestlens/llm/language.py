@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from guestlens.llm.common import byte_slices
+from guestlens.llm.common import byte_slices, to_python
 
 UNKNOWN = "und"
 STATES = 8
@@ -242,4 +242,4 @@ def label_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
             names, scores = predict_texts(piece.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names), pa.array(scores)], [key, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(work, schema)
+    return to_python(docs.select(key, text), work, schema)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from guestlens.llm.common import byte_slices, stored
+from guestlens.llm.common import byte_slices, stored, to_python
 from guestlens.llm.shingles import mixed, probability_jaccard, shingle_hashes, weighted, word_hashes, words_of
 
 THRESHOLD = 0.8
@@ -29,7 +29,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 MORE_LEADERS = 16
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -112,7 +112,7 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Exact similarity of pairs (a, b) of nodes."""
     second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compared_rows, "a binary, b binary, similarity double")
+    return to_python(both.select("a", "b", "text_a", "text_b"), compared_rows, "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -195,13 +195,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    nodes = stored(rows.where("key IS NOT NULL").mapInArrow(node_rows, f"key {kind}, node binary, bands array<long>"), "nodes")
+    nodes = stored(to_python(rows.where("key IS NOT NULL"), node_rows, f"key {kind}, node binary, bands array<long>"), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node").distinct()
     full = stored(members, "members")
     shared = full.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     busy = stored(full.join(shared, "bucket", "left_semi"), "busy-members")
     first = nodes.join(busy.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    texts = stored(first.join(rows, "key").select("node", "text").mapInArrow(same_node, "node binary, text string").dropDuplicates(["node"]), "texts")
+    texts = stored(to_python(first.join(rows, "key").select("node", "text"), same_node, "node binary, text string").dropDuplicates(["node"]), "texts")
     classes = components(node_links(busy, texts, threshold))
     placed = with_class(nodes.select("key", "node"), classes, "node", "class")
     least = placed.where("node IS NOT NULL").groupBy("class").agg(F.min("key").alias("class_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from guestlens.llm.common import slices
+from guestlens.llm.common import slices, to_python
 
 #: Labelled documents taken at most per label, by a hash of their key: for the dictionaries, and for the calibration.
 DICTIONARY_DOCUMENTS = 2_000
@@ -123,7 +123,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
             x = sizes.features(piece.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), piece.column(1)], ["a", "b", "c", "good"])
 
-    rows = sorted(map(tuple, seen.mapInArrow(measure, "a double, b double, c double, good int").limit(4 * CALIBRATION_DOCUMENTS).collect()))
+    rows = sorted(map(tuple, to_python(seen, measure, "a double, b double, c double, good int").limit(4 * CALIBRATION_DOCUMENTS).collect()))
     share = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
     prior = (share.get(1, 0) + 1e-6) / (sum(share.values()) + 2e-6)
     if len({r[3] for r in rows}) < 2 or not pieces[0] or not pieces[1]:
@@ -149,4 +149,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", scor
             scores = pa.array(score_texts(sizes, model, piece.column(place).to_pylist()))
             yield pa.RecordBatch.from_arrays([*piece.columns, scores], [*names, score])
 
-    return docs.select(*(f"`{c}`" for c in names)).mapInArrow(work, schema)
+    return to_python(docs.select(*(f"`{c}`" for c in names)), work, schema)

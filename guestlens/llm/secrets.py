@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from guestlens.llm.common import slices
+from guestlens.llm.common import slices, to_python
 
 #: Distance in characters between the parts of one credential.
 REACH = 400
@@ -121,4 +121,4 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(spans, pa.list_(span))], [key, "spans"])
 
-    return docs.select(key, text).mapInArrow(work, schema)
+    return to_python(docs.select(key, text), work, schema)

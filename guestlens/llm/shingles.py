@@ -10,7 +10,7 @@ import numpy as np
 #: Words of a shingle; a shorter text is one shingle of all its words.
 SHINGLE = 5
 WORD = re.compile(r"\w+")
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
