@@ -36,8 +36,9 @@ TOPIC_WORDS = [
     ("Rides", ["rides", "castle"]),
 ]
 FAMILY_WORDS = [("Joyful", ["lovely"]), ("Tired", ["tired"])]
-MAX_TOPICS = 3
 EMBEDDING_SIZE = 64
+# Texts that go to a model in one call.
+CALL_SIZE = 50
 
 
 def _finder(words: Sequence[str], pattern: str | None = None) -> Callable[[str], set[str]]:
@@ -46,8 +47,11 @@ def _finder(words: Sequence[str], pattern: str | None = None) -> Callable[[str],
     return lambda text: set(search.findall(text)) if any(w in text for w in words) else set()
 
 
-def rule_annotator() -> Annotate:
-    """A deterministic annotator from word lists: good words raise the score, bad words lower it."""
+def rule_annotator(max_topics: int | None = None) -> Annotate:
+    """A deterministic annotator from word lists: good words raise the score, bad words lower it.
+
+    ``max_topics`` keeps the first topics in the order of the word lists; by default all.
+    """
     good, bad = _finder(GOOD_WORDS), _finder(BAD_WORDS)
     topics = [(name, _finder(words)) for name, words in TOPIC_WORDS]
     labels = {f: [(n, _finder(plain_words(f, n), p)) for n, p in label_patterns(f)] for f in lexicon_fields()}
@@ -60,7 +64,7 @@ def rule_annotator() -> Annotate:
         record = {
             "sentiment_score": score,
             "sentiment_label": "Negative" if score < 3 else "Neutral" if score == 3 else "Positive",
-            "topics": [name for name, find in topics if find(low)][:MAX_TOPICS],
+            "topics": [name for name, find in topics if find(low)][:max_topics],
             "is_complaint": bad_hits > 0,
         }
         for field, rules in labels.items():
@@ -70,17 +74,32 @@ def rule_annotator() -> Annotate:
     return lambda texts: [one(t) for t in texts]
 
 
-def annotate_json(text: Column, factory: Callable[[], Annotate] = rule_annotator) -> Column:
+def answers_of(model: Callable[[Sequence[str]], Sequence], texts: Sequence[str], call_size: int) -> list:
+    """One answer or exception per text, from calls of ``call_size`` texts.
+
+    If a call fails, its texts are asked one by one, so that a bad text costs no other its answer.
+    """
+    out: list = []
+    for start in range(0, len(texts), call_size):
+        part = texts[start : start + call_size]
+        try:
+            answers = list(model(part))
+            if len(answers) != len(part):
+                raise ValueError(f"{len(answers)} answers to {len(part)} texts")
+        except Exception as failed:
+            answers = [failed] if len(part) == 1 else answers_of(model, part, 1)
+        out.extend(answers)
+    return out
+
+
+def annotate_json(text: Column, factory: Callable[[], Annotate] = rule_annotator, call_size: int = CALL_SIZE) -> Column:
     """JSON answer and error per text.  A failed call gives no JSON and the reason; it stops nothing."""
 
     @F.pandas_udf(ANNOTATION)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         annotate = factory()
         for batch in batches:
-            try:
-                answers = annotate(batch.fillna("").tolist())
-            except Exception as failed:  # the whole batch failed: every row says so and is retried
-                answers = [failed] * len(batch)
+            answers = answers_of(annotate, batch.fillna("").tolist(), call_size)
             yield pd.DataFrame({
                 "json": [None if isinstance(a, Exception) else a for a in answers],
                 "error": [repr(a) if isinstance(a, Exception) else None for a in answers],
@@ -97,15 +116,16 @@ def expand_json(df: DataFrame, json_column: str, schema: T.StructType = ENRICHME
 
 def annotate(
     reviews: DataFrame, factory: Callable[[], Annotate] = rule_annotator, text: str = "Review_Text",
-    schema: T.StructType = ENRICHMENT, partitions: int | None = None,
+    schema: T.StructType = ENRICHMENT, partitions: int | None = None, call_size: int = CALL_SIZE,
 ) -> DataFrame:
     """Typed enrichment columns from the model, with the raw answer and the error.
 
-    ``partitions`` caps the number of concurrent model clients.
+    Input splits stay as they are.  ``partitions`` deals the rows out anew: more of them to widen a few
+    large files, fewer to cap the number of concurrent model clients.
     """
     if partitions:
         reviews = reviews.repartition(partitions)
-    called = reviews.drop(*schema.fieldNames()).withColumn("_answer", annotate_json(F.col(text), factory))
+    called = reviews.drop(*schema.fieldNames()).withColumn("_answer", annotate_json(F.col(text), factory, call_size))
     flat = called.withColumns({
         "enriched_json": F.col("_answer.json"), "enrich_error": F.col("_answer.error"),
     }).drop("_answer")
@@ -141,16 +161,21 @@ def word_hash_embedder(size: int = EMBEDDING_SIZE) -> Embed:
     return embed
 
 
-def embed_text(text: Column, factory: Callable[[], Embed] = word_hash_embedder) -> Column:
-    """Vector per text; null text counts as empty.  A failed batch gives null vectors."""
+EMBEDDED = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def embed_text(text: Column, factory: Callable[[], Embed] = word_hash_embedder, call_size: int = CALL_SIZE) -> Column:
+    """Vector and error per text; null text counts as empty.  A text that fails has no vector and the reason."""
+
+    @F.pandas_udf(EMBEDDED)
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         embed = factory()
         for batch in batches:
-            try:
-                yield pd.Series(list(embed(batch.fillna("").tolist())), dtype=object)
-            except Exception:
-                yield pd.Series([None] * len(batch), dtype=object)
+            answers = answers_of(embed, batch.fillna("").tolist(), call_size)
+            failed = [isinstance(a, Exception) for a in answers]
+            yield pd.DataFrame({
+                "vector": pd.Series([None if f else np.asarray(a) for a, f in zip(answers, failed)], dtype=object),
+                "error": [repr(a) if f else None for a, f in zip(answers, failed)],
+            })
 
     return call(text)

@@ -27,6 +27,8 @@ from guestlens.operators.ranking import first_k_per_group
 SIGNATURE = "signature"
 # Up to so many bytes of wanted values are put into the plan as a literal; more are joined.
 VALUES_BYTES = 1 << 20
+# Specifications of up to so many bytes are broadcast; beyond it Spark decides.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -111,8 +113,8 @@ class SpecMatcher:
     one row per key.  Equal specifications should share a key, so that they are matched once.
 
     The driver reads which masks are in use (at most ``2 ** len(fields)`` numbers), and the wanted
-    values of a many-valued field if they are few bytes.  Which side of a join is broadcast is left to
-    Spark, which knows the bytes.
+    values of a many-valued field if they are few bytes.  Specifications are broadcast if they are few
+    bytes, by measure; beyond it joins are left to Spark.
     """
 
     def __init__(self, reviews: DataFrame, specs: DataFrame, fields: Sequence[Field], spec_key: str = "spec_key"):
@@ -123,7 +125,11 @@ class SpecMatcher:
         self.masks = sorted(r["_mask"] for r in self.specs.select("_mask").distinct().collect()) or [0]
         self.used = [f for i, f in enumerate(self.fields) if any(m & 2**i for m in self.masks)]
         self.columns = [f"_{f.name}" for f in self.used]
-        self.reviews = reviews.withColumns({f"_{f.name}": self._wanted(f) for f in self.used})
+        if self.used:
+            reviews = reviews.withColumns({f"_{f.name}": self._wanted(f) for f in self.used})
+        self.reviews = reviews
+        told = self._spec_signatures().agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)))
+        self.small = told.first()[0] <= BROADCAST_BYTES
 
     def _wanted(self, field: Field) -> Column:
         """The review's value; of several values only those that some specification wants."""
@@ -173,16 +179,19 @@ class SpecMatcher:
             rows = rows.withColumn(f"_one_{f.name}", F.explode(F.coalesce(f"_set_{f.name}", F.array(F.lit(None)))))
         return rows
 
+    def _hint(self, specs: DataFrame) -> DataFrame:
+        return F.broadcast(specs) if self.small else specs
+
     def _signed(self, rows: DataFrame) -> DataFrame:
         """One row per row and mask in use with a signature that some specification has."""
         signed = rows.withColumn("_mask", F.explode(F.lit(self.masks))).withColumn(SIGNATURE, self._signature())
-        known = self._spec_signatures().select(SIGNATURE).distinct()
+        known = self._hint(self._spec_signatures().select(SIGNATURE).distinct())
         signed = signed.filter(F.col(SIGNATURE).isNotNull()).join(known, SIGNATURE, "left_semi")
         return signed.withColumns({f"_{f.name}": F.when(self._masked(f), F.col(f"_{f.name}")) for f in self._many()})
 
     def _met(self, signed: DataFrame) -> DataFrame:
         """Signed rows with every combination of signature and wanted sets that they meet, once each."""
-        groups = self._groups()
+        groups = self._hint(self._groups())
         for f in self._many():
             values = F.when(self._masked(f), F.col(f"_{f.name}")).otherwise(F.array(F.lit(None).cast("string")))
             signed = signed.withColumn(f"_mine_{f.name}", F.explode(values))
@@ -198,7 +207,7 @@ class SpecMatcher:
 
     def _keyed(self, met: DataFrame) -> DataFrame:
         """Combinations of signature and sets back to the specifications that have them."""
-        specs = self._spec_signatures()
+        specs = self._hint(self._spec_signatures())
         same = met[SIGNATURE] == specs[SIGNATURE]
         for f in self._many():
             same = same & met[f"_set_{f.name}"].eqNullSafe(specs[f"_set_{f.name}"])

@@ -14,7 +14,7 @@ from guestlens.functions.vectors import with_norm
 from guestlens.operators.insights import coverage, share_text, valid_branches
 from guestlens.operators.matching import SpecMatcher, question_fields
 from guestlens.plans.quant import keyed_specs
-from guestlens.plans.search import CANDIDATE_POOL, TOP_K, top_by_similarity, with_embeddings
+from guestlens.plans.search import CANDIDATE_POOL, TOP_K, search_matches, small_enough, top_by_similarity, with_embeddings
 from guestlens.schema import FILTER_SPEC
 from guestlens.session import use_checkpoints
 
@@ -183,44 +183,49 @@ def candidates(reviews: DataFrame, asked: DataFrame, pool: int = CANDIDATE_POOL)
 
 
 def top_reviews(
-    reviews: DataFrame, asked: DataFrame, question: str = "question", pool: int = CANDIDATE_POOL,
-    k: int = TOP_K, factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid",
+    reviews: DataFrame, asked: DataFrame, question: str = "question", pool: int | None = None,
+    k: int = TOP_K, factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid", vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``k`` reviews of each question's candidate pool that are most similar to the question."""
-    return closest(reviews, asked, candidates(reviews, asked, pool), question, k, factory, qid)
+    """The ``k`` reviews most similar to each question, among all that match it, or among its first ``pool`` matches."""
+    pooled = None if pool is None else candidates(reviews, asked, pool)
+    return closest(reviews, asked, pooled, question, k, factory, qid, vectors)
 
 
 def closest(
-    reviews: DataFrame, asked: DataFrame, pooled: DataFrame, question: str = "question", k: int = TOP_K,
-    factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid", partitions: int | None = None,
+    reviews: DataFrame, asked: DataFrame, pooled: DataFrame | None = None, question: str = "question", k: int = TOP_K,
+    factory: Callable[[], Embed] = word_hash_embedder, qid: str = "qid", vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """The pooled reviews most similar to each question.
+    """The matching (or pooled) reviews most similar to each question.
 
-    The pool is checkpointed: it is needed to fetch the texts and to pair them, and is made once.  Each candidate text and each question is embedded once, whatever the number of pairs.  Calls run
-    on ``partitions`` partitions, by default as many as the cluster has cores.
+    ``vectors`` are stored ones (key, vector, vector_norm, see ``plans.search``); without them each text is embedded
+    once, where it is read.  A question without a vector gets its first matches in key order.
     """
-    partitions = partitions or reviews.sparkSession.sparkContext.defaultParallelism
-    use_checkpoints(reviews.sparkSession)
-    pooled = pooled.drop("rank").checkpoint()
-    texts = reviews.join(pooled.select("review_uid").distinct(), "review_uid", "left_semi")
-    texts = texts.select("review_uid", "Review_Text")
-    vectors = with_embeddings(texts, "Review_Text", factory, partitions=partitions).drop("Review_Text")
-    asking = asked.select(qid, "spec_key", question)
-    asking = with_embeddings(asking, question, factory, "query_vector", partitions)
-    asking = with_norm(asking.drop(question), "query_vector")
-    pairs = asking.join(pooled, "spec_key").join(with_norm(vectors, "vector"), "review_uid").drop("spec_key")
+    if vectors is None:
+        embedded = with_norm(with_embeddings(reviews, "Review_Text", factory), "vector")
+    else:
+        embedded = reviews.join(vectors.select("review_uid", "vector", "vector_norm"), "review_uid", "left")
+    asking = with_embeddings(asked.select(qid, "spec_key", question), question, factory, "query_vector").drop(question)
+    if pooled is None:
+        return search_matches(matcher(embedded, asked), asking, qid, "review_uid", k=k)
+    pairs = pooled.drop("rank").join(embedded.select("review_uid", "vector", "vector_norm"), "review_uid")
+    pairs = pairs.join(small_enough(with_norm(asking, "query_vector"), 4_096), "spec_key")
     return top_by_similarity(pairs, qid, "vector", "query_vector", "review_uid", k)
 
 
 def context_rows(top: DataFrame, reviews: DataFrame) -> DataFrame:
-    """The numbered lines that an answer is written from."""
+    """The numbered lines that an answer is written from; texts are fetched for the reviews found only.
+
+    The found keys are written to the checkpoint folder: they are few, counted, and need no second search.
+    """
+    use_checkpoints(reviews.sparkSession)
+    top = small_enough(top.checkpoint(), 100)
     shown = reviews.select("review_uid", "Review_Text", "topics", "Branch")
     line = F.concat(
         F.col("rank").cast("string"), F.lit(". "), F.coalesce("Review_Text", F.lit("")), F.lit(" (Topics: "),
         F.coalesce(F.array_join("topics", ", "), F.lit("")), F.lit(", Branch: "), F.coalesce("Branch", F.lit("")),
         F.lit(")"),
     )
-    return top.join(shown, "review_uid").withColumn("line", line)
+    return shown.join(top, "review_uid").withColumn("line", line)
 
 
 def answer_contexts(lines: DataFrame, qid: str = "qid") -> DataFrame:
@@ -285,7 +290,7 @@ def answered(reviews: DataFrame, questions: DataFrame) -> DataFrame:
     matched = matcher(reviews, asked)
     told = asked.select("qid", "spec_key").join(spec_distributions(matched.label_counts()), "spec_key", "left")
     told = with_summary(told, reviews).withColumn("distribution", F.coalesce("distribution", F.lit("N/A")))
-    top = closest(reviews, asked, matched.first_matches(CANDIDATE_POOL))
+    top = closest(reviews, asked)
     contexts = answer_contexts(context_rows(top, reviews))
     return (
         guarded.select("qid", "intent", "refusal")

@@ -15,15 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from guestlens.functions.lexicon import fill_labels
 from guestlens.functions.models import Annotate, annotate, rule_annotator
 from guestlens.operators.insights import with_season
-from guestlens.operators.joins import fill_from_checkpoint, last_per_key, not_yet_done, overwrite_from_results
+from guestlens.operators.joins import fill_from_checkpoint, last_per_key, not_yet_done, overwrite_from_results, with_keys
 from guestlens.operators.ranking import even_batches, hashed_batches
 from guestlens.schema import ENRICHMENT, ensure_columns, layout
 from guestlens.sources.files import append, read_if_present, write_stage
 
 FIELDS = tuple(ENRICHMENT.fieldNames())
 BATCH_SIZE = 50
-# Concurrent model calls that served well: 100 for a remote service, 2 for a local model.
-CLIENTS = {"remote": 100, "local": 2}
 
 
 def store_schema(key_type: T.DataType, key: str = "review_uid") -> T.StructType:
@@ -57,16 +55,17 @@ def remaining(base: DataFrame, store: DataFrame, key: str = "review_uid") -> Dat
 def first_batches(todo: DataFrame, key: str, batch_size: int, limit: int | None, exact: bool = True) -> DataFrame:
     """The rows of the first ``limit`` batches; all rows without a limit.
 
-    ``exact`` counts batches in key order; otherwise a hash of the key assigns the rows, which costs
+    Only keys are numbered; texts stay out of the sort.  ``exact`` counts batches in key order; otherwise a hash of the key assigns the rows, which costs
     one count and no shuffle.
     """
     if limit is None:
         return todo
+    keys = todo.select(key)
     if exact:
-        numbered = even_batches(todo, key, batch_size, "_batch")
+        numbered = even_batches(keys, key, batch_size, "_batch")
     else:
-        numbered = hashed_batches(todo, key, max(1, todo.count() // batch_size), "_batch")
-    return numbered.filter(F.col("_batch") < limit).drop("_batch")
+        numbered = hashed_batches(keys, key, max(1, keys.count() // batch_size), "_batch")
+    return with_keys(todo, numbered.filter(F.col("_batch") < limit), key)
 
 
 def run_enrichment(
@@ -77,7 +76,7 @@ def run_enrichment(
     """Label what is left of ``base`` and append it to the store."""
     todo = remaining(base, read_store(base, store_path, key), key)
     todo = first_batches(todo, key, batch_size, limit_batches, exact_batches)
-    labelled = annotate(todo.select(key, "Review_Text"), factory, partitions=partitions)
+    labelled = annotate(todo.select(key, "Review_Text"), factory, partitions=partitions, call_size=batch_size)
     columns = store_schema(base.schema[key].dataType, key).fieldNames()
     append(labelled.withColumn("run_id", F.lit(run_id).cast("bigint")).select(*columns), store_path)
 

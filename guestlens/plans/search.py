@@ -1,14 +1,17 @@
-"""Vector search, filtered by metadata."""
+"""Vector search over all items that a query's filters leave, and the store of embeddings."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from guestlens.functions.models import Embed, embed_text, word_hash_embedder
+from guestlens.functions.models import CALL_SIZE, Embed, embed_text, word_hash_embedder
 from guestlens.functions.vectors import cosine_of_normed, with_norm
+from guestlens.operators.joins import last_per_key, not_yet_done
+from guestlens.operators.matching import BROADCAST_BYTES, Field, SpecMatcher
 from guestlens.operators.ranking import first_k_per_group
+from guestlens.sources.files import append, read_if_present
 
 TOP_K = 5
 CANDIDATE_POOL = 150
@@ -16,11 +19,51 @@ CANDIDATE_POOL = 150
 
 def with_embeddings(
     rows: DataFrame, text: str, factory: Callable[[], Embed] = word_hash_embedder, name: str = "vector",
-    partitions: int | None = None,
+    partitions: int | None = None, call_size: int = CALL_SIZE,
 ) -> DataFrame:
-    """Vectors of the texts.  ``partitions`` spreads few large partitions over more model calls."""
+    """Vectors of the texts as ``name`` and the failures as ``<name>_error``.  ``partitions`` as in annotate()."""
     spread = rows.repartition(partitions) if partitions else rows
-    return spread.withColumn(name, embed_text(F.col(text), factory))
+    called = spread.withColumn("_embedded", embed_text(F.col(text), factory, call_size))
+    return called.withColumns({name: F.col("_embedded.vector"), f"{name}_error": F.col("_embedded.error")}).drop("_embedded")
+
+
+# --- stored embeddings ----------------------------------------------------------------------
+
+def vector_schema(key_type: T.DataType, key: str = "review_uid") -> T.StructType:
+    return T.StructType([
+        T.StructField(key, key_type), T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("vector_norm", T.DoubleType()),
+        T.StructField("vector_error", T.StringType()), T.StructField("run_id", T.LongType()),
+    ])
+
+
+def read_vectors(rows: DataFrame, path: str, key: str = "review_uid") -> DataFrame:
+    """All stored results; an empty frame before the first run."""
+    schema = vector_schema(rows.schema[key].dataType, key)
+    stored = read_if_present(rows.sparkSession, path, schema)
+    return rows.sparkSession.createDataFrame([], schema) if stored is None else stored
+
+
+def embed_new(
+    rows: DataFrame, path: str, run_id: int, factory: Callable[[], Embed] = word_hash_embedder, key: str = "review_uid",
+    text: str = "Review_Text", partitions: int | None = None,
+) -> None:
+    """Embed the rows that the store has no vector of and append them.  Failures are stored and tried again."""
+    done = read_vectors(rows, path, key).filter(F.col("vector").isNotNull())
+    todo = not_yet_done(rows.select(key, text), done, key)
+    made = with_norm(with_embeddings(todo, text, factory, partitions=partitions), "vector")
+    append(made.withColumn("run_id", F.lit(run_id).cast("bigint")).select(*vector_schema(T.NullType(), key).fieldNames()), path)
+
+
+def latest_vectors(stored: DataFrame, key: str = "review_uid") -> DataFrame:
+    """Key, vector and length of the last run that gave a vector."""
+    return last_per_key(stored.filter(F.col("vector").isNotNull()), key, F.col("run_id"), ["vector", "vector_norm"])
+
+
+# --- search ---------------------------------------------------------------------------------
+
+def small_enough(df: DataFrame, bytes_per_row: int) -> DataFrame:
+    """``df`` with a broadcast hint if its rows are few enough; else Spark decides."""
+    return F.broadcast(df) if df.count() * bytes_per_row <= BROADCAST_BYTES else df
 
 
 def top_by_similarity(
@@ -28,24 +71,49 @@ def top_by_similarity(
 ) -> DataFrame:
     """The ``k`` most similar rows per query, with ``similarity`` and ``rank``.
 
-    ``pairs`` holds both vectors and their lengths, see :func:`with_norm`.  A missing vector sorts last, ties go by key; so if no vector is there the first ``k`` keys remain.
-    Only keys and similarities are ranked and shuffled.
+    ``pairs`` holds both vectors and their lengths, see :func:`with_norm`.  A missing vector sorts last, ties go by
+    key; so if no vector is there the first ``k`` keys remain.  Only keys and similarities are ranked and shuffled,
+    and each task cuts its rows to ``k`` per query before.
     """
-    scored = pairs.withColumn("similarity", cosine_of_normed(vector, query_vector)).drop(
-        vector, query_vector, f"{vector}_norm", f"{query_vector}_norm")
+    scored = pairs.select(query, key, cosine_of_normed(vector, query_vector).alias("similarity"))
     return first_k_per_group(
         scored, [query], [F.desc_nulls_last("similarity"), F.col(key)], k, F.col(key), salts=8
     )
 
 
+def search_matches(
+    matcher: SpecMatcher, asking: DataFrame, query: str, key: str, vector: str = "vector", query_vector: str = "query_vector", k: int = TOP_K,
+) -> DataFrame:
+    """The most similar of all matching rows.  ``asking`` has ``query``, the matcher's key and the query's vector.
+
+    Where specifications and query vectors are few bytes they are broadcast, and no vector is shuffled.
+    """
+    pairs = matcher.matches(key, vector, f"{vector}_norm")
+    asking = small_enough(with_norm(asking.select(query, matcher.spec_key, query_vector), query_vector), 4_096)
+    return top_by_similarity(pairs.join(asking, matcher.spec_key), query, vector, query_vector, key, k)
+
+
 def filtered_search(
-    queries: DataFrame, items: DataFrame, on: Sequence[str], query: str, key: str,
-    vector: str = "vector", query_vector: str = "query_vector", k: int = TOP_K,
+    queries: DataFrame, items: DataFrame, on: Sequence[str], query: str, key: str, vector: str = "vector",
+    query_vector: str = "query_vector", k: int = TOP_K, shown: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact search among the items that agree with the query in the metadata columns ``on``."""
-    asked = with_norm(queries.select(query, query_vector, *on), query_vector)
-    pairs = asked.join(with_norm(items.select(key, vector, *on), vector), list(on))
-    return top_by_similarity(pairs.drop(*on), query, vector, query_vector, key, k)
+    """Exact search among the items that agree with the query in the metadata columns ``on``.
+
+    A null leaves a column open, so a query may set all, some or none of them; ``on`` may be empty.  Of an array
+    column one common value is enough.  ``shown`` columns are fetched for the rows found only.
+    """
+    def field(name: str) -> Field:
+        many = isinstance(items.schema[name].dataType, T.ArrayType)
+        wanted = F.when(F.size(f"_on_{name}") > 0, F.col(f"_on_{name}")) if many else F.col(f"_on_{name}")
+        return Field(name, F.col(name), wanted, many=many, several=many)
+
+    specs = queries.select(query, query_vector, *[F.col(c).alias(f"_on_{c}") for c in on])
+    matcher = SpecMatcher(with_norm(items.select(key, vector, *on), vector), specs, [field(c) for c in on], query)
+    asking = specs.select(query, query_vector).withColumn("_query", F.col(query))
+    found = search_matches(matcher, asking, "_query", key, vector, query_vector, k).withColumnRenamed("_query", query)
+    if not shown:
+        return found
+    return items.select(key, *shown).join(small_enough(found, 100), key).select(*found.columns, *shown)
 
 
 def mean_vectors(items: DataFrame, group: str, vector: str = "vector", name: str = "query_vector") -> DataFrame:

@@ -27,7 +27,7 @@ def _hits(word_list):
 
 def _topics_sql():
     cases = ", ".join(f"CASE WHEN {pattern_hit('Review_Text', w)} THEN '{n}' END" for n, w in models.TOPIC_WORDS)
-    return f"array_to_string(list_slice(list_filter([{cases}], lambda x: x IS NOT NULL), 1, {models.MAX_TOPICS}), '|')"
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), '|')"
 
 
 def _family_sql():
@@ -47,8 +47,7 @@ SELECT {UID}, CAST(score AS BIGINT) AS sentiment_score, CASE WHEN score < 3 THEN
 @query("model_enrichment", LABELLED_SQL)
 def model_enrichment(spark, sf):
     raw = tables.reviews(spark, sf).select("review_uid", "Review_Text")
-    cores = spark.sparkContext.defaultParallelism
-    labelled = models.annotate(raw, partitions=cores).select("review_uid", *FIELDS)
+    labelled = models.annotate(raw).select("review_uid", *FIELDS)
     return as_bigint(labelled.withColumn("topics", as_text("topics")), "sentiment_score")
 
 
@@ -151,7 +150,7 @@ def _places_sql(name, key, text, source):
 SELECT CAST(review_uid AS BIGINT) AS review_uid, count(*) AS places, CAST(sum(n) AS DOUBLE) AS words, CAST(sum(n * (place + 1)) AS DOUBLE) AS weighted FROM v GROUP BY 1""")
 def review_embeddings(spark, sf):
     texts = tables.reviews(spark, sf).select("review_uid", "Review_Text")
-    vectors = search.with_embeddings(texts, "Review_Text", partitions=spark.sparkContext.defaultParallelism)
+    vectors = search.with_embeddings(texts, "Review_Text")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     return vectors.select(
         "review_uid",
@@ -189,6 +188,20 @@ def filtered_vector_search(spark, sf):
     return as_bigint(rounded(found, "similarity", digits=5), "query", "rank")
 
 
+@query("open_vector_search", CENTROIDS_SQL.replace("""FROM embeddings e JOIN centroids c ON c.label = e.label""", """FROM embeddings e JOIN centroids c
+   ON (c.label % 3 = 2 OR c.label = e.label) AND (c.label % 3 > 0 OR e.vec_id % 2 = 1)""").replace("SELECT e.label, e.vec_id,", "SELECT c.label, e.vec_id, e.label AS found,") + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rank FROM sims)
+SELECT CAST(label AS BIGINT) AS query, CAST(vec_id AS BIGINT) AS vec_id, CAST(rank AS BIGINT) AS rank, round(sim, 5) AS similarity, CAST(found AS BIGINT) AS label
+FROM r WHERE rank <= 5""")
+def open_vector_search(spark, sf):
+    """Queries that set both filters, one, or none."""
+    items = tables.table(spark, sf, "embeddings").withColumn("odd", F.col("vec_id") % 2 == 1)
+    asked = _centroids(items).withColumns({
+        "odd": F.when(F.col("label") % 3 == 0, True), "label": F.when(F.col("label") % 3 < 2, F.col("label"))})
+    found = search.filtered_search(asked, items, ["label", "odd"], "query", "vec_id", vector="embedding", shown=["label"])
+    return as_bigint(rounded(found, "similarity", digits=5), "query", "rank", "label")
+
+
 # --- questions ----------------------------------------------------------------------------
 
 def _text_field(name):
@@ -300,10 +313,10 @@ def candidate_pool(spark, sf):
     return as_bigint(asked.select("qid", "spec_key").join(answers.candidates(r, asked), "spec_key").drop("spec_key"), "rank")
 
 
-TOP_SQL = ASKED + ", " + _places_sql("v", "review_uid", "Review_Text", "(SELECT * FROM reviews WHERE review_uid IN (SELECT review_uid FROM pool))") + ", " + \
+TOP_SQL = ASKED + ", " + _places_sql("v", "review_uid", "Review_Text", "(SELECT * FROM reviews WHERE review_uid IN (SELECT review_uid FROM hits))") + ", " + \
     _places_sql("w", "qid", "question", "asked") + f""",
- dots AS (SELECT p.qid, p.review_uid, sum(v.n * w.n) AS d FROM pool p JOIN v ON v.review_uid = p.review_uid JOIN w ON w.qid = p.qid AND w.place = v.place GROUP BY 1, 2),
- sims AS (SELECT p.qid, p.review_uid, coalesce(d.d, 0) / (sqrt(CAST(a.ss AS DOUBLE)) * sqrt(CAST(b.ss AS DOUBLE))) AS sim FROM pool p
+ dots AS (SELECT p.qid, p.review_uid, sum(v.n * w.n) AS d FROM hits p JOIN v ON v.review_uid = p.review_uid JOIN w ON w.qid = p.qid AND w.place = v.place GROUP BY 1, 2),
+ sims AS (SELECT p.qid, p.review_uid, coalesce(d.d, 0) / (sqrt(CAST(a.ss AS DOUBLE)) * sqrt(CAST(b.ss AS DOUBLE))) AS sim FROM hits p
   LEFT JOIN dots d ON d.qid = p.qid AND d.review_uid = p.review_uid JOIN v_norm a ON a.review_uid = p.review_uid JOIN w_norm b ON b.qid = p.qid),
  top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, review_uid) AS rank FROM sims) WHERE rank <= 5)"""
 

@@ -64,8 +64,9 @@ def test_failures_stay_null_and_are_retried(base, tmp_path):
 
 def test_a_failing_model_is_recorded_per_row(spark):
     rows = spark.createDataFrame([(1, "crash"), (2, "fine")], "review_uid int, Review_Text string").coalesce(1)
-    got = annotate(rows, flaky("none")).collect()
-    assert all(r.enriched_json is None and "model is down" in r.enrich_error for r in got)
+    got = {r.review_uid: r for r in annotate(rows, flaky("none")).collect()}
+    assert got[1].enriched_json is None and "model is down" in got[1].enrich_error
+    assert got[2].enriched_json and got[2].enrich_error is None
 
 
 def test_running_twice_equals_running_once(base, tmp_path):
@@ -132,11 +133,53 @@ def test_whole_job(spark, raw, tmp_path):
 
 def test_embedder_counts_words(spark):
     rows = spark.createDataFrame([(1, "a b a"), (2, None)], "i int, t string")
-    got = {r.i: r.v for r in rows.select("i", embed_text(F.col("t")).alias("v")).collect()}
+    got = {r.i: r.v for r in rows.select("i", embed_text(F.col("t"))["vector"].alias("v")).collect()}
     assert sum(got[1]) == 3.0 and max(got[1]) in (2.0, 3.0) and sum(got[2]) == 0.0
     assert list(word_hash_embedder()(["a b a"])[0]) == got[1]
 
 
+def choosy():
+    """A model that fails a whole call if one text of it is bad."""
+    def embed(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no such text")
+        return word_hash_embedder()(texts)
+
+    return embed
+
+
+def test_one_bad_text_fails_one_row(spark):
+    rows = spark.createDataFrame([(i, "bad text" if i == 77 else f"text {i}") for i in range(200)], "review_uid int, Review_Text string").coalesce(1)
+    from guestlens.plans.search import with_embeddings
+
+    got = {r.review_uid: r for r in with_embeddings(rows, "Review_Text", choosy).collect()}
+    assert [i for i, r in got.items() if r.vector is None] == [77]
+    assert "no such text" in got[77].vector_error and got[78].vector_error is None
+
+    def annotator():
+        def call(texts):
+            choosy()(texts)
+            return rule_annotator()(texts)
+        return call
+
+    labelled = {r.review_uid: r for r in annotate(rows, annotator).collect()}
+    assert [i for i, r in labelled.items() if r.sentiment_score is None] == [77] and labelled[77].enrich_error
+
+
+def test_embeddings_are_stored_once(spark, tmp_path):
+    from guestlens.plans import search
+
+    path = str(tmp_path / "vectors")
+    rows = spark.createDataFrame([(i, "bad text" if i == 3 else f"text {i}") for i in range(8)], "review_uid int, Review_Text string")
+    search.embed_new(rows.filter("review_uid < 5"), path, 1, choosy)
+    search.embed_new(rows, path, 2, choosy)
+    stored = search.read_vectors(rows, path)
+    assert sorted((r.review_uid, r.run_id) for r in stored.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (5, 2), (6, 2), (7, 2)]
+    search.embed_new(rows, path, 3)
+    latest = {r.review_uid: r.vector_norm for r in search.latest_vectors(search.read_vectors(rows, path)).collect()}
+    assert len(latest) == 8 and all(n > 0 for n in latest.values())
+
+
 def test_stream_takes_every_review_once(spark, base, tmp_path):
     source, store, checkpoint = (str(tmp_path / n) for n in ("in", "results", "checkpoint"))
 

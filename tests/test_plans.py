@@ -39,11 +39,21 @@ def test_quant_tasks(spark, raw):
 def test_vector_search_of_the_original_test_suite(spark):
     items = spark.createDataFrame([(1, [0.1, 0.2, 0.3]), (2, [0.9, 0.8, 0.7]), (3, [0.1, 0.2, 0.3])], "key int, vector array<double>")
     queries = spark.createDataFrame([(1, [0.1, 0.2, 0.3])], "query int, query_vector array<double>")
-    both = [d.withColumn("m", F.lit(1)) for d in (queries, items)]
-    got = [(r.key, r["rank"]) for r in search.filtered_search(*both, ["m"], "query", "key", k=3).orderBy("rank").collect()]
+    got = [(r.key, r["rank"]) for r in search.filtered_search(queries, items, [], "query", "key", k=3).orderBy("rank").collect()]
     assert got == [(1, 1), (3, 2), (2, 3)]
 
 
+def test_search_with_open_filters_and_topics(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0], "a", ["x", "y"], "one"), (2, [0.9, 0.1], "b", ["y"], "two"), (3, [0.0, 1.0], "a", None, "three")],
+                                  "key int, vector array<double>, place string, topics array<string>, text string")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], None, None), (2, [1.0, 0.0], "a", None), (3, [1.0, 0.0], None, ["y", "x"]), (4, [1.0, 0.0], "b", ["x"]), (5, [0.0, 1.0], None, [])],
+                                    "query int, query_vector array<double>, place string, topics array<string>")
+    found = {}
+    for r in search.filtered_search(queries, items, ["place", "topics"], "query", "key", shown=["text"]).orderBy("rank").collect():
+        found.setdefault(r["query"], []).append(r.text)
+    assert found == {1: ["one", "two", "three"], 2: ["one", "three"], 3: ["one", "two"], 5: ["three", "two", "one"]}
+
+
 def test_without_vectors_the_first_keys_remain(spark):
     pairs = spark.createDataFrame([(1, k, None, [1.0]) for k in range(9)], "query int, key int, vector array<double>, query_vector array<double>")
     pairs = with_norm(with_norm(pairs, "vector"), "query_vector")
