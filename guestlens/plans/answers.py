@@ -24,22 +24,44 @@ SPEC_FIELDS = tuple(n for n in FILTER_SPEC.fieldNames() if n not in ("intent", "
 MATCH_FIELDS = tuple(n for n in SPEC_FIELDS if n != "unsupported_entity")
 
 
+TRUE_WORDS = ["true", "1", "yes", "y", "on", "t"]
+FALSE_WORDS = ["false", "0", "no", "n", "off", "f"]
+
+
+def _typed(name: str, kind: T.DataType) -> Column:
+    """A field of the loosely parsed specification in its type; null if the text does not fit."""
+    value = F.col(f"_spec.{name}")
+    if isinstance(kind, T.IntegerType):
+        number = F.trim(value).try_cast("double")
+        return F.when(number == F.floor(number), number.cast("int"))
+    if isinstance(kind, T.BooleanType):
+        word = F.lower(F.trim(value))
+        return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
+    return value
+
+
 def parse_specs(questions: DataFrame, spec_json: str = "spec_json") -> DataFrame:
     """Typed columns from the specification text.
 
-    Text that is no specification (bad JSON, a value of the wrong type, an unknown intent, no
-    reasoning) gives the default: a review search without filters.
+    Numbers and truth values may be given as text, as in ``"month": "6"``.  Text that is no specification
+    (bad JSON, a value that does not fit its type, an unknown intent, no reasoning) gives the default: a
+    review search without filters.
     """
-    schema = T.StructType([*FILTER_SPEC.fields, T.StructField("_bad", T.StringType())])
+    loose = [f if isinstance(f.dataType, T.ArrayType) else T.StructField(f.name, T.StringType()) for f in FILTER_SPEC.fields]
+    schema = T.StructType([*loose, T.StructField("_bad", T.StringType())])
     parsed = questions.withColumn(
         "_spec", F.from_json(spec_json, schema, {"columnNameOfCorruptRecord": "_bad"})
     )
     intent = F.coalesce("_spec.intent", F.lit(INTENTS[0]))
+    typed = {f.name: _typed(f.name, f.dataType) for f in FILTER_SPEC.fields}
     good = (
         F.col("_spec").isNotNull() & F.col("_spec._bad").isNull()
         & F.col("_spec.reasoning").isNotNull() & intent.isin(INTENTS)
     )
-    fields = {n: F.when(good, F.col(f"_spec.{n}")) for n in SPEC_FIELDS}
+    for name, value in typed.items():
+        good = good & (F.col(f"_spec.{name}").isNull() | value.isNotNull())
+    good = F.coalesce(good, F.lit(False))
+    fields = {n: F.when(good, typed[n]) for n in SPEC_FIELDS}
     return parsed.withColumns({
         "parsed": good,
         "intent": F.when(good, intent).otherwise(F.lit(INTENTS[0])),

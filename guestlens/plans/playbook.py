@@ -17,7 +17,6 @@ from guestlens.operators.filters import low_data
 from guestlens.operators.insights import (
     CELL, grouped_cells, negative_count, pct_negative, theme_cells, weighted_mean, weighted_median, with_season,
 )
-from guestlens.session import use_checkpoints
 
 MIN_VOLUME = 30
 TREND_EPS = 0.2
@@ -99,27 +98,27 @@ def critical_issues(trends: DataFrame, top: int = TOP) -> DataFrame:
     return trends.orderBy(*severity_order()).limit(top)
 
 
-def quotes(reviews: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+def quotes(reviews: DataFrame) -> DataFrame:
     """The quote of each cell: the first negative text of 40 to 300 characters, else the start of the
     first negative text.
 
-    One pass over the texts; what travels is at most 300 characters per review, and one per cell and
-    task after the partial aggregate.  ``cells`` restricts it to a short list of cells.
+    The winning keys are found first, without texts; then one text per cell is fetched.  Cells are parks of
+    the season table by seasons by themes, a bound that no amount of reviews changes, so they are broadcast.
     """
     whole = quotable(F.col("Review_Text"))
     negative = with_season(reviews).filter(F.col("sentiment_label") == "Negative")
+    themed = grouped_cells(explode_themes(negative.withColumn("_whole", whole).drop("Review_Text")))
+    key = F.col("review_uid")
+    first = themed.groupBy(*CELL).agg(F.min(F.when(F.col("_whole"), key)).alias("_quotable"), F.min(key).alias("_any"))
+    winners = first.select(*CELL, F.coalesce("_quotable", "_any").alias("review_uid"))
     shown = F.when(whole, F.col("Review_Text")).otherwise(snippet(F.col("Review_Text"), SHORT_QUOTE, always=True))
-    themed = grouped_cells(explode_themes(negative.withColumns({"_whole": whole, "_shown": shown})))
-    if cells is not None:
-        themed = themed.join(cells.select(*CELL), CELL, "left_semi")
-    first = F.struct(~F.col("_whole"), F.col("review_uid"))
-    return themed.groupBy(*CELL).agg(F.min_by("_shown", first).alias("quote"))
+    texts = reviews.select("review_uid", shown.alias("quote"))
+    return texts.join(F.broadcast(winners), "review_uid").select(*CELL, "quote")
 
 
 def with_quotes(issues: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Issues with their quote.  Spark knows the size of a top list and broadcasts it if it is small."""
-    found = quotes(reviews, issues)
-    return issues.join(found, CELL, "left").withColumn(
+    """Issues with their quote."""
+    return issues.join(quotes(reviews), CELL, "left").withColumn(
         "representative_quote", F.coalesce("quote", F.lit(fixed.NO_QUOTE))
     ).drop("quote")
 
@@ -128,14 +127,9 @@ def cx_playbook(
     reviews: DataFrame, min_volume: int = MIN_VOLUME, trend_eps: float = TREND_EPS, top: int = TOP,
     cells: DataFrame | None = None,
 ) -> DataFrame:
-    """The ranked issue table.  ``cells`` saves the first pass if the theme cells are there already.
-
-    The list of issues is checkpointed: it is needed to look for quotes and to join them, and is made
-    once.
-    """
+    """The ranked issue table.  ``cells`` saves the first pass if the theme cells are there already."""
     cells = theme_cells(reviews) if cells is None else cells
-    use_checkpoints(reviews.sparkSession)
-    issues = critical_issues(trends_from_cells(cells, min_volume, trend_eps), top).checkpoint()
+    issues = critical_issues(trends_from_cells(cells, min_volume, trend_eps), top)
     return formatted(with_quotes(issues, reviews)).orderBy(*playbook_order())
 
 

@@ -170,6 +170,13 @@ def test_specifications_that_do_not_parse_become_the_default(spark):
     assert got == [(False, "search_reviews", None)] * 5 + [(True, "search_reviews", 6), (True, "view_report", None)]
 
 
+def test_numbers_and_truth_values_may_be_texts(spark):
+    asked = ask(spark, ("", '{"month": "6", "branch": "Paris", "is_complaint": "yes", "reasoning": "r"}'), ("", '{"month": 6.0, "is_complaint": false, "reasoning": "r"}'),
+                ("", '{"month": 6.5, "branch": "Paris", "reasoning": "r"}'), ("", '{"is_complaint": "perhaps", "reasoning": "r"}'))
+    got = [(r.parsed, r.month, r.branch, r.is_complaint) for r in parse_specs(asked).orderBy("qid").collect()]
+    assert got == [(True, 6, "Paris", True), (True, 6, None, False), (False, None, None, None), (False, None, None, None)]
+
+
 @pytest.mark.parametrize("spec, branch, refused", [
     ('"branch": "Paris"', "Disneyland_Paris", None), ('"branch": " disneyland_hongKong "', "Disneyland_HongKong", None),
     ('"branch": "EuroDisney resort"', "Disneyland_Paris", None), ('"branch": "Disneyland"', "Disneyland", "Disneyland"),
