@@ -5,11 +5,11 @@ random register, which keeps the shingle of the earliest.  A shingle whose next
 time is done, so most end after one or two.  Registers of two texts agree with their probability Jaccard similarity.
 
 Links.  Texts with the same words are one node.  Nodes that agree in all registers of a band share a bucket.  In each
-bucket all nodes are compared with its first one only, with the exact similarity; those that are not similar go on to the
-next round with more leaders, until every bucket has come to its end.  Since 1 - similarity is a metric, a node
-can only be linked to one that was found similar to the leader if its own similarity to the leader is not too low; such
-pairs are looked at last, as far as they are not connected yet.  So all links that the buckets hold find their class,
-no bucket is capped, and no bucket's pairs are listed.
+bucket nodes are compared with a leader, by the exact similarity, and classes are formed; buckets that hold several
+classes go on with another leader, which is compared with nodes of other classes.  Small buckets are finished in full.
+In a large bucket of several classes a node meets the leaders of its 24 buckets only: a node that is similar to very few
+nodes of a large class can stay apart from it (README has figures).  Comparing all pairs would cost the square of a
+group's size.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ THRESHOLD = 0.8
 #: 24 bands of 4 registers: a pair at the threshold shares no bucket with probability 0.59 ** 24 = 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-MORE_LEADERS = 16
+#: Leaders of a bucket, and the nodes up to which a bucket is compared in full at last.
+ROUNDS = 4
+SMALL_BUCKET = 24
 SLICE_BYTES = 1 << 20
 
 
@@ -143,44 +145,37 @@ def with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataF
 
 
 def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) that are needed to connect similar nodes of the buckets (bucket, node).
+    """Links (a, b) that connect similar nodes of the buckets (bucket, node).
 
-    One leader in the first round, which settles groups of copies of any size, then ``MORE_LEADERS`` times as many in each.
+    In each of ``ROUNDS`` rounds every bucket of several classes has one leader, which is compared with the nodes of other
+    classes: first the two nodes whose buckets are largest, as the text that all copies of a group were made from is in
+    most of the group's largest buckets, then others by a hash that differs from bucket to bucket.  What is left in buckets
+    of at most ``SMALL_BUCKET`` nodes is then compared in full.
     """
-    known, rated_before, leaders = None, [], 1
-    while True:
-        first = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-        chosen = members.withColumn("place", first).where(F.col("place") <= leaders).select("bucket", F.col("node").alias("leader"))
-        pairs = stored(members.join(chosen, "bucket").where("node > leader"), "bucket-pairs")
-        if pairs.isEmpty():
-            break
-        new = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    weights = members.join(sizes, "bucket").groupBy("node").agg((-F.sum("size")).alias("weight"))
+    members = stored(members.join(weights, "node"), "weighed-members")
+    known, classes = None, members.select("node", F.col("node").alias("class")).limit(0)
+    for turn in range(ROUNDS + 1):
+        placed = with_class(members, classes, "node", "class")
+        several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n")).where("one <> other")
+        if turn == ROUNDS:
+            several = several.where(F.col("n") <= SMALL_BUCKET)
+        order = F.col("weight") if turn < 2 else F.xxhash64("node", "bucket")
+        open_rows = stored(placed.join(several.select("bucket"), "bucket", "left_semi").withColumn("order", order), "open-members")
+        first = F.row_number().over(W.partitionBy("bucket").orderBy("order", "node"))
+        last = SMALL_BUCKET if turn == ROUNDS else 1 + turn % 2
+        leaders = open_rows.withColumn("place", first).where(F.col("place") <= last)
+        leaders = leaders if turn == ROUNDS else leaders.where(F.col("place") == last)
+        leaders = leaders.select("bucket", F.col("node").alias("leader"), F.col("class").alias("theirs"))
+        pairs = open_rows.join(leaders, "bucket").where(F.col("class") != F.col("theirs"))
+        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         if known is not None:
-            new = new.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(similarities(new, texts), "similarities")
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found = stored(similarities(pairs, texts), "similarities")
         known = found if known is None else known.union(found)
-        rated = pairs.join(known.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity"), ["leader", "node"])
-        rated_before.append(rated.where(F.col("similarity") >= 2 * threshold - 1))
-        unlike = rated.groupBy("bucket", "node").agg(F.max("similarity").alias("most")).where(F.col("most") < threshold)
-        rest = unlike.join(chosen.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        members = stored(rest.select("bucket", "node"), "bucket-rest")
-        leaders *= MORE_LEADERS
-    if known is None:
-        return members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    links = known.where(F.col("similarity") >= threshold).select("a", "b")
-    classes = components(links)
-    near = rated_before[0]
-    for more in rated_before[1:]:
-        near = near.union(more)
-    apart = with_class(with_class(near.where(F.col("similarity") < threshold), classes, "node", "own"), classes, "leader", "theirs").where("own <> theirs")
-    apart = apart.select("bucket", "leader", F.col("node").alias("b"), F.col("similarity").alias("far"))
-    close = near.where(F.col("similarity") >= threshold).select("bucket", "leader", F.col("node").alias("a"), F.col("similarity").alias("close"))
-    reach = F.col("close") <= F.col("far") + (1 - threshold) + 1e-9
-    late = stored(apart.join(close, ["bucket", "leader"]).where(reach).select("a", "b").distinct(), "late-pairs")
-    if late.isEmpty():
-        return links
-    found = stored(similarities(late, texts), "similarities")
-    return links.union(found.where(F.col("similarity") >= threshold).select("a", "b"))
+        classes = components(known.where(F.col("similarity") >= threshold).select("a", "b"))
+    return known.where(F.col("similarity") >= threshold).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
