@@ -7,9 +7,13 @@ time is done, so most end after one or two.  Registers of two texts agree with t
 Links.  Texts with the same words are one node.  Nodes that agree in all registers of a band share a bucket.  In each
 bucket nodes are compared with a leader, by the exact similarity, and classes are formed; buckets that hold several
 classes go on with another leader, which is compared with nodes of other classes.  Small buckets are finished in full.
-In a large bucket of several classes a node meets the leaders of its 24 buckets only: a node that is similar to very few
-nodes of a large class can stay apart from it (README has figures).  Comparing all pairs would cost the square of a
-group's size.
+
+Large buckets that still hold several classes are finished by a prefix join over the shingles of their nodes.  Shingles
+are ordered from rare to frequent, weights add up to 1 in a text.  If u of one text's weight and v of the other's is not
+shared, the similarity is at most (1 - u)(1 - v) / (1 - uv).  So with u and v the weights before the first common shingle,
+a pair that reaches the threshold t has that shingle where u and v are at most 1 - t, and one of them at most
+(1 - t) / (1 + t).  All pairs of different classes that meet there are candidates; the likeliest of two classes are
+compared first, and what they join is not compared again.  No pair is left out.
 """
 
 from __future__ import annotations
@@ -31,7 +35,12 @@ REGISTERS = BANDS * ROWS
 #: Leaders of a bucket, and the nodes up to which a bucket is compared in full at last.
 ROUNDS = 4
 SMALL_BUCKET = 24
+#: Candidates of the prefix join that two classes compare in a round; the last round takes all that are left.
+CANDIDATES = (1, 16, None)
+#: For sums of weights in floating point.
+ROUNDING = 1e-9
 SLICE_BYTES = 1 << 20
+SHINGLE_ROWS = 1 << 16
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -103,6 +112,17 @@ def compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) to a row for each distinct shingle: (node, shingle, share), the shares of a node adding up to 1."""
+    for piece in byte_slices(batches, "text", SLICE_BYTES):
+        for node, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+            shingle, count = weighted(word_hashes(words_of(text)))
+            for start in range(0, shingle.size, SHINGLE_ROWS):
+                some = slice(start, start + SHINGLE_ROWS)
+                columns = [pa.array([node] * shingle[some].size, pa.binary()), pa.array(shingle[some].view(np.int64)), pa.array(count[some] / count.sum())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingle", "share"])
+
+
 def same_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, text) whose text has that node: keys need not be unique."""
     for batch in batches:
@@ -144,13 +164,66 @@ def with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataF
     return found.withColumn(name, F.coalesce("found", node)).drop("found")
 
 
+def prefix_pairs(open_nodes: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, bound): the pairs of different classes whose similarity can reach the threshold, with an upper bound of it."""
+    shingles = stored(to_python(texts.join(open_nodes, "node", "left_semi").select("node", "text"), shingle_rows, "node binary, shingle long, share double"), "shingles")
+    frequent = shingles.groupBy("shingle").agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("node").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)
+    placed = shingles.join(frequent, "shingle").withColumn("before", F.coalesce(F.sum("share").over(earlier), F.lit(0.0)))
+    early = placed.where((F.col("before") <= 1 - threshold + ROUNDING) & (F.col("n") > 1))
+    early = early.withColumn("short", F.col("before") <= (1 - threshold) / (1 + threshold) + ROUNDING).select("shingle", "node", "before", "short")
+    rows = stored(with_class(early, classes, "node", "class"), "prefixes")
+    largest = (
+        rows.groupBy("shingle", "class").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+        .groupBy("shingle").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"), F.max("short").alias("short"))
+        .where("classes > 1 AND short").select("shingle", F.col("top.class").alias("largest"))
+    )
+    # Of two nodes of different classes, one at least is outside the largest class of the shingle.
+    shared = stored(rows.join(largest, "shingle"), "shared-prefixes")
+    left = shared.where(F.col("class") != F.col("largest")).drop("largest")
+    right = shared.select("shingle", F.col("node").alias("other"), F.col("before").alias("v"), F.col("short").alias("near"), F.col("class").alias("theirs"))
+    u, v = F.col("before"), F.col("v")
+    bound = (1 - u) * (1 - v) / (1 - u * v)
+    possible = (F.col("class") != F.col("theirs")) & ((1 - u) * (1 - v) >= (threshold - ROUNDING) * (1 - u * v))
+    met = left.where("short").join(right, "shingle").where(possible).union(left.where("NOT short").join(right.where("near"), "shingle").where(possible))
+    return stored(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), bound.alias("bound")).groupBy("a", "b").agg(F.max("bound").alias("bound")), "candidates")
+
+
+def finished(members: DataFrame, texts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """``known`` similarities with those that connect what is similar in large buckets of several classes."""
+    def classes_of(rated: DataFrame) -> DataFrame:
+        return components(rated.where(F.col("similarity") >= threshold).select("a", "b"))
+
+    classes = classes_of(known)
+    placed = with_class(members, classes, "node", "class")
+    several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n"))
+    several = several.where((F.col("one") != F.col("other")) & (F.col("n") > SMALL_BUCKET))
+    open_nodes = stored(members.join(several, "bucket", "left_semi").select("node").distinct(), "open-nodes")
+    if open_nodes.isEmpty():
+        return known
+    pairs = prefix_pairs(open_nodes, texts, classes, threshold)
+    for most in CANDIDATES:
+        rest = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        rest = with_class(with_class(rest, classes, "a", "class_a"), classes, "b", "class_b").where("class_a <> class_b")
+        if most is not None:
+            two = W.partitionBy(F.least("class_a", "class_b"), F.greatest("class_a", "class_b")).orderBy(F.desc("bound"), "a", "b")
+            rest = rest.withColumn("place", F.row_number().over(two)).where(F.col("place") <= most)
+        found = stored(similarities(rest.select("a", "b"), texts), "similarities")
+        if found.isEmpty():
+            break
+        known = known.union(found)
+        if most is not None:
+            classes = classes_of(known)
+    return known
+
+
 def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that connect similar nodes of the buckets (bucket, node).
 
     In each of ``ROUNDS`` rounds every bucket of several classes has one leader, which is compared with the nodes of other
     classes: first the two nodes whose buckets are largest, as the text that all copies of a group were made from is in
     most of the group's largest buckets, then others by a hash that differs from bucket to bucket.  What is left in buckets
-    of at most ``SMALL_BUCKET`` nodes is then compared in full.
+    of at most ``SMALL_BUCKET`` nodes is then compared in full, and in larger ones by ``finished``.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     weights = members.join(sizes, "bucket").groupBy("node").agg((-F.sum("size")).alias("weight"))
@@ -174,7 +247,9 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(similarities(pairs, texts), "similarities")
         known = found if known is None else known.union(found)
-        classes = components(known.where(F.col("similarity") >= threshold).select("a", "b"))
+        if turn < ROUNDS:
+            classes = components(known.where(F.col("similarity") >= threshold).select("a", "b"))
+    known = finished(members, texts, known, threshold)
     return known.where(F.col("similarity") >= threshold).select("a", "b")
 
 

@@ -89,3 +89,26 @@ def test_classes_equal_brute_force(spark):
 
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_template_family_of_a_thousand_texts(spark):
+    """Texts of one form: strangers at 88 / 112, each with one partner at 90 / 110 or 92 / 108."""
+    form = [f"form{i}" for i in range(92)]
+    rows = []
+    for pair in range(500):
+        own = [f"own{pair}x{i}" for i in range(12)]
+        same = 2 + pair % 2 * 2
+        rows += [(2 * pair, " ".join(form + own)), (2 * pair + 1, " ".join(form + own[:same] + [f"other{pair}x{i}" for i in range(12 - same)]))]
+    assert plain_similarity(rows[0][1], rows[1][1]) > 0.8 > 0.79 > plain_similarity(rows[0][1], rows[2][1])
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: k - k % 2 for k, _ in rows}
+
+
+def test_bound_of_the_prefix_join_holds():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x, y = (rng.integers(1, 5, 12) * (rng.random(12) < 0.7) for _ in range(2))
+        if x.any() and y.any():
+            a, b = ((np.flatnonzero(z).astype(np.uint64), z[z > 0]) for z in (x, y))
+            u, v = x[y == 0].sum() / x.sum(), y[x == 0].sum() / y.sum()
+            assert probability_jaccard(a, b) <= ((1 - u) * (1 - v) / (1 - u * v) if u * v < 1 else 0) + 1e-9
