@@ -1,7 +1,8 @@
 """Quality by compression: a text compresses better with a dictionary made from texts like it.
 
-One zstandard dictionary is built from good labelled text, one from bad.  Each document is compressed whole with either
-and with none.  The difference of the two sizes, normalised by the document's length, together with the normalised sizes
+One zstandard dictionary is built from good labelled text, one from bad.  Each document is cut into pieces of the size
+that the dictionaries are made from, as a dictionary helps the start of what is compressed only; every piece is compressed
+with either and with none, and the sizes are added up.  The difference of the two sums, normalised by the document's length, together with the normalised sizes
 themselves (which tell repetitive texts that both dictionaries fit alike), goes through a logistic calibration fitted on
 labelled documents that the dictionaries have not seen.
 """
@@ -52,15 +53,17 @@ class Sizes:
     def __init__(self, good: bytes, bad: bytes) -> None:
         self.coders = [_coder(good), _coder(bad), _coder(b"")]
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        raw = [(t or "").encode("utf-8", "replace") for t in texts]
-        length = np.array([len(t) for t in raw], float) + 16
-        good, bad, alone = (np.array([len(c.compress(t)) for t in raw], float) for c in self.coders)
+    def features(self, texts: list[str | None], piece: int | None = None) -> np.ndarray:
+        """Of whole texts, or with the sizes of all their pieces of ``piece`` characters added up."""
+        cut = [[t[i : i + piece] for i in range(0, len(t), piece)] if t and piece else [t or ""] for t in texts]
+        raw = [[p.encode("utf-8", "replace") for p in pieces] for pieces in cut]
+        length = np.array([sum(len(p) + 16 for p in pieces) for pieces in raw], float)
+        good, bad, alone = (np.array([sum(len(c.compress(p)) for p in pieces) for pieces in raw], float) for c in self.coders)
         return np.stack([(bad - good) / length, good / length, alone / length], axis=1).reshape(-1, 3)
 
 
 def score_texts(sizes: Sizes, model: QualityModel, texts: list[str | None]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(sizes.features(texts) @ np.array(model.weights) + model.shift, -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(sizes.features(texts, PIECE_CHARACTERS) @ np.array(model.weights) + model.shift, -30, 30)))
 
 
 def dictionary_of(pieces: list[str]) -> bytes:
@@ -120,7 +123,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(good, bad)
         for piece in slices(batches):
-            x = sizes.features(piece.column(0).to_pylist())
+            x = sizes.features(piece.column(0).to_pylist(), PIECE_CHARACTERS)
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), piece.column(1)], ["a", "b", "c", "good"])
 
     rows = sorted(map(tuple, to_python(seen, measure, "a double, b double, c double, good int").limit(4 * CALIBRATION_DOCUMENTS).collect()))
@@ -136,7 +139,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", score: str = "quality_score") -> DataFrame:
     """``docs`` with a column ``score``: 0 to 1, higher where a good label is likelier.
 
-    Every text is compressed whole.  Null and empty texts get the score of an empty text.  All columns are kept, in
+    All of a text is compressed, piece by piece, so the score does not follow its length.  Null and empty texts get the score of an empty text.  All columns are kept, in
     their order; a column already named ``score`` is replaced.  Repeated rows get equal scores; an empty table stays empty.
     """
     names = [c for c in docs.columns if c != score]

@@ -3,8 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
-from guestlens.llm.quality import DICTIONARY_BYTES, Sizes, calibrate, fit_quality, score_quality
-from guestlens.llm.queries import op5_quality
+from guestlens.llm.quality import ACCEPTED, DICTIONARY_BYTES, Sizes, calibrate, fit_quality, score_quality, score_texts
+from guestlens.llm.queries import op5_quality, quality_model
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,3 +52,19 @@ def test_odd_inputs(spark):
     assert score_quality(out, model).columns == out.columns
     none = fit_quality(docs, labels.limit(0))
     assert [r.quality_score for r in score_quality(docs, none).collect()] == pytest.approx([0.5] * 5)
+
+
+def test_long_texts_keep_their_score(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality_model(spark, sf, docs)
+    known = docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("text IS NOT NULL").orderBy("doc_id").collect()
+    sizes = Sizes(model.good, model.bad)
+    for label in (0, 1):
+        held = [r.text for r in known if r.quality == label and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+        joined = "\n".join(held)
+        joined *= 4_000_000 // len(joined) + 1
+        scores = score_texts(sizes, model, [joined[:n] for n in (10_000, 50_000, 200_000, 1_000_000, 4_000_000)])
+        print(label, len(held), scores)
+        assert all((s >= ACCEPTED) == label for s in scores)
+        assert np.ptp(scores) < 0.1
