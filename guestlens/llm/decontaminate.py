@@ -5,7 +5,8 @@ have similarity 0).  A window's SimHash is the sign of the sums of its shingles'
 A multi-index over the items' fingerprints, eight tables by one byte each that list every item within two bits of the
 byte, finds all items within ``RADIUS`` bits: a pair with at least three differing bits in each byte differs in 24.
 Candidates are verified by the exact weighted similarity: the share of the item's shingles, each as often as it occurs,
-that the window has too (both have equally many).
+that the window has too (both have equally many).  A document that is shorter than the item is one window, verified alike
+for every item of which it holds enough shingles.
 """
 
 from __future__ import annotations
@@ -113,13 +114,20 @@ class Items:
 
     def hits(self, shingles: np.ndarray, place: np.ndarray, item: np.ndarray, threshold: float) -> list[Hit]:
         """The best window of each item that reaches the threshold; the first of equals."""
-        best: dict[int, tuple[float, int]] = {}
+        best = self._short(shingles, item, threshold)
         cut = np.flatnonzero(np.diff(place) > GAP) + 1
         for at in np.split(np.arange(place.size), cut):
             for part in range(0, at.size, GAP):
                 run = at[part : part + GAP]
                 self._search(shingles, place[run], item[run], threshold, best)
-        return [Hit(self.keys[i], s, -start, int(self.size[i]) + SHINGLE - 1) for i, (s, start) in sorted(best.items())]
+        return [Hit(self.keys[i], s, -start, min(int(self.size[i]), shingles.size) + SHINGLE - 1) for i, (s, start) in sorted(best.items())]
+
+    def _short(self, shingles: np.ndarray, item: np.ndarray, threshold: float) -> dict[int, tuple[float, int]]:
+        """The whole document as the window of items longer than it; ``item`` has one entry for each shared place."""
+        found, places = np.unique(item, return_counts=True)
+        enough = (self.size[found] > shingles.size) & (places >= threshold * self.size[found] - 1e-9)
+        rated = {int(i): self.similarity(int(i), shingles) for i in found[enough]}
+        return {i: (s, 0) for i, s in rated.items() if s >= threshold}
 
     def _search(self, shingles: np.ndarray, place: np.ndarray, item: np.ndarray, threshold: float, best: dict[int, tuple[float, int]]) -> None:
         size = self.size[item]
@@ -168,7 +176,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """``docs`` with a column ``leaks``: an array of (item, similarity, start, words), the best window of each item found.
 
     Words are lower-case runs of letters and digits; ``start`` counts words.  All rows and columns are kept; a column
-    of that name is replaced.  Null and empty texts hold nothing; null texts and items of fewer than five words
+    of that name is replaced.  A document shorter than an item is compared with it as a whole.  Null and empty texts hold nothing; null texts and items of fewer than five words
     are left out, null item keys are keys like others, and items with equal texts are all reported.  An empty benchmark or
     an empty table gives empty arrays or an empty table.  The benchmark goes to the executors in passes of bounded size;
     documents never move.

@@ -85,3 +85,35 @@ def test_query(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     got = Counter((r.doc_id, r.item_id, round(r.similarity, 9), r.start, r.words) for r in op4_decontaminate(spark, SF).collect())
     assert got == brute(docs, items) and got
+
+
+def brute_short(docs, items, threshold=0.8):
+    """The same for documents shorter than the item: one window, the whole document."""
+    out = []
+    for key, text in docs:
+        words = words_of(text)
+        for item, passage in items:
+            theirs = words_of(passage)
+            if 5 <= len(words) < len(theirs):
+                rated = (bag(theirs) & bag(words)).total() / bag(theirs).total()
+                if rated >= threshold:
+                    out.append((key, item, round(rated, 9), 0, len(words)))
+    return Counter(out)
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(n))) for i, n in enumerate([6, 9, 20, 59, 59, 200])] + [(50, "a b c d e " * 6)]
+    docs = [(0, " ".join(items[3][1].split()[:-1])), (1, "a b c d e " * 5), (2, None), (3, "")]
+    for key in range(10, 150):
+        words = rng.choice(items)[1].split()
+        low = rng.randint(0, len(words) // 4)
+        words = words[low : len(words) - rng.randint(0, len(words) // 4)]
+        if words and rng.random() < 0.4:
+            words[rng.randrange(len(words))] = "changed"
+        docs.append((key, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = rows_of(D.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")))
+    want = brute_short(docs, items)
+    assert got == want + brute(docs, items) and len(want) > 20
+    assert (0, 3, round(54 / 55, 9), 0, 58) in want
