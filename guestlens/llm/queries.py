@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from guestlens.llm.common import table
 from guestlens.llm.lines import lines_sql
+from guestlens.llm.oracles import exact_sql, manifest_sql, prefixes_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,3 +140,35 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from guestlens.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@register
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.prefixes import conversation_turns, prefix_nodes, shared_openings
+
+    return prefix_nodes(shared_openings(conversation_turns(table(spark, sf_dir, "conversations"))))
+
+
+SQL["op11_prefixes"] = prefixes_sql()
+
+
+@register
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.merkle import merkle_manifest
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = {"text": lambda c: F.translate(c, upper, upper.lower())}
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered=remainder("doc_id", 3) == 0, changes=lowered)
+
+
+SQL["op12_manifest"] = manifest_sql()
+
+
+@register
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from guestlens.llm.exact import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"), largest_stays=True)
+
+
+SQL["op13_exact"] = exact_sql()
