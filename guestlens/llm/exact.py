@@ -1,7 +1,7 @@
 """Exact duplicates by a content sort, in DataFrame operations.
 
 Normalised bytes are dealt to tasks in ranges between sampled splitters and sorted there, on disk where memory is short, so
-that equal texts lie next to each other.  A run of equal neighbours, compared byte by byte, is a group: its rows are numbered
+that equal texts lie next to each other; texts with the same first ``HEAD`` bytes go by their hash and then by all bytes.  A run of equal neighbours, compared byte by byte, is a group: its rows are numbered
 from the identifier that stays, and counted.
 
 A text that holds a large share of all rows would be one run in one task.  A sample names such texts; their rows are
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from guestlens.llm.common import stored
 
+#: Splitters are told by so many first bytes of a text and then by its hash, as the driver gets a sample of them.
+HEAD = 64
 #: A text with a larger share of the rows than one in so many is sorted in slices of about that share.
 SLICES = 4096
 #: Rows of the sample, and how often a text must be in it for its share to be told.
@@ -52,9 +54,10 @@ def exact_duplicates(
     dealt = rows.withColumn("code", F.xxhash64("body")).join(frequent, "code", "left")
     # Repeated rows of one key come from many partitions, so their own partition helps to deal them out.
     slice_ = F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64("key", F.spark_partition_id()), F.col("slices")))
-    sorted_rows = dealt.withColumn("slice", slice_.cast("int")).select("key", "body", "slice").repartitionByRange("body", "slice")
+    dealt = dealt.select("key", "body", F.substring("body", 1, HEAD).alias("head"), "code", slice_.cast("int").alias("slice"))
+    sorted_rows = dealt.repartitionByRange("head", "code", "slice")
 
-    run = W.partitionBy("body", "slice").orderBy(F.desc_nulls_last("key") if largest_stays else F.asc_nulls_last("key"))
+    run = W.partitionBy("head", "code", "slice", "body").orderBy(F.desc_nulls_last("key") if largest_stays else F.asc_nulls_last("key"))
     whole = run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     placed = sorted_rows.withColumn("id", F.monotonically_increasing_id()).select(
         "key", "body", F.col("slice").isNotNull().alias("sliced"), F.row_number().over(run).alias("place"),
