@@ -12,6 +12,7 @@ otherwise it would set the capacity for all, and most shards would stay empty.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -105,20 +106,27 @@ def minimax_cuts(fetch: Callable[[list[tuple[int, int]], int], list[Cell]], shar
             else:
                 ranges.append((low, low + width - 1))
         bits = max(0, bits - max(1, (cells // len(unsure)).bit_length() - 1))
-        outside = [c for c in profile.cells if not any(low <= c.first <= high for low, high in ranges)]
+        lows = [low for low, _ in ranges]
+        at = (bisect_right(lows, c.first) - 1 for c in profile.cells)
+        outside = [c for c, i in zip(profile.cells, at) if i < 0 or c.first > ranges[i][1]]
         profile = Profile(sorted(outside + fetch(ranges, bits), key=lambda c: c.first))
     return profile.last_codes(shards)
 
 
 def group_fetcher(groups: DataFrame) -> Callable[[list[tuple[int, int]], int], list[Cell]]:
+    """Sums by cell.  Ranges consist of whole cells of the call before, so that codes meet them by their cell's number."""
+    coarse = 64
+
     def fetch(ranges: list[tuple[int, int]], bits: int) -> list[Cell]:
-        inside = F.lit(False)
-        for low, high in ranges:
-            inside = inside | F.col("code").between(low, high)
-        found = (
-            groups.where(inside).groupBy(F.shiftright("code", bits).alias("cell"))
-            .agg(F.min("code").alias("first"), F.max("code").alias("last"), F.sum("bytes").alias("size"))
-        )
+        nonlocal coarse
+        inside = groups
+        if coarse < 64:
+            wanted = [cell for low, high in ranges for cell in range(low >> coarse, (high >> coarse) + 1)]
+            # At most as many as the driver holds cells, 8 bytes each.
+            listed = groups.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(wanted)), "array<bigint>")).alias("wanted"))
+            inside = groups.join(F.broadcast(listed), F.shiftright("code", coarse) == F.col("wanted"), "left_semi")
+        coarse = bits
+        found = inside.groupBy(F.shiftright("code", bits).alias("cell")).agg(F.min("code").alias("first"), F.max("code").alias("last"), F.sum("bytes").alias("size"))
         return sorted((Cell(r["first"], r["last"], r["size"]) for r in found.collect()), key=lambda c: c.first)
 
     return fetch
@@ -153,7 +161,8 @@ def shard_documents(
     number of UTF-8 bytes plus 16.  A null text has no bytes and checksum 0 and goes with the empty texts.  Equal texts always share a shard, whatever their keys; null keys and repeated rows are rows like others.
     An empty table gives an empty result; with fewer groups than shards some shards stay empty.  Other columns of
     ``docs``, whatever their names, are not read.  ``slot`` counts from 0 in each shard; rows are numbered in buckets
-    of about ``rows_per_bucket``, so that a large shard is numbered by many tasks.
+    of about ``rows_per_bucket``, so that a large shard is numbered by many tasks; rows that repeat a key and its text are
+    told apart by the partition they come from, so that not even they meet in one.
     """
     rows = stored(
         docs.select(
@@ -161,6 +170,7 @@ def shard_documents(
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES).alias("bytes"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("checksum"),
             F.xxhash64(F.coalesce(text, F.lit(""))).alias("code"),
+            F.spark_partition_id().alias("origin"),
         ),
         "shard-rows",
     )
@@ -189,7 +199,7 @@ def numbered(placed: DataFrame, rows_per_bucket: int) -> DataFrame:
     for shard, n in many.items():
         if n > rows_per_bucket:
             buckets = F.when(F.col("shard") == shard, F.lit(-(-n // rows_per_bucket))).otherwise(buckets)
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key", "code"), buckets.cast("long")))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("key", "code", "origin"), buckets.cast("long")))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select(
         "shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")

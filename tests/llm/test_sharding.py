@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from guestlens.llm.sharding import Cell, minimax_cuts, shard_documents
+from guestlens.llm.sharding import Cell, group_fetcher, minimax_cuts, shard_documents
 
 SCHEMA = "doc_id long, text string, size string"
 
@@ -92,3 +92,26 @@ def test_small_inputs(spark):
     assert len({r.shard for r in same}) == 1 and sorted(r.slot for r in same) == list(range(9))
     few = shard_documents(spark.createDataFrame([(i, str(i), "") for i in range(40)], SCHEMA)).collect()
     assert len({r.shard for r in few}) >= 38
+
+
+def test_many_groups_and_ranges(spark):
+    """60,000 groups, and ranges by the thousand in one call."""
+    from pyspark.sql import functions as F
+
+    groups = spark.range(60_000).select(F.xxhash64("id").alias("code"), (F.col("id") % 97 + 1).alias("bytes")).cache()
+    plain = sorted((r.code, r["bytes"]) for r in groups.collect())
+    for cells in (256, 1 << 16):
+        cuts = minimax_cuts(group_fetcher(groups), 40, cells)
+        assert max(loads(plain, cuts, 40)) == brute_cuts(plain, 40)
+    fetch = group_fetcher(groups)
+    fetch([(-(2**63), 2**63 - 1)], 50)
+    ranges = [(c << 50, (c + 1 << 50) - 1) for c in range(-8192, 8192, 3)]
+    assert len(ranges) > 5000
+    found = fetch(ranges, 40)
+    assert sum(c.size for c in found) == sum(size for code, size in plain if (code >> 50) % 3 == -8192 % 3)
+
+
+def test_repeated_rows_are_numbered_in_many_buckets(spark):
+    docs = spark.range(0, 4000, 1, 8).selectExpr("7L AS doc_id", "'same' AS text")
+    got = shard_documents(docs, shards=4, rows_per_bucket=100).collect()
+    assert sorted(r.slot for r in got) == list(range(4000)) and len({r.shard for r in got}) == 1
