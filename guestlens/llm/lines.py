@@ -1,14 +1,15 @@
 """Recurring lines, found by a log-template tree and dropped, in DataFrame operations.
 
 A line's tokens with a digit become a wildcard.  The tree has a fixed depth: lines are parsed by their number of tokens,
-then by their first ``DEPTH`` tokens.  In a leaf that recurs, the token that most lines have at a place is fixed, other
-places are variable; lines that agree with the template in ``ALIKE`` of their places belong to it.  Lines that recur as
-they are count as templates too.
+then by their first ``DEPTH`` tokens.  A leaf is split into templates by its other tokens: one that stands at its place in
+enough unrelated documents is fixed, any other is a variable field, and lines with the same fixed tokens are a template.
+Lines of no recurring template are split once more, by what is frequent among themselves, so that a value that is frequent
+in another template can be variable in theirs.  So a leaf holds any number of templates.
 
 A template recurs if it stands in ``DOCUMENTS`` unrelated documents.  Copies of a document repeat all of its lines, which
-is no reason to drop them (another operator removes copies).  So documents are counted by what surrounds the line: the
-least hash of the long words in the other lines, which near copies nearly always share.  A template whose documents
-mostly share their surroundings stays.
+is no reason to drop them (another operator removes copies).  So each line's document is told by the ``SKETCH`` least hashes
+of the word pairs in its other lines, and of these by the one that most documents have: near copies of one document share
+it however many they are, unless all of their hashes differ.  How many copies come besides never matters.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from guestlens.llm.common import stored
 
 WILDCARD = "<*>"
 DEPTH = 3
+#: A template has at least this share of fixed places.
 ALIKE = 0.6
 DOCUMENTS = 10
-#: At least so much of the documents that have a template must differ in their surroundings.
-UNRELATED = 0.25
-#: Shorter lines ("And.") recur by chance and stay; surroundings are told by words of so many letters.
+SKETCH = 8
+#: Rounds of splitting a leaf.
+ROUNDS = 2
+#: Shorter lines ("And.") recur by chance and stay; word pairs begin with a word of so many letters.
 LEAST_TOKENS = 3
 LONG_WORD = 8
 
@@ -32,80 +35,80 @@ DIGIT_TOKEN = r"[^ ]*[0-9][^ ]*"
 
 def masked(line: Column) -> Column:
     """Tokens between single blanks, those with a digit as wildcards."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"[ \t\r]+", " ")), DIGIT_TOKEN, WILDCARD)
+    single = F.trim(F.when(line.rlike(r"[\t\r]|  "), F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, DIGIT_TOKEN, WILDCARD)).otherwise(single)
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(masked(line))
-
-
-def masked_lines(text: str) -> Column:
-    return F.transform(F.split(text, "\n", -1), masked)
-
-
-def leaf_of(line: Column) -> Column:
-    """The place in the tree of a line with enough tokens, else null."""
-    tokens = F.split(line, " ")
-    return F.when(F.size(tokens) >= LEAST_TOKENS, F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)))
-
-
-def line_rows(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each line of at least ``LEAST_TOKENS``: its document (by text), masked form's hash, leaf and surroundings."""
-    def least_word(line: Column) -> Column:
-        return F.array_min(F.transform(F.filter(F.split(line, " "), lambda w: F.length(w) >= LONG_WORD), lambda w: F.md5(w)))
-
-    split = docs.where(F.col(text).isNotNull()).select(*text_ids(text), masked_lines(text).alias("lines"))
-    marked = split.withColumn("least", F.transform("lines", least_word))
-    marked = marked.withColumn("order", F.slice(F.array_sort(F.filter("least", lambda m: m.isNotNull())), 1, 2))
-    each = marked.select("t1", "t2", "order", F.explode(F.arrays_zip("lines", "least")).alias("l"))
-    first, second = F.get("order", F.lit(0)), F.get("order", F.lit(1))
-    return each.select(
-        "t1", "t2", F.xxhash64("l.lines").alias("hash"), leaf_of(F.col("l.lines")).alias("leaf"),
-        F.coalesce(F.when(F.col("l.least") == first, second).otherwise(first), F.lit("")).alias("around"),
-    ).where(F.col("leaf").isNotNull())
+def text_ids(text: str) -> list[Column]:
+    """128 bits that equal texts share."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
 
-def line_forms(docs: DataFrame, text: str) -> DataFrame:
-    """(leaf, hash, line): every masked line with enough tokens."""
-    each = docs.where(F.col(text).isNotNull()).select(F.explode(masked_lines(text)).alias("line"))
-    return each.select(leaf_of(F.col("line")).alias("leaf"), F.xxhash64("line").alias("hash"), "line").where(F.col("leaf").isNotNull())
+def sketched(lines: str) -> Column:
+    """The least hashes of a text's pairs of a long word and its successor, each with the first line that has it."""
+    def pairs(line: Column, i: Column) -> Column:
+        words = F.split(line, " ")
+        each = F.transform(words, lambda w, j: F.when(F.length(w) >= LONG_WORD, F.named_struct(F.lit("key"), F.md5(F.concat_ws(" ", w, F.get(words, j + 1))), F.lit("line"), i)))
+        return F.filter(each, lambda p: p.isNotNull())
 
+    return F.slice(F.array_sort(F.flatten(F.transform(lines, pairs))), 1, SKETCH)
 
-def text_ids(text: str) -> list[Column]:
-    """128 bits that equal texts share."""
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
 
+def documents_of(lines: DataFrame) -> DataFrame:
+    """(t1, t2, told): for each text its sketch, with the number of texts that have each hash."""
+    texts = lines.where("place = 0").groupBy("t1", "t2").agg(F.first("sketch").alias("sketch"))
+    keys = texts.select("t1", "t2", F.explode("sketch").alias("s")).select("t1", "t2", "s.key", "s.line")
+    keys = keys.groupBy("t1", "t2", "key").agg(F.min("line").alias("line"))
+    common = keys.groupBy("key").agg(F.count("*").alias("n"))
+    return keys.join(common, "key").groupBy("t1", "t2").agg(F.collect_list(F.struct("n", "key", "line")).alias("told"))
 
-def recurring(rows: DataFrame, *by: str) -> DataFrame:
-    """Groups of (t1, t2, around) rows in enough documents of enough different surroundings."""
-    seen = rows.groupBy(*by, "around").agg(F.count("*").alias("docs"))
-    return (
-        seen.groupBy(*by).agg(F.count("*").alias("unrelated"), F.sum("docs").alias("docs"))
-        .where((F.col("unrelated") >= DOCUMENTS) & (F.col("unrelated") >= UNRELATED * F.col("docs"))).select(*by)
-    )
 
+def split_leaf(forms: DataFrame, seen: DataFrame) -> DataFrame:
+    """(leaf, hash, pattern): the template of each form that has enough fixed places.
 
-def recurring_lines(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """All (t1, t2, hash) of documents' lines, and the hashes that are to be dropped."""
-    pairs = stored(line_rows(docs, text).withColumn("around", F.xxhash64("around")).distinct(), "lines")
-    exact = recurring(pairs, "hash")
-    leaves = recurring(pairs, "leaf")
-    weights = pairs.join(leaves, "leaf", "left_semi").groupBy("leaf", "hash").agg(F.count("*").alias("docs"))
-    several = weights.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf")
-    forms = line_forms(docs, text).join(several, "leaf", "left_semi").groupBy("leaf", "hash").agg(F.max("line").alias("line"))
-    weighed = stored(forms.join(weights, ["leaf", "hash"]).withColumn("tokens", F.split("line", " ")).drop("line"), "line-forms")
-    places = weighed.select("leaf", "docs", F.posexplode("tokens").alias("place", "token"))
-    counted = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
-    fixed = (
-        counted.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("top"), F.sum("docs").alias("all"))
-        .where(F.col("top.docs") * 2 > F.col("all"))
-        .groupBy("leaf").agg(F.collect_list(F.struct("place", "top.token")).alias("fixed"))
-    )
-    hits = F.size(F.filter("fixed", lambda f: F.get("tokens", f["place"]) == f["token"]))
-    matching = weighed.join(fixed, "leaf").where(hits >= ALIKE * F.size("tokens")).select("leaf", "hash")
-    matched = pairs.join(matching, ["leaf", "hash"], "left_semi")
-    general = matching.join(recurring(matched, "leaf"), "leaf", "left_semi").select("hash")
-    return pairs.select("t1", "t2", "hash"), exact.union(general).distinct()
+    ``forms`` (leaf, hash, tokens) are the lines of the leaves, ``seen`` (leaf, hash, document) the documents that have them.
+    """
+    tokens = forms.select("leaf", "hash", F.posexplode("tokens").alias("place", "token"))
+    held = seen.join(tokens, ["leaf", "hash"]).select("leaf", "place", "token", "document").distinct()
+    fixed = held.groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS).drop("n")
+    places = F.array_sort(F.collect_list(F.struct("place", "token")))
+    found = tokens.join(fixed, ["leaf", "place", "token"]).groupBy("leaf", "hash").agg(places.alias("fixed"))
+    enough = found.join(forms.select("leaf", "hash", F.size("tokens").alias("size")), ["leaf", "hash"]).where(F.size("fixed") >= ALIKE * F.col("size"))
+    return enough.select("leaf", "hash", F.xxhash64("fixed").alias("pattern"))
+
+
+def recurring_lines(docs: DataFrame, text: str) -> DataFrame:
+    """(t1, t2, gone): the places of the lines that are to be dropped, for texts that have any."""
+    split = docs.where(F.col(text).isNotNull()).select(*text_ids(text), F.transform(F.split(text, "\n", -1), masked).alias("lines"))
+    marked = split.select("t1", "t2", sketched("lines").alias("sketch"), F.posexplode("lines").alias("place", "line"))
+    tokens = F.split("line", " ")
+    leaf = F.when(F.size(tokens) >= LEAST_TOKENS, F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)))
+    sketch = F.when(F.col("place") == 0, F.col("sketch"))
+    kept = F.when(leaf.isNotNull(), F.col("line"))
+    lines = stored(marked.select("t1", "t2", "place", leaf.alias("leaf"), kept.alias("line"), sketch.alias("sketch")).where("leaf IS NOT NULL OR place = 0"), "lines")
+
+    often = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS).select("leaf")
+    candidates = lines.drop("sketch").join(often, "leaf", "left_semi").withColumn("hash", F.xxhash64("line"))
+    others = F.filter("told", lambda k: k["line"] != F.col("place"))
+    document = F.coalesce(F.array_max(F.transform(others, lambda k: F.named_struct(F.lit("n"), k["n"], F.lit("key"), k["key"])))["key"], F.lit(""))
+    told = candidates.join(documents_of(lines), ["t1", "t2"], "left").withColumn("document", F.xxhash64(document)).drop("told")
+    candidates = stored(told, "line-candidates")
+
+    seen = candidates.select("leaf", "hash", "document").distinct()
+    enough = seen.select("leaf", "document").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS).select("leaf")
+    seen = stored(seen.join(enough, "leaf", "left_semi"), "line-documents")
+    forms = candidates.join(enough, "leaf", "left_semi").groupBy("leaf", "hash").agg(F.max("line").alias("line"))
+    forms = stored(forms.select("leaf", "hash", F.split("line", " ").alias("tokens")), "line-forms")
+    patterns = None
+    for turn in range(ROUNDS):
+        left = forms if patterns is None else forms.join(good, ["leaf", "hash"], "left_anti")
+        more = split_leaf(left, seen if patterns is None else seen.join(good, ["leaf", "hash"], "left_anti"))
+        old = patterns.join(good, ["leaf", "hash"], "left_semi") if patterns is not None else None
+        patterns = stored(more if old is None else old.unionByName(more), "line-patterns")
+        met = seen.join(patterns, ["leaf", "hash"]).select("leaf", "pattern", "document").distinct()
+        recurring = met.groupBy("leaf", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS)
+        good = patterns.join(recurring, ["leaf", "pattern"], "left_semi").select("leaf", "hash")
+    return candidates.join(good, ["leaf", "hash"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("place").alias("gone"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -113,16 +116,16 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", counts: tuple[str,
 
     Lines end at line feeds.  All columns and rows are kept, in any number of copies; columns already named like
     ``counts`` are replaced.  A null text stays null and has no lines, an empty text has one empty line; a text of
-    which no line is left becomes empty.  Lines of fewer than three tokens are never dropped.  Null keys and repeated
-    rows need no care, as documents are told apart by their texts only; an empty table stays empty.
+    which no line is left becomes empty.  Lines of fewer than three tokens are never dropped.  All lines without a long word
+    in the other lines of their text count as of one document.  Null keys and repeated rows need no care, as documents are
+    told apart by their texts only; an empty table stays empty.
     """
-    pairs, dropped = recurring_lines(docs, text)
-    gone = pairs.join(dropped, "hash", "left_semi").groupBy("t1", "t2").agg(F.collect_set("hash").alias("gone"))
+    gone = recurring_lines(docs, text)
     names = [c for c in docs.columns if c not in counts]
     packed = docs.select(F.struct(*(f"`{c}`" for c in names)).alias("row"), *text_ids(text))
     joined = packed.join(gone, ["t1", "t2"], "left")
     lines = F.split(F.col("row")[text], "\n", -1)
-    left = F.filter(lines, lambda l: ~F.array_contains("gone", line_hash(l)))
+    left = F.filter(lines, lambda l, i: ~F.array_contains("gone", i))
     out = joined.withColumn("left", F.when(F.col("gone").isNotNull(), left))
     count = F.when(F.col("row")[text].isNull(), 0).otherwise(F.size(lines))
     new_text = F.when(F.col("left").isNull(), F.col("row")[text]).otherwise(F.array_join("left", "\n"))
@@ -136,37 +139,36 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", counts: tuple[str,
 def lines_sql(table: str = "documents", text: str = "text") -> str:
     """The same in DuckDB's SQL: doc_id, n_lines, n_dropped, text."""
     form = f"regexp_replace(trim(regexp_replace(l, '[ \\t\\r]+', ' ', 'g'), ' '), '{DIGIT_TOKEN}', '{WILDCARD}', 'g')"
-    least = f"list_min(list_transform(list_filter(string_split(l, ' '), lambda w: length(w) >= {LONG_WORD}), lambda w: md5(w)))"
-
-    def enough(rows: str, by: str) -> str:
-        return (
-            f"SELECT {by} FROM (SELECT {by}, around, count(*) AS docs FROM {rows} GROUP BY {by}, around) GROUP BY {by} "
-            f"HAVING count(*) >= {DOCUMENTS} AND count(*) >= {UNRELATED} * sum(docs)"
-        )
-
+    words = "string_split(line, ' ')"
+
+    def turn(k: int, forms: str, seen: str) -> str:
+        return f"""
+tokens{k} AS (SELECT n, lead, line, unnest({words}) AS token, generate_subscripts({words}, 1) AS place FROM {forms}),
+fixed{k} AS (SELECT n, lead, place, token FROM {seen} JOIN tokens{k} USING (n, lead, line) GROUP BY ALL HAVING count(DISTINCT document) >= {DOCUMENTS}),
+more{k} AS (SELECT n, lead, line, list(place || ':' || token ORDER BY place) AS pattern FROM tokens{k} SEMI JOIN fixed{k} USING (n, lead, place, token)
+  GROUP BY n, lead, line HAVING count(*) >= {ALIKE} * n),
+patterns{k} AS ({f"SELECT * FROM patterns{k - 1} SEMI JOIN good{k - 1} USING (n, lead, line) UNION ALL " if k else ""}SELECT * FROM more{k}),
+recurring{k} AS (SELECT n, lead, pattern FROM seen JOIN patterns{k} USING (n, lead, line) GROUP BY ALL HAVING count(DISTINCT document) >= {DOCUMENTS}),
+good{k} AS (SELECT n, lead, line FROM patterns{k} SEMI JOIN recurring{k} USING (n, lead, pattern)),
+forms{k} AS (SELECT * FROM forms ANTI JOIN good{k} USING (n, lead, line)),
+left{k} AS (SELECT * FROM seen ANTI JOIN good{k} USING (n, lead, line)),"""
+
+    turns = "".join(turn(k, f"forms{k - 1}" if k else "forms", f"left{k - 1}" if k else "seen") for k in range(ROUNDS))
     return f"""
 WITH texts AS (SELECT DISTINCT {text} AS t FROM {table} WHERE {text} IS NOT NULL),
 split AS (SELECT t, list_transform(string_split(t, chr(10)), lambda l: {form}) AS lines FROM texts),
-least AS (SELECT *, list_transform(lines, lambda l: {least}) AS mins FROM split),
-ordered AS (SELECT *, list_sort(list_filter(mins, lambda m: m IS NOT NULL)) AS o FROM least),
-each AS (SELECT t, o, unnest(lines) AS line, unnest(mins) AS m FROM ordered),
-rows AS (SELECT DISTINCT t, line, len(string_split(line, ' ')) AS n, string_split(line, ' ')[1:{DEPTH}] AS lead,
-  coalesce(CASE WHEN m = o[1] THEN o[2] ELSE o[1] END, '') AS around FROM each WHERE len(string_split(line, ' ')) >= {LEAST_TOKENS}),
-exact AS ({enough('rows', 'line')}),
-leaves AS ({enough('rows', 'n, lead')}),
-weights AS (SELECT n, lead, line, count(*) AS docs FROM rows SEMI JOIN leaves USING (n, lead) GROUP BY ALL),
-forms AS (SELECT * FROM weights SEMI JOIN (SELECT n, lead FROM weights GROUP BY ALL HAVING count(*) > 1) USING (n, lead)),
-places AS (SELECT n, lead, docs, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS place FROM forms),
-counted AS (SELECT n, lead, place, token, sum(docs) AS docs FROM places GROUP BY ALL),
-fixed AS (SELECT n, lead, place, arg_max(token, docs) AS token FROM counted GROUP BY n, lead, place HAVING max(docs) * 2 > sum(docs)),
-hits AS (SELECT f.n, f.lead, f.line FROM forms f JOIN fixed x ON f.n = x.n AND f.lead = x.lead
-  AND string_split(f.line, ' ')[x.place] = x.token GROUP BY f.n, f.lead, f.line HAVING count(*) >= {ALIKE} * f.n),
-matched AS (SELECT * FROM rows SEMI JOIN hits USING (n, lead, line)),
-general AS ({enough('matched', 'n, lead')}),
-dropped AS (SELECT line FROM exact UNION SELECT line FROM hits SEMI JOIN general USING (n, lead)),
 numbered AS (SELECT t, unnest(string_split(t, chr(10))) AS raw, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
-kept AS (SELECT t, count(*) AS n_lines, count(*) FILTER (WHERE d.line IS NOT NULL) AS n_dropped,
-  coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE d.line IS NULL), '') AS new_text
-  FROM numbered LEFT JOIN dropped d ON d.line = numbered.line GROUP BY t)
+words AS (SELECT t, i, unnest({words}) AS w, unnest(list_concat({words}[2:], [NULL])) AS next FROM numbered),
+pairs AS (SELECT t, md5(concat_ws(' ', w, next)) AS key, min(i) AS i, count(*) AS times FROM words WHERE length(w) >= {LONG_WORD} GROUP BY t, key),
+spread AS (SELECT t, key, i, sum(times) OVER (PARTITION BY t ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pairs),
+sketch AS (SELECT t, key, i, count(*) OVER (PARTITION BY key) AS texts FROM spread WHERE coalesce(before, 0) < {SKETCH}),
+lines AS (SELECT t, i, line, len({words}) AS n, {words}[1:{DEPTH}] AS lead FROM numbered WHERE len({words}) >= {LEAST_TOKENS}),
+told AS (SELECT l.t, l.i, l.line, l.n, l.lead, coalesce(arg_max(s.key, {{'n': s.texts, 'key': s.key}}), '') AS document
+  FROM lines l LEFT JOIN sketch s ON s.t = l.t AND s.i <> l.i GROUP BY ALL),
+seen AS (SELECT DISTINCT n, lead, line, document FROM told),
+forms AS (SELECT DISTINCT n, lead, line FROM seen),{turns}
+kept AS (SELECT b.t, count(*) AS n_lines, count(g.line) AS n_dropped,
+  coalesce(string_agg(raw, chr(10) ORDER BY b.i) FILTER (WHERE g.line IS NULL), '') AS new_text
+  FROM numbered b LEFT JOIN good{ROUNDS - 1} g ON g.line = b.line GROUP BY b.t)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, new_text AS text
 FROM {table} LEFT JOIN kept ON kept.t = {table}.{text}"""

@@ -52,6 +52,49 @@ def test_rows_equal_sql(spark, seed):
     assert got[(1000, 5, 0, copied)] == 1
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghiklmnop") for _ in range(rng.randint(2, 12))) for _ in range(n))
+
+
+def test_hot_copies_do_not_save_a_footer(spark):
+    """A footer of 60 unrelated pages and of 1,500 near copies of one page goes everywhere; the page's own lines stay."""
+    rng = random.Random(5)
+    footer = "All rights reserved by the owner"
+    page = [prose(rng, 12) for _ in range(8)]
+    rows = [(i, "\n".join([prose(rng, 12) for _ in range(6)] + [footer])) for i in range(60)]
+    for i in range(1500):
+        words = [line.split() for line in page]
+        for _ in range(5):
+            line = rng.choice(words)
+            line[rng.randrange(12)] = prose(rng, 1)
+        rows.append((1000 + i, "\n".join([" ".join(w) for w in words] + [footer])))
+    got = from_spark(spark, rows)
+    assert got == from_sql(rows)
+    before = dict(rows)
+    for key, n_lines, n_dropped, text in got:
+        assert n_dropped == 1 and text + "\n" + footer == before[key]
+
+
+def test_two_templates_in_one_leaf(spark):
+    """Fields without digits, forms that are each rare, much prose beside them, and a value frequent in another template."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(240):
+        line = [
+            f"This article was written by {prose(rng, 1)} for all of our readers",
+            f"This article was posted in {prose(rng, 1)} on account of our readers",
+            f"This article was {prose(rng, 8)}",
+            prose(rng, 11),
+        ][i % 4]
+        rows.append((i, "\n".join([prose(rng, 12), line, prose(rng, 12)])))
+    rows += [(1000 + i, "\n".join([prose(rng, 12), f"Reply sent by {'anna' if i < 30 else prose(rng, 1)} in {'general' if i >= 30 else prose(rng, 1)} forum"])) for i in range(60)]
+    got = from_spark(spark, rows)
+    assert got == from_sql(rows)
+    dropped = {key: n for key, _, n, _ in got}
+    assert all(dropped[i] == (i % 4 < 2) for i in range(240))
+    assert all(dropped[1000 + i] == 1 for i in range(60))
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     db = duckdb.connect()
