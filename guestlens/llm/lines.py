@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guestlens.llm.common import stored
+from guestlens.plans.search import small_enough
 
 WILDCARD = "<*>"
 DEPTH = 3
@@ -26,17 +27,26 @@ DOCUMENTS = 10
 SKETCH = 8
 #: Rounds of splitting a leaf.
 ROUNDS = 2
-#: Shorter lines ("And.") recur by chance and stay; word pairs begin with a word of so many letters.
+#: Shorter lines ("And.") recur by chance and stay.
 LEAST_TOKENS = 3
-LONG_WORD = 8
+#: A word of 8 letters or more and its successor.
+WORD_PAIR = "[^ ]{8,}( [^ ]+)?"
 
 DIGIT_TOKEN = r"[^ ]*[0-9][^ ]*"
 
 
-def masked(line: Column) -> Column:
-    """Tokens between single blanks, those with a digit as wildcards."""
-    single = F.trim(F.when(line.rlike(r"[\t\r]|  "), F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, DIGIT_TOKEN, WILDCARD)).otherwise(single)
+def single_blanks(line: Column) -> Column:
+    several = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    return F.trim(F.when(several, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
+
+
+def without_digits(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, DIGIT_TOKEN, WILDCARD)).otherwise(line)
+
+
+def masked_lines(text: Column) -> Column:
+    """The lines as tokens between single blanks, those with a digit as wildcards."""
+    return F.transform(F.transform(F.split(text, "\n", -1), single_blanks), without_digits)
 
 
 def text_ids(text: str) -> list[Column]:
@@ -47,9 +57,8 @@ def text_ids(text: str) -> list[Column]:
 def sketched(lines: str) -> Column:
     """The least hashes of a text's pairs of a long word and its successor, each with the first line that has it."""
     def pairs(line: Column, i: Column) -> Column:
-        words = F.split(line, " ")
-        each = F.transform(words, lambda w, j: F.when(F.length(w) >= LONG_WORD, F.named_struct(F.lit("key"), F.md5(F.concat_ws(" ", w, F.get(words, j + 1))), F.lit("line"), i)))
-        return F.filter(each, lambda p: p.isNotNull())
+        found = F.regexp_extract_all(line, F.lit(WORD_PAIR), F.lit(0))
+        return F.transform(found, lambda pair: F.named_struct(F.lit("key"), F.md5(pair), F.lit("line"), i))
 
     return F.slice(F.array_sort(F.flatten(F.transform(lines, pairs))), 1, SKETCH)
 
@@ -57,8 +66,8 @@ def sketched(lines: str) -> Column:
 def documents_of(lines: DataFrame) -> DataFrame:
     """(t1, t2, told): for each text its sketch, with the number of texts that have each hash."""
     texts = lines.where("place = 0").groupBy("t1", "t2").agg(F.first("sketch").alias("sketch"))
-    keys = texts.select("t1", "t2", F.explode("sketch").alias("s")).select("t1", "t2", "s.key", "s.line")
-    keys = keys.groupBy("t1", "t2", "key").agg(F.min("line").alias("line"))
+    once = F.filter("sketch", lambda s, i: (i == 0) | (s["key"] != F.get("sketch", i - 1)["key"]))
+    keys = texts.select("t1", "t2", F.explode(once).alias("s")).select("t1", "t2", "s.key", "s.line")
     common = keys.groupBy("key").agg(F.count("*").alias("n"))
     return keys.join(common, "key").groupBy("t1", "t2").agg(F.collect_list(F.struct("n", "key", "line")).alias("told"))
 
@@ -79,15 +88,17 @@ def split_leaf(forms: DataFrame, seen: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, text: str) -> DataFrame:
     """(t1, t2, gone): the places of the lines that are to be dropped, for texts that have any."""
-    split = docs.where(F.col(text).isNotNull()).select(*text_ids(text), F.transform(F.split(text, "\n", -1), masked).alias("lines"))
-    marked = split.select("t1", "t2", sketched("lines").alias("sketch"), F.posexplode("lines").alias("place", "line"))
-    tokens = F.split("line", " ")
-    leaf = F.when(F.size(tokens) >= LEAST_TOKENS, F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)))
-    sketch = F.when(F.col("place") == 0, F.col("sketch"))
-    kept = F.when(leaf.isNotNull(), F.col("line"))
-    lines = stored(marked.select("t1", "t2", "place", leaf.alias("leaf"), kept.alias("line"), sketch.alias("sketch")).where("leaf IS NOT NULL OR place = 0"), "lines")
+    split = docs.where(F.col(text).isNotNull()).select(*text_ids(text), masked_lines(F.col(text)).alias("lines"))
+    marked = split.select("t1", "t2", "lines", sketched("lines").alias("sketch"))
+    # Only the first line of a text carries its sketch.
+    first = F.transform("lines", lambda line, i: F.named_struct(F.lit("place"), i, F.lit("line"), line, F.lit("sketch"), F.when(i == 0, F.col("sketch"))))
+    each = marked.select("t1", "t2", F.explode(first).alias("l")).select("t1", "t2", "l.place", "l.line", "l.sketch", F.split("l.line", " ").alias("tokens"))
+    leaf = F.when(F.size("tokens") >= LEAST_TOKENS, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
+    told = each.select("t1", "t2", "place", leaf.alias("leaf"), "line", "sketch").where("leaf IS NOT NULL OR place = 0")
+    lines = stored(told.withColumn("line", F.when(F.col("leaf").isNotNull(), F.col("line"))), "lines")
 
     often = lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS).select("leaf")
+    often = small_enough(stored(often, "line-leaves"), 16)
     candidates = lines.drop("sketch").join(often, "leaf", "left_semi").withColumn("hash", F.xxhash64("line"))
     others = F.filter("told", lambda k: k["line"] != F.col("place"))
     document = F.coalesce(F.array_max(F.transform(others, lambda k: F.named_struct(F.lit("n"), k["n"], F.lit("key"), k["key"])))["key"], F.lit(""))
@@ -158,8 +169,8 @@ left{k} AS (SELECT * FROM seen ANTI JOIN good{k} USING (n, lead, line)),"""
 WITH texts AS (SELECT DISTINCT {text} AS t FROM {table} WHERE {text} IS NOT NULL),
 split AS (SELECT t, list_transform(string_split(t, chr(10)), lambda l: {form}) AS lines FROM texts),
 numbered AS (SELECT t, unnest(string_split(t, chr(10))) AS raw, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
-words AS (SELECT t, i, unnest({words}) AS w, unnest(list_concat({words}[2:], [NULL])) AS next FROM numbered),
-pairs AS (SELECT t, md5(concat_ws(' ', w, next)) AS key, min(i) AS i, count(*) AS times FROM words WHERE length(w) >= {LONG_WORD} GROUP BY t, key),
+words AS (SELECT t, i, unnest(regexp_extract_all(line, '{WORD_PAIR}')) AS pair FROM numbered),
+pairs AS (SELECT t, md5(pair) AS key, min(i) AS i, count(*) AS times FROM words GROUP BY t, key),
 spread AS (SELECT t, key, i, sum(times) OVER (PARTITION BY t ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pairs),
 sketch AS (SELECT t, key, i, count(*) OVER (PARTITION BY key) AS texts FROM spread WHERE coalesce(before, 0) < {SKETCH}),
 lines AS (SELECT t, i, line, len({words}) AS n, {words}[1:{DEPTH}] AS lead FROM numbered WHERE len({words}) >= {LEAST_TOKENS}),
