@@ -223,13 +223,14 @@ def closest(
     once, where it is read.  A question without a vector gets its first matches in key order.
     """
     if vectors is None:
-        embedded = with_norm(with_embeddings(reviews, "Review_Text", factory), "vector")
+        embedded = with_embeddings(reviews, "Review_Text", factory)
     else:
-        embedded = reviews.join(vectors.select("review_uid", "vector", "vector_norm"), "review_uid", "left")
-    asking = with_embeddings(asked.select(qid, "spec_key", question), question, factory, "query_vector").drop(question)
+        embedded = reviews.join(vectors.select("review_uid", "vector"), "review_uid", "left")
+    use_checkpoints(reviews.sparkSession)
+    asking = with_embeddings(asked.select(qid, "spec_key", question), question, factory, "query_vector").drop(question).checkpoint()
     if pooled is None:
         return search_matches(matcher(embedded, asked), asking, qid, "review_uid", k=k)
-    pairs = pooled.drop("rank").join(embedded.select("review_uid", "vector", "vector_norm"), "review_uid")
+    pairs = pooled.drop("rank").join(with_norm(embedded.select("review_uid", "vector"), "vector"), "review_uid")
     pairs = pairs.join(small_enough(with_norm(asking, "query_vector"), 4_096), "spec_key")
     return top_by_similarity(pairs, qid, "vector", "query_vector", "review_uid", k)
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from guestlens.functions.models import CALL_SIZE, Embed, embed_text, word_hash_embedder
-from guestlens.functions.vectors import cosine_of_normed, with_norm
+from guestlens.functions.vectors import NO_NORM, cosine_of_normed, with_norm
 from guestlens.operators.joins import last_per_key, not_yet_done
 from guestlens.operators.matching import BROADCAST_BYTES, Field, SpecMatcher
 from guestlens.operators.ranking import first_k_per_group
@@ -15,6 +20,11 @@ from guestlens.sources.files import append, read_if_present
 
 TOP_K = 5
 CANDIDATE_POOL = 150
+# Bytes of query vectors that go to the tasks at a time, and scores that a task works out at a time.
+QUERY_BYTES = 32 << 20
+SCORES = 1 << 21
+# Scores this close to the best are summed again in order.
+ROUNDING = 1e-9
 
 
 def with_embeddings(
@@ -81,16 +91,125 @@ def top_by_similarity(
     )
 
 
+def query_blocks(asks: DataFrame, vector: str) -> list[DataFrame]:
+    """``asks`` in parts whose vectors take at most ``QUERY_BYTES`` each; usually one."""
+    told = asks.agg(F.coalesce(F.sum(F.coalesce(F.size(vector), F.lit(0)) * 8 + 64), F.lit(0))).first()[0]
+    parts = max(1, -(-told // QUERY_BYTES))
+    return [asks.filter(F.pmod(F.xxhash64("ask"), F.lit(parts)) == i) for i in range(parts)]
+
+
+class Asks:
+    """The queries of one group of items as a matrix, and the best ``k`` items of each so far."""
+
+    def __init__(self, ids: list, vectors: list, k: int) -> None:
+        self.ids, self.k = ids, k
+        size = max((len(v) for v in vectors if v is not None), default=0)
+        self.known = np.array([v is not None and len(v) == size for v in vectors])
+        self.matrix = np.array([v if ok else [0.0] * size for v, ok in zip(vectors, self.known)], float).reshape(len(ids), size)
+        self.lengths = guarded_lengths(self.matrix)
+        self.least = np.full(len(ids), -np.inf)
+        self.best = pd.DataFrame({"ask": pd.Series(dtype=int), "order": pd.Series(dtype=float), "key": pd.Series(dtype=object)})
+
+    def meet(self, keys: np.ndarray, vectors: np.ndarray, known: np.ndarray) -> None:
+        """Take in items.  Scores come from a matrix product; those near the best are then summed in order, as a column would."""
+        step = max(1, SCORES // max(len(self.ids), 1))
+        lengths = guarded_lengths(vectors)
+        for start in range(0, len(keys), step):
+            some = slice(start, start + step)
+            rough = vectors[some] @ self.matrix.T / np.outer(lengths[some], self.lengths)
+            rough[~known[some], :] = -np.inf
+            rough[:, ~self.known] = -np.inf
+            rough[np.isnan(rough)] = np.inf
+            place = max(0, len(rough) - self.k)
+            least = np.maximum(self.least, np.partition(rough, place, axis=0)[place]) if len(rough) >= self.k else self.least
+            row, ask = np.nonzero(rough >= least - ROUNDING)
+            score = np.zeros(len(row))
+            for d in range(vectors.shape[1]):
+                score += vectors[some][row, d] * self.matrix[ask, d]
+            score /= lengths[some][row] * self.lengths[ask]
+            score = np.where(np.isneginf(rough[row, ask]), -np.inf, np.where(np.isnan(score), np.inf, score))
+            found = pd.DataFrame({"ask": ask, "order": score, "key": keys[some][row]})
+            both = pd.concat([self.best, found]) if len(self.best) else found
+            both = both.sort_values(["ask", "order", "key"], ascending=[True, False, True])
+            self.best = both.groupby("ask", sort=False).head(self.k)
+            full = self.best.groupby("ask")["order"].agg(["size", "min"])
+            full = full[full["size"] == self.k]
+            self.least[full.index.to_numpy(int)] = full["min"].to_numpy(float)
+
+
+def guarded_lengths(vectors: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(vectors))
+    for d in range(vectors.shape[1]):
+        total += vectors[:, d] * vectors[:, d]
+    lengths = np.sqrt(total)
+    return np.where(lengths == 0, NO_NORM, lengths)
+
+
+def best_of_task(asks: pa.Table, k: int, ask_type: pa.DataType, key_type: pa.DataType) -> Callable:
+    """Rows (group, key, vector) to the task's best ``k`` of each ask: (ask, key, similarity)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed: dict = {}
+        for group, ask, vector in zip(*(asks.column(i).to_pylist() for i in range(3))):
+            ids, vectors = listed.setdefault(group, ([], []))
+            ids.append(ask)
+            vectors.append(vector)
+        held = {group: Asks(ids, vectors, k) for group, (ids, vectors) in listed.items()}
+        for batch in batches:
+            group_of = batch.column(0).dictionary_encode()
+            keys = np.array(batch.column(1).to_pylist(), object)
+            vector = batch.column(2)
+            sizes = pc.fill_null(pc.list_value_length(vector), -1).to_numpy(zero_copy_only=False)
+            codes = group_of.indices.to_numpy(zero_copy_only=False)
+            for code, group in enumerate(group_of.dictionary.to_pylist()):
+                if group not in held:
+                    continue
+                asked, rows = held[group], np.flatnonzero(codes == code)
+                size = asked.matrix.shape[1]
+                known = sizes[rows] == size
+                matrix = np.zeros((len(rows), size))
+                if known.any() and size:
+                    flat = pc.list_flatten(vector.take(pa.array(rows[known]))).cast(pa.float64())
+                    holes = pc.is_null(flat).to_numpy(zero_copy_only=False).reshape(-1, size).any(axis=1)
+                    matrix[known] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).reshape(-1, size)
+                    known[np.flatnonzero(known)[holes]] = False
+                asked.meet(keys[rows], matrix, known)
+        for asked in held.values():
+            best = asked.best
+            score = [None if o == -np.inf else float("nan") if o == np.inf else o for o in best["order"]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([asked.ids[i] for i in best["ask"]], ask_type), pa.array(best["key"].tolist(), key_type), pa.array(score, pa.float64())],
+                ["ask", "key", "similarity"],
+            )
+
+    return work
+
+
 def search_matches(
     matcher: SpecMatcher, asking: DataFrame, query: str, key: str, vector: str = "vector", query_vector: str = "query_vector", k: int = TOP_K,
 ) -> DataFrame:
-    """The most similar of all matching rows.  ``asking`` has ``query``, the matcher's key and the query's vector.
+    """The most similar of all matching rows, exactly.  ``asking`` has ``query``, the matcher's key and the query's vector.
 
-    Where specifications and query vectors are few bytes they are broadcast, and no vector is shuffled.
+    Queries of one specification with one vector are asked once.  A row is listed once for each specification that it
+    matches and meets that one's queries as a matrix product in its task, which keeps ``k`` rows of each.  So what is
+    shuffled is at most ``k`` keys and scores for each task and different query.  Queries beyond ``QUERY_BYTES`` take further passes.
+    A missing vector sorts last, ties go by key.
     """
-    pairs = matcher.matches(key, vector, f"{vector}_norm")
-    asking = small_enough(with_norm(asking.select(query, matcher.spec_key, query_vector), query_vector), 4_096)
-    return top_by_similarity(pairs.join(asking, matcher.spec_key), query, vector, query_vector, key, k)
+    group = matcher.spec_key
+    told = asking.select(F.col(query).alias("query"), F.col(group).alias("group"), F.col(query_vector).alias("query_vector"))
+    asks = told.groupBy("group", "query_vector").agg(F.min("query").alias("ask"))
+    pairs = matcher.matches(key, vector).select(F.col(group).alias("group"), F.col(key).alias("key"), vector)
+    ask_type, key_type = told.schema["query"].dataType, pairs.schema["key"].dataType
+    schema = T.StructType([T.StructField("ask", ask_type), T.StructField("key", key_type), T.StructField("similarity", T.DoubleType())])
+    found = None
+    for block in query_blocks(asks.select("group", "ask", "query_vector"), "query_vector"):
+        work = best_of_task(block.toArrow(), k, to_arrow_type(ask_type), to_arrow_type(key_type))
+        part = pairs.mapInArrow(work, schema)
+        found = part if found is None else found.unionAll(part)
+    top = first_k_per_group(found, ["ask"], [F.desc_nulls_last("similarity"), F.col("key")], k, F.col("key"), salts=8)
+    same = told["group"].eqNullSafe(asks["group"]) & told["query_vector"].eqNullSafe(asks["query_vector"])
+    fanned = told.join(asks, same).select("query", "ask").join(top, "ask")
+    return fanned.select(F.col("query").alias(query), F.col("key").alias(key), "similarity", "rank")
 
 
 def filtered_search(
@@ -108,7 +227,7 @@ def filtered_search(
         return Field(name, F.col(name), wanted, many=many, several=many)
 
     specs = queries.select(query, query_vector, *[F.col(c).alias(f"_on_{c}") for c in on])
-    matcher = SpecMatcher(with_norm(items.select(key, vector, *on), vector), specs, [field(c) for c in on], query)
+    matcher = SpecMatcher(items.select(key, vector, *on), specs, [field(c) for c in on], query)
     asking = specs.select(query, query_vector).withColumn("_query", F.col(query))
     found = search_matches(matcher, asking, "_query", key, vector, query_vector, k).withColumnRenamed("_query", query)
     if not shown:
