@@ -8,12 +8,13 @@ Links.  Texts with the same words are one node.  Nodes that agree in all registe
 bucket nodes are compared with a leader, by the exact similarity, and classes are formed; buckets that hold several
 classes go on with another leader, which is compared with nodes of other classes.  Small buckets are finished in full.
 
-Large buckets that still hold several classes are finished by a prefix join over the shingles of their nodes.  Shingles
-are ordered from rare to frequent, weights add up to 1 in a text.  If u of one text's weight and v of the other's is not
-shared, the similarity is at most (1 - u)(1 - v) / (1 - uv).  So with u and v the weights before the first common shingle,
-a pair that reaches the threshold t has that shingle where u and v are at most 1 - t, and one of them at most
-(1 - t) / (1 + t).  All pairs of different classes that meet there are candidates; the likeliest of two classes are
-compared first, and what they join is not compared again.  No pair is left out.
+Large buckets that still hold several classes are finished by what their nodes have more or less than a hub, the text of the
+bucket that is in most large buckets.  A node's difference is the set of shingles that it has beside the hub's, and of
+those of the hub that it lacks.  What two differences do not share is a shingle that one of the two texts has and the other lacks.
+If u of one text's weight and v of the other's is not shared, the similarity is at most (1 - u)(1 - v) / (1 - uv).  So a join
+over the rare parts of the differences, which counts what must be missing before and after the first common part, finds
+all pairs that can reach the threshold: texts that are changed in different places drop out, however many copies a hub has.
+The likeliest pair of two classes is compared first, and what it joins is not compared again.  No pair is left out.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from guestlens.llm.common import byte_slices, stored, to_python
+from guestlens.llm.common import byte_slices, discard, stored, to_python
 from guestlens.llm.shingles import mixed, probability_jaccard, shingle_hashes, weighted, word_hashes, words_of
+from guestlens.plans.search import small_enough
 
 THRESHOLD = 0.8
 #: 24 bands of 4 registers: a pair at the threshold shares no bucket with probability 0.59 ** 24 = 3e-6.
@@ -35,12 +37,17 @@ REGISTERS = BANDS * ROWS
 #: Leaders of a bucket, and the nodes up to which a bucket is compared in full at last.
 ROUNDS = 4
 SMALL_BUCKET = 24
-#: Candidates of the prefix join that two classes compare in a round; the last round takes all that are left.
+#: Candidates of the join of differences that two classes compare in a round; the last round takes all that are left.
 CANDIDATES = (1, 16, None)
 #: For sums of weights in floating point.
 ROUNDING = 1e-9
 SLICE_BYTES = 1 << 20
 SHINGLE_ROWS = 1 << 16
+#: Parts of a difference: a shingle beside the hub's, one of the hub's that is lacking, and the end.
+MORE, LESS, END = 0, 1, 2
+#: Hubs whose shingles a task remembers, and the bytes up to which their texts are broadcast.
+HUBS_HELD = 256
+BROADCAST_BYTES = 8 << 20
 
 
 def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -112,15 +119,34 @@ def compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
-def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to a row for each distinct shingle: (node, shingle, share), the shares of a node adding up to 1."""
+def difference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, node, hub_text, text) to a row for each part of the difference: (hub, node, total, kind, shingle, share).
+
+    ``total`` is the node's number of shingles, ``share`` the part of it that a shingle beside the hub's has.  Kinds are
+    ``MORE``, ``LESS`` and ``END``: each node has one row at last that all have.
+    """
+    hubs: dict[bytes, np.ndarray] = {}
     for piece in byte_slices(batches, "text", SLICE_BYTES):
-        for node, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+        for hub, node, hub_text, text in zip(*(piece.column(i).to_pylist() for i in range(4))):
+            if hub not in hubs:
+                if len(hubs) == HUBS_HELD:
+                    hubs.clear()
+                hubs[hub] = weighted(word_hashes(words_of(hub_text)))[0]
+            held = hubs[hub]
             shingle, count = weighted(word_hashes(words_of(text)))
-            for start in range(0, shingle.size, SHINGLE_ROWS):
+            more = ~np.isin(shingle, held, assume_unique=True)
+            less = held[~np.isin(held, shingle, assume_unique=True)]
+            parts = np.concatenate([shingle[more], less, np.zeros(1, np.uint64)]).view(np.int64)
+            share = np.concatenate([count[more] / count.sum(), np.zeros(less.size + 1)])
+            kind = np.repeat(np.array([MORE, LESS, END], np.int32), [int(more.sum()), less.size, 1])
+            for start in range(0, parts.size, SHINGLE_ROWS):
                 some = slice(start, start + SHINGLE_ROWS)
-                columns = [pa.array([node] * shingle[some].size, pa.binary()), pa.array(shingle[some].view(np.int64)), pa.array(count[some] / count.sum())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "shingle", "share"])
+                rows = parts[some].size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hub] * rows, pa.binary()), pa.array([node] * rows, pa.binary()), pa.array([int(count.sum())] * rows, pa.int64()),
+                     pa.array(kind[some]), pa.array(parts[some]), pa.array(share[some])],
+                    ["hub", "node", "total", "kind", "shingle", "share"],
+                )
 
 
 def same_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +177,8 @@ def components(links: DataFrame) -> DataFrame:
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        finished_turn, edges = edges, stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        discard(finished_turn)
         now = edges.agg(F.count("*"), F.sum(F.crc32("u").cast("decimal(30,0)") * F.crc32("v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
@@ -164,29 +191,49 @@ def with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataF
     return found.withColumn(name, F.coalesce("found", node)).drop("found")
 
 
-def prefix_pairs(open_nodes: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, bound): the pairs of different classes whose similarity can reach the threshold, with an upper bound of it."""
-    shingles = stored(to_python(texts.join(open_nodes, "node", "left_semi").select("node", "text"), shingle_rows, "node binary, shingle long, share double"), "shingles")
-    frequent = shingles.groupBy("shingle").agg(F.count("*").alias("n"))
-    earlier = W.partitionBy("node").orderBy("n", "shingle").rowsBetween(W.unboundedPreceding, -1)
-    placed = shingles.join(frequent, "shingle").withColumn("before", F.coalesce(F.sum("share").over(earlier), F.lit(0.0)))
-    early = placed.where((F.col("before") <= 1 - threshold + ROUNDING) & (F.col("n") > 1))
-    early = early.withColumn("short", F.col("before") <= (1 - threshold) / (1 + threshold) + ROUNDING).select("shingle", "node", "before", "short")
-    rows = stored(with_class(early, classes, "node", "class"), "prefixes")
+def difference_pairs(groups: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, bound): pairs of different classes under one hub whose similarity can reach the threshold, with an upper bound of it."""
+    hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).join(groups.select("hub").distinct(), "hub", "left_semi")
+    told = hub_texts.agg(F.coalesce(F.sum(F.octet_length("hub_text") + 64), F.lit(0))).first()[0]
+    hub_texts = F.broadcast(hub_texts) if told <= BROADCAST_BYTES else hub_texts
+    both = groups.join(texts, "node").join(hub_texts, "hub").select("hub", "node", "hub_text", "text")
+    parts = stored(to_python(both, difference_rows, "hub binary, node binary, total long, kind int, shingle long, share double"), "differences")
+    part = ["hub", "kind", "shingle"]
+    end = F.col("kind") == END
+    frequent = parts.where(~end).groupBy(*part).agg(F.count("*").alias("n"))
+    largest_text = parts.where(end).groupBy("hub").agg(F.max("total").alias("most"))
+    # From rare to frequent parts; the end is the last one, which all nodes of a hub share.
+    whole = W.partitionBy("hub", "node")
+    order = whole.orderBy(F.asc_nulls_last("n"), "kind", "shingle")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.join(frequent, part, "left").withColumns({
+        "more": F.coalesce(F.sum("share").over(earlier), F.lit(0.0)),
+        "less": F.coalesce(F.sum((F.col("kind") == LESS).cast("int")).over(earlier), F.lit(0)),
+        "left": F.count("*").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)),
+    })
+    most_missing = 2 * (1 - threshold) / (1 + threshold) + ROUNDING
+    early = placed.join(small_enough(largest_text, 64), "hub")
+    early = early.where((F.col("more") + F.col("less") / F.col("most") <= most_missing) & (end | (F.col("n") > 1)))
+    rows = stored(with_class(early.select(*part, "node", "total", "more", "less", "left"), classes, "node", "class"), "difference-parts")
     largest = (
-        rows.groupBy("shingle", "class").agg(F.count("*").alias("n"), F.max("short").alias("short"))
-        .groupBy("shingle").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"), F.max("short").alias("short"))
-        .where("classes > 1 AND short").select("shingle", F.col("top.class").alias("largest"))
+        rows.groupBy(*part, "class").agg(F.count("*").alias("n"))
+        .groupBy(*part).agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("classes"))
+        .where("classes > 1").select(*part, F.col("top.class").alias("largest"))
     )
-    # Of two nodes of different classes, one at least is outside the largest class of the shingle.
-    shared = stored(rows.join(largest, "shingle"), "shared-prefixes")
-    left = shared.where(F.col("class") != F.col("largest")).drop("largest")
-    right = shared.select("shingle", F.col("node").alias("other"), F.col("before").alias("v"), F.col("short").alias("near"), F.col("class").alias("theirs"))
-    u, v = F.col("before"), F.col("v")
+    # Of two nodes of different classes, one at least is outside the largest class of the part.
+    shared = rows.join(largest, part)
+    one = shared.where(F.col("class") != F.col("largest")).drop("largest")
+    other = shared.select(*part, *(F.col(c).alias(f"{c}_b") for c in ("node", "total", "more", "less", "left", "class")))
+    u = F.col("more") + F.col("less_b") / F.col("total")
+    v = F.col("more_b") + F.col("less") / F.col("total_b")
+    after = F.abs(F.col("left") - F.col("left_b")) / F.greatest("total", "total_b")
     bound = (1 - u) * (1 - v) / (1 - u * v)
-    possible = (F.col("class") != F.col("theirs")) & ((1 - u) * (1 - v) >= (threshold - ROUNDING) * (1 - u * v))
-    met = left.where("short").join(right, "shingle").where(possible).union(left.where("NOT short").join(right.where("near"), "shingle").where(possible))
-    return stored(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), bound.alias("bound")).groupBy("a", "b").agg(F.max("bound").alias("bound")), "candidates")
+    possible = (F.col("class") != F.col("class_b")) & (u + v + after <= most_missing) & ((1 - u) * (1 - v) >= (threshold - ROUNDING) * (1 - u * v))
+    met = one.join(other, part).where(possible)
+    found = met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), bound.alias("bound"))
+    found = stored(found.groupBy("a", "b").agg(F.max("bound").alias("bound")), "candidates")
+    discard(parts, rows)
+    return found
 
 
 def finished(members: DataFrame, texts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
@@ -196,12 +243,13 @@ def finished(members: DataFrame, texts: DataFrame, known: DataFrame, threshold:
 
     classes = classes_of(known)
     placed = with_class(members, classes, "node", "class")
-    several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n"))
-    several = several.where((F.col("one") != F.col("other")) & (F.col("n") > SMALL_BUCKET))
-    open_nodes = stored(members.join(several, "bucket", "left_semi").select("node").distinct(), "open-nodes")
-    if open_nodes.isEmpty():
+    hub = F.min_by("node", F.struct("weight", "node")).alias("hub")
+    several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n"), hub)
+    several = several.where((F.col("one") != F.col("other")) & (F.col("n") > SMALL_BUCKET)).select("bucket", "hub")
+    groups = stored(members.join(several, "bucket").select("hub", "node").distinct(), "hubs")
+    if groups.isEmpty():
         return known
-    pairs = prefix_pairs(open_nodes, texts, classes, threshold)
+    pairs = difference_pairs(groups, texts, classes, threshold)
     for most in CANDIDATES:
         rest = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         rest = with_class(with_class(rest, classes, "a", "class_a"), classes, "b", "class_b").where("class_a <> class_b")
