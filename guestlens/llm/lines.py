@@ -8,13 +8,14 @@ in another template can be variable in theirs.  So a leaf holds any number of te
 
 A template recurs if it stands in ``DOCUMENTS`` unrelated documents.  Copies of a document repeat all of its lines, which
 is no reason to drop them (another operator removes copies).  So each line's document is told by the ``SKETCH`` least hashes
-of the word pairs in its other lines, and of these by the one that most documents have: near copies of one document share
-it however many they are, unless all of their hashes differ.  How many copies come besides never matters.
+of the word pairs in its other lines: of these by the one that most texts have, or a more common one that stands beside it in
+another text.  Near copies of one document share it however many they are, unless all of their hashes differ.  How many
+copies come besides never matters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from guestlens.llm.common import stored
 from guestlens.plans.search import small_enough
@@ -69,7 +70,11 @@ def documents_of(lines: DataFrame) -> DataFrame:
     once = F.filter("sketch", lambda s, i: (i == 0) | (s["key"] != F.get("sketch", i - 1)["key"]))
     keys = texts.select("t1", "t2", F.explode(once).alias("s")).select("t1", "t2", "s.key", "s.line")
     common = keys.groupBy("key").agg(F.count("*").alias("n"))
-    return keys.join(common, "key").groupBy("t1", "t2").agg(F.collect_list(F.struct("n", "key", "line")).alias("told"))
+    counted = keys.join(common, "key").withColumn("best", F.max(F.struct("n", "key")).over(W.partitionBy("t1", "t2")))
+    # A hash goes with the most common one that stands beside it in any text.
+    leading = counted.where("n > 1").groupBy("key").agg(F.max("best")["key"].alias("lead"))
+    led = counted.join(leading, "key", "left").withColumn("lead", F.coalesce("lead", "best.key"))
+    return led.groupBy("t1", "t2").agg(F.collect_list(F.struct("n", "key", "line", "lead")).alias("told"))
 
 
 def split_leaf(forms: DataFrame, seen: DataFrame) -> DataFrame:
@@ -101,7 +106,10 @@ def recurring_lines(docs: DataFrame, text: str) -> DataFrame:
     often = small_enough(stored(often, "line-leaves"), 16)
     candidates = lines.drop("sketch").join(often, "leaf", "left_semi").withColumn("hash", F.xxhash64("line"))
     others = F.filter("told", lambda k: k["line"] != F.col("place"))
-    document = F.coalesce(F.array_max(F.transform(others, lambda k: F.named_struct(F.lit("n"), k["n"], F.lit("key"), k["key"])))["key"], F.lit(""))
+    # The line itself must not tell the document, not even through what stands beside it elsewhere.
+    inside = F.transform(F.filter("told", lambda k: k["line"] == F.col("place")), lambda k: k["key"])
+    best = F.array_max(F.transform(others, lambda k: F.named_struct(F.lit("n"), k["n"], F.lit("key"), k["key"], F.lit("lead"), k["lead"])))
+    document = F.coalesce(F.when(F.array_contains(inside, best["lead"]), best["key"]).otherwise(best["lead"]), F.lit(""))
     told = candidates.join(documents_of(lines), ["t1", "t2"], "left").withColumn("document", F.xxhash64(document)).drop("told")
     candidates = stored(told, "line-candidates")
 
@@ -172,10 +180,15 @@ numbered AS (SELECT t, unnest(string_split(t, chr(10))) AS raw, unnest(lines) AS
 words AS (SELECT t, i, unnest(regexp_extract_all(line, '{WORD_PAIR}')) AS pair FROM numbered),
 pairs AS (SELECT t, md5(pair) AS key, min(i) AS i, count(*) AS times FROM words GROUP BY t, key),
 spread AS (SELECT t, key, i, sum(times) OVER (PARTITION BY t ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pairs),
-sketch AS (SELECT t, key, i, count(*) OVER (PARTITION BY key) AS texts FROM spread WHERE coalesce(before, 0) < {SKETCH}),
+counted AS (SELECT t, key, i, count(*) OVER (PARTITION BY key) AS texts FROM spread WHERE coalesce(before, 0) < {SKETCH}),
+best AS (SELECT t, max({{'n': texts, 'key': key}}) AS b FROM counted GROUP BY t),
+leaders AS (SELECT key, (max(b)).key AS lead FROM counted JOIN best USING (t) GROUP BY key),
+sketch AS (SELECT * FROM counted JOIN leaders USING (key)),
 lines AS (SELECT t, i, line, len({words}) AS n, {words}[1:{DEPTH}] AS lead FROM numbered WHERE len({words}) >= {LEAST_TOKENS}),
-told AS (SELECT l.t, l.i, l.line, l.n, l.lead, coalesce(arg_max(s.key, {{'n': s.texts, 'key': s.key}}), '') AS document
-  FROM lines l LEFT JOIN sketch s ON s.t = l.t AND s.i <> l.i GROUP BY ALL),
+told AS (SELECT l.t, l.i, l.line, l.n, l.lead, coalesce(arg_max(coalesce(own.key, s.lead), {{'n': s.texts, 'key': s.key}}), '') AS document
+  FROM lines l LEFT JOIN sketch s ON s.t = l.t AND s.i <> l.i
+  LEFT JOIN (SELECT o.t, o.i, o.key AS lead, x.key FROM sketch o JOIN sketch x ON x.t = o.t AND x.lead = o.key AND x.i <> o.i) own
+  ON own.t = l.t AND own.i = l.i AND own.lead = s.lead AND own.key = s.key GROUP BY ALL),
 seen AS (SELECT DISTINCT n, lead, line, document FROM told),
 forms AS (SELECT DISTINCT n, lead, line FROM seen),{turns}
 kept AS (SELECT b.t, count(*) AS n_lines, count(g.line) AS n_dropped,
