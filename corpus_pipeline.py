@@ -42,9 +42,19 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least key; documents without a key stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near duplicates one document with the least key; documents without a key stay.
+
+    Rows are told apart by key and text, so that a key that is repeated with another text loses no row; of rows that
+    repeat both one stays.
+    """
+    found = stored(near_duplicates(docs, mark="_mark").withColumn("_mark", F.coalesce("_mark", F.lit(""))), "classes")
+    marked = docs.withColumn("_mark", F.coalesce(F.md5("text"), F.lit("")))
+    left = marked.join(found.where(~F.col("kept")).select("doc_id", "_mark"), ["doc_id", "_mark"], "left_anti")
+    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "_mark").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        again = left.join(repeated, ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"])
+        left = left.join(repeated, ["doc_id", "_mark"], "left_anti").unionByName(again)
+    return left.select(docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

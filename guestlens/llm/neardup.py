@@ -87,7 +87,7 @@ def node_of(text: str, words: list[str]) -> bytes:
 
 
 def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) to (key, node, bands); the bands of a node come once in a slice, for later copies they are null."""
+    """(key, text, mark) to (key, node, bands, mark); the bands of a node come once in a slice, for later copies they are null."""
     for piece in byte_slices(batches, "text", SLICE_BYTES):
         nodes: list[bytes | None] = []
         hashes, seen = {}, set()
@@ -104,7 +104,8 @@ def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = signatures(owner, np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), len(sets))
             for i, keys in zip(hashes, band_keys(found).view(np.int64)):
                 bands[i] = keys
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["key", "node", "bands"])
+        columns = [piece.column(0), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), piece.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "node", "bands", "mark"])
 
 
 def compared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +302,9 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     return known.where(F.col("similarity") >= threshold).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, mark: str | None = None,
+) -> DataFrame:
     """Every row's key, ``class_id`` and ``kept``: whether it is the row of its class that stays.
 
     Texts are compared by their lower-case words, in shingles of five (one of all words in a shorter text), weighted by
@@ -309,11 +312,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     texts connect.  ``class_id`` is the least key of the class, and the row that has it stays.  Equal texts always share
     a class, even without words.  Rows with a null text are alone in their class; rows with a null key take no part, get
     a null class and stay.  Rows that repeat a key are rows of that key: they get the same class if their texts do, and
-    each row with the least key of its class stays.  An empty table gives an empty result; other columns are not read.
+    each row with the least key of its class stays.  ``mark`` names a further column, of the MD5 of the text, which tells rows of
+    one key with different texts apart (null: no text).  An empty table gives an empty result; other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    nodes = stored(to_python(rows.where("key IS NOT NULL"), node_rows, f"key {kind}, node binary, bands array<long>"), "nodes")
+    marked = F.md5(text) if mark else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), marked.alias("mark"))
+    nodes = stored(to_python(rows.where("key IS NOT NULL"), node_rows, f"key {kind}, node binary, bands array<long>, mark string"), "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node").distinct()
     full = stored(members, "members")
     shared = full.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -321,10 +326,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     first = nodes.join(busy.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     texts = stored(to_python(first.join(rows, "key").select("node", "text"), same_node, "node binary, text string").dropDuplicates(["node"]), "texts")
     classes = components(node_links(busy, texts, threshold))
-    placed = with_class(nodes.select("key", "node"), classes, "node", "class")
+    placed = with_class(nodes.select("key", "node", "mark"), classes, "node", "class")
     least = placed.where("node IS NOT NULL").groupBy("class").agg(F.min("key").alias("class_id"))
-    alone = placed.where("node IS NULL").select("key", F.col("key").alias("class_id"))
-    found = placed.where("node IS NOT NULL").join(least, "class").select("key", "class_id").union(alone)
-    null_keys = rows.where("key IS NULL").select("key", F.lit(None).cast(kind).alias("class_id"))
+    alone = placed.where("node IS NULL").select("key", F.col("key").alias("class_id"), "mark")
+    found = placed.where("node IS NOT NULL").join(least, "class").select("key", "class_id", "mark").union(alone)
+    null_keys = rows.where("key IS NULL").select("key", F.lit(None).cast(kind).alias("class_id"), "mark")
     kept = F.coalesce(F.col("key") == F.col("class_id"), F.lit(True)).alias("kept")
-    return found.union(null_keys).select(F.col("key").alias(key), "class_id", kept)
+    return found.union(null_keys).select(F.col("key").alias(key), "class_id", kept, *([F.col("mark").alias(mark)] if mark else []))

@@ -54,3 +54,11 @@ def test_stages_keep_the_columns_and_bear_odd_rows(spark):
             if name == "neardup" and not empty:
                 assert {r[0] for r in got} == {1, 2, 3, None}
         assert P.STAGES[-1][1](spark, start, SF).count() == (0 if empty else 5)
+
+
+def test_repeated_keys_lose_no_text(spark):
+    text, other = "alpha beta gamma delta epsilon " * 9, "one two three four five six seven " * 9
+    rows = [(0, text), (5, text), (5, other), (6, None), (6, None), (7, other), (7, other), (None, text)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = Counter((r.doc_id, r.text) for r in P.one_of_each_group(spark, docs, SF).collect())
+    assert got == Counter([(0, text), (5, other), (6, None), (None, text)])
