@@ -14,7 +14,9 @@ from guestlens.functions.vectors import with_norm
 from guestlens.operators.insights import coverage, share_text, valid_branches
 from guestlens.operators.matching import SpecMatcher, question_fields
 from guestlens.plans.quant import keyed_specs
-from guestlens.plans.search import CANDIDATE_POOL, TOP_K, search_matches, small_enough, top_by_similarity, with_embeddings
+from guestlens.plans.search import (
+    CANDIDATE_POOL, TOP_K, embed_new, latest_vectors, read_vectors, search_matches, small_enough, top_by_similarity, with_embeddings,
+)
 from guestlens.schema import FILTER_SPEC
 from guestlens.session import use_checkpoints
 
@@ -305,15 +307,26 @@ def chart_selection(guarded: DataFrame, branches: DataFrame, question: str = "qu
     )
 
 
-def answered(reviews: DataFrame, questions: DataFrame) -> DataFrame:
+def answered(
+    reviews: DataFrame, questions: DataFrame, vectors_path: str | None = None, run_id: int = 1,
+    factory: Callable[[], Embed] = word_hash_embedder,
+) -> DataFrame:
     """Everything an answer is written from, one row per question: refusal, or summary, distribution
-    and context."""
+    and context.
+
+    With ``vectors_path`` the reviews' vectors are kept there: reviews that it has no vector of are embedded and
+    appended first, all others are not read by the model again.
+    """
     guarded = settled_questions(reviews, questions)
     asked = searches(guarded)
     matched = matcher(reviews, asked)
     told = asked.select("qid", "spec_key").join(spec_distributions(matched.label_counts()), "spec_key", "left")
     told = with_summary(told, reviews).withColumn("distribution", F.coalesce("distribution", F.lit("N/A")))
-    top = closest(reviews, asked)
+    vectors = None
+    if vectors_path:
+        embed_new(reviews, vectors_path, run_id, factory)
+        vectors = latest_vectors(read_vectors(reviews, vectors_path))
+    top = closest(reviews, asked, factory=factory, vectors=vectors)
     contexts = answer_contexts(context_rows(top, reviews))
     return (
         guarded.select("qid", "intent", "refusal")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from guestlens import fixed_values as fixed
@@ -13,6 +15,7 @@ from guestlens.operators.profile import progress
 from guestlens.plans import answers, enrichment, quant, search
 from guestlens.registry.base import PARK, REVIEWS, SEASONED, as_bigint, as_text, keyword_case, light_reviews, pattern_hit, query, rounded
 from guestlens.schema import ENRICHMENT
+from guestlens.session import use_checkpoints
 from guestlens.sources import tables
 
 UID = "CAST(review_uid AS BIGINT) AS review_uid"
@@ -391,7 +394,9 @@ SELECT CAST(g.qid AS BIGINT) AS qid, g.intent, m.matches, x.context, CASE WHEN m
  CAST((SELECT n FROM whole) AS VARCHAR), ' entries. Using top ', CAST(least(m.matches, 5) AS VARCHAR), '.') END AS summary
 FROM guarded g LEFT JOIN matches m ON m.qid = g.qid LEFT JOIN t ON t.qid = g.qid LEFT JOIN x ON x.qid = g.qid""")
 def answered_questions(spark, sf):
-    return answers.answered(tables.reviews(spark, sf), tables.questions(spark, sf))
+    """Through the store of vectors."""
+    store = f"{use_checkpoints(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    return answers.answered(tables.reviews(spark, sf), tables.questions(spark, sf), store)
 
 
 TASKS_SQL = GUARDED + """

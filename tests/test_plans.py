@@ -224,3 +224,64 @@ def test_candidates_come_in_key_order(spark, reviews):
     asked = answers.searches(guard(parse_specs(ask(spark, ("", '{"reasoning": "r", "topics": []}'))), insights.valid_branches(reviews)))
     got = [r.review_uid for r in answers.candidates(reviews, asked, 10).orderBy("rank").collect()]
     assert got == [r.review_uid for r in reviews.orderBy("review_uid").limit(10).collect()]
+
+
+def test_search_in_blocks_equals_brute_force(spark, monkeypatch):
+    """Ties, equal vectors, zeros, missing and short vectors; questions that share a text; passes over few queries each."""
+    import random
+
+    rng = random.Random(4)
+    made = lambda: rng.choice([None, [0.0] * 3, [1.0, 0.0, 1.0], [float(rng.randint(-2, 2)) for _ in range(3)], [1.0]])
+    rows = [(i, rng.choice("ab"), made()) for i in range(300)]
+    asks = [(i, rng.choice(["a", "b", None]), rng.choice([None, [1.0, 0.0, 1.0], [0.5, -1.0, 2.0], [0.0] * 3])) for i in range(40)]
+    items = spark.createDataFrame(rows, "key long, place string, vector array<float>").repartition(5)
+    queries = spark.createDataFrame(asks, "query long, place string, query_vector array<double>")
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        length = lambda v: sum(x * x for x in v) ** 0.5 or 1e-9
+        return sum(x * y for x, y in zip(a, b)) / (length(a) * length(b))
+
+    want = set()
+    for query, place, vector in asks:
+        scored = [(key, cosine(v, vector)) for key, p, v in rows if place in (None, p)]
+        scored.sort(key=lambda s: (s[1] is None, -(s[1] or 0), s[0]))
+        want |= {(query, key, None if c is None else round(c, 9), rank + 1) for rank, (key, c) in enumerate(scored[:5])}
+    for bytes_ in (search.QUERY_BYTES, 200):
+        monkeypatch.setattr(search, "QUERY_BYTES", bytes_)
+        monkeypatch.setattr(search, "SCORES", 64 if bytes_ == 200 else 1 << 21)
+        got = search.filtered_search(queries, items, ["place"], "query", "key").collect()
+        assert {(r.query, r.key, None if r.similarity is None else round(r.similarity, 9), r["rank"]) for r in got} == want
+        assert len(got) == len(want)
+
+
+def test_answers_from_stored_vectors(spark, tmp_path):
+    """A second run embeds new reviews only and gives the same answers."""
+    from guestlens.functions.models import word_hash_embedder
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting():
+        embed = word_hash_embedder()
+
+        def one(texts):
+            calls.add(len(texts))
+            return embed(texts)
+
+        return one
+
+    schema = ("review_uid long, Branch string, Rating int, Year_Month string, Reviewer_Location string, Review_Text string, sentiment_score int, "
+              "sentiment_label string, topics array<string>, is_complaint boolean, crowd_level string, staff_sentiment string, price_sensitivity string, family_sentiment string")
+    rows = [(i, "Disneyland_Paris", 3, "2019-4", "UK", f"text number {i} of staff", 3, "Neutral", ["Staff"], False, None, None, None, None) for i in range(12)]
+    asked = spark.createDataFrame([(1, "text number 7", '{"reasoning": "r", "branch": "Paris"}')], "qid long, question string, spec_json string")
+    path = str(tmp_path / "vectors")
+    plain = answered(spark.createDataFrame(rows, schema), asked).collect()
+    first = answered(spark.createDataFrame(rows[:10], schema), asked, path, 1, counting)
+    first.collect()
+    assert search.read_vectors(spark.createDataFrame(rows, schema), path).count() == 10
+    before = calls.value
+    second = answered(spark.createDataFrame(rows, schema), asked, path, 2, counting).collect()
+    assert second == plain
+    assert search.read_vectors(spark.createDataFrame(rows, schema), path).groupBy("run_id").count().orderBy("run_id").collect() == [(1, 10), (2, 2)]
+    assert calls.value - before < 10
