@@ -10,6 +10,8 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -74,36 +76,56 @@ def rule_annotator(max_topics: int | None = None) -> Annotate:
     return lambda texts: [one(t) for t in texts]
 
 
-def answers_of(model: Callable[[Sequence[str]], Sequence], texts: Sequence[str], call_size: int) -> list:
-    """One answer or exception per text, from calls of ``call_size`` texts.
+def one_call(model: Callable[[Sequence[str]], Sequence], part: Sequence[str]) -> list:
+    """One answer or exception per text.  If the call fails, its texts are asked one by one, so that a bad text
+    costs no other its answer."""
+    try:
+        answers = list(model(part))
+        if len(answers) != len(part):
+            raise ValueError(f"{len(answers)} answers to {len(part)} texts")
+    except Exception as failed:
+        return [failed] if len(part) == 1 else [a for text in part for a in one_call(model, [text])]
+    return answers
 
-    If a call fails, its texts are asked one by one, so that a bad text costs no other its answer.
+
+def answers_of(model: Callable[[Sequence[str]], Sequence], texts: Sequence[str], call_size: int, pool: ThreadPoolExecutor | None = None) -> list:
+    """One answer or exception per text, in the order of the texts, from calls of ``call_size`` texts.
+
+    A ``pool`` has as many calls under way as it has threads; without one they follow each other.
+    """
+    parts = [texts[start : start + call_size] for start in range(0, len(texts), call_size)]
+    asked = pool.map(lambda part: one_call(model, part), parts) if pool else (one_call(model, part) for part in parts)
+    return [answer for answers in asked for answer in answers]
+
+
+@contextmanager
+def calls_in_flight(most: int) -> Iterator[ThreadPoolExecutor | None]:
+    """Threads for ``most`` calls of a task at a time; none for one call after another."""
+    if most <= 1:
+        yield None
+        return
+    with ThreadPoolExecutor(most) as pool:
+        yield pool
+
+
+def annotate_json(
+    text: Column, factory: Callable[[], Annotate] = rule_annotator, call_size: int = CALL_SIZE, in_flight: int = 1,
+) -> Column:
+    """JSON answer and error per text.  A failed call gives no JSON and the reason; it stops nothing.
+
+    Up to ``in_flight`` calls of a task run at a time; the model must bear calls from several threads then.
     """
-    out: list = []
-    for start in range(0, len(texts), call_size):
-        part = texts[start : start + call_size]
-        try:
-            answers = list(model(part))
-            if len(answers) != len(part):
-                raise ValueError(f"{len(answers)} answers to {len(part)} texts")
-        except Exception as failed:
-            answers = [failed] if len(part) == 1 else answers_of(model, part, 1)
-        out.extend(answers)
-    return out
-
-
-def annotate_json(text: Column, factory: Callable[[], Annotate] = rule_annotator, call_size: int = CALL_SIZE) -> Column:
-    """JSON answer and error per text.  A failed call gives no JSON and the reason; it stops nothing."""
 
     @F.pandas_udf(ANNOTATION)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         annotate = factory()
-        for batch in batches:
-            answers = answers_of(annotate, batch.fillna("").tolist(), call_size)
-            yield pd.DataFrame({
-                "json": [None if isinstance(a, Exception) else a for a in answers],
-                "error": [repr(a) if isinstance(a, Exception) else None for a in answers],
-            })
+        with calls_in_flight(in_flight) as pool:
+            for batch in batches:
+                answers = answers_of(annotate, batch.fillna("").tolist(), call_size, pool)
+                yield pd.DataFrame({
+                    "json": [None if isinstance(a, Exception) else a for a in answers],
+                    "error": [repr(a) if isinstance(a, Exception) else None for a in answers],
+                })
 
     return call(text)
 
@@ -116,7 +138,7 @@ def expand_json(df: DataFrame, json_column: str, schema: T.StructType = ENRICHME
 
 def annotate(
     reviews: DataFrame, factory: Callable[[], Annotate] = rule_annotator, text: str = "Review_Text",
-    schema: T.StructType = ENRICHMENT, partitions: int | None = None, call_size: int = CALL_SIZE,
+    schema: T.StructType = ENRICHMENT, partitions: int | None = None, call_size: int = CALL_SIZE, in_flight: int = 1,
 ) -> DataFrame:
     """Typed enrichment columns from the model, with the raw answer and the error.
 
@@ -125,7 +147,7 @@ def annotate(
     """
     if partitions:
         reviews = reviews.repartition(partitions)
-    called = reviews.drop(*schema.fieldNames()).withColumn("_answer", annotate_json(F.col(text), factory, call_size))
+    called = reviews.drop(*schema.fieldNames()).withColumn("_answer", annotate_json(F.col(text), factory, call_size, in_flight))
     flat = called.withColumns({
         "enriched_json": F.col("_answer.json"), "enrich_error": F.col("_answer.error"),
     }).drop("_answer")
@@ -164,18 +186,21 @@ def word_hash_embedder(size: int = EMBEDDING_SIZE) -> Embed:
 EMBEDDED = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
 
-def embed_text(text: Column, factory: Callable[[], Embed] = word_hash_embedder, call_size: int = CALL_SIZE) -> Column:
+def embed_text(
+    text: Column, factory: Callable[[], Embed] = word_hash_embedder, call_size: int = CALL_SIZE, in_flight: int = 1,
+) -> Column:
     """Vector and error per text; null text counts as empty.  A text that fails has no vector and the reason."""
 
     @F.pandas_udf(EMBEDDED)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         embed = factory()
-        for batch in batches:
-            answers = answers_of(embed, batch.fillna("").tolist(), call_size)
-            failed = [isinstance(a, Exception) for a in answers]
-            yield pd.DataFrame({
-                "vector": pd.Series([None if f else np.asarray(a) for a, f in zip(answers, failed)], dtype=object),
-                "error": [repr(a) if f else None for a, f in zip(answers, failed)],
-            })
+        with calls_in_flight(in_flight) as pool:
+            for batch in batches:
+                answers = answers_of(embed, batch.fillna("").tolist(), call_size, pool)
+                failed = [isinstance(a, Exception) for a in answers]
+                yield pd.DataFrame({
+                    "vector": pd.Series([None if f else np.asarray(a) for a, f in zip(answers, failed)], dtype=object),
+                    "error": [repr(a) if f else None for a, f in zip(answers, failed)],
+                })
 
     return call(text)

@@ -44,10 +44,34 @@ def known_months(branch: str | None, season: str | None, seasons: Seasons = SEAS
     return next((list(months) for of_park, name, months in seasons if (of_park, name) == (park, season.capitalize())), None)
 
 
-def in_season(branch: str | None, season: str | None, seasons: Seasons = SEASON_MONTHS) -> Column | None:
+@dataclass(frozen=True)
+class Compared:
+    """The columns that filters compare: worked out from the raw ones, or stored (see ``sources.enriched``)."""
+
+    branch: Column
+    location: Column
+    month: Column
+
+
+def raw_columns() -> Compared:
+    return Compared(F.lower("Branch"), F.lower("Reviewer_Location"), visit_month(F.col("Year_Month")))
+
+
+def stored_columns() -> Compared:
+    """A filter on these is a partition filter or is pushed to the scan."""
+    return Compared(F.col("branch_key"), F.col("location_key"), F.col("visit_month"))
+
+
+def compared_columns(reviews: DataFrame) -> Compared:
+    return stored_columns() if {"branch_key", "location_key", "visit_month"} <= set(reviews.columns) else raw_columns()
+
+
+def in_season(
+    branch: str | None, season: str | None, seasons: Seasons = SEASON_MONTHS, month: Column | None = None,
+) -> Column | None:
     """Month within the season of the park; no restriction when park or season is unknown."""
     months = known_months(branch, season, seasons)
-    return visit_month(F.col("Year_Month")).isin(months) if months else None
+    return (visit_month(F.col("Year_Month")) if month is None else month).isin(months) if months else None
 
 
 def same_text(column: str, wanted: str) -> Column:
@@ -66,26 +90,30 @@ def has_topic(topics: Sequence[str]) -> Column:
     return F.coalesce(F.arrays_overlap(row, wanted), F.lit(False))
 
 
-def predicates(spec: FilterSpec) -> list[Column]:
+def predicates(spec: FilterSpec, columns: Compared | None = None) -> list[Column]:
     """The conditions of a specification; empty texts, lists and month 0 restrict nothing."""
-    found: list[Column | None] = [in_season(spec.branch, spec.season)]
+    columns = columns or raw_columns()
+    found: list[Column | None] = [in_season(spec.branch, spec.season, month=columns.month)]
     for name in ("sentiment_label", "crowd_level", "staff_sentiment", "price_sensitivity", "family_sentiment"):
         wanted = getattr(spec, name)
         found.append(F.col(name) == wanted if wanted else None)
     found.append(F.col("is_complaint") == spec.is_complaint if spec.is_complaint is not None else None)
-    found.append(same_text("Reviewer_Location", spec.reviewer_location) if spec.reviewer_location else None)
-    found.append(same_text("Branch", spec.branch) if spec.branch else None)
+    found.append(columns.location == spec.reviewer_location.lower() if spec.reviewer_location else None)
+    found.append(columns.branch == spec.branch.lower() if spec.branch else None)
     found.append(F.col("Year_Month") == spec.year_month if spec.year_month else None)
-    found.append(in_month(spec.month) if spec.month else None)
+    found.append(columns.month == spec.month if spec.month else None)
     found.append(has_topic(spec.topics) if spec.topics else None)
     return [p for p in found if p is not None]
 
 
 def apply_filters(reviews: DataFrame, spec: FilterSpec) -> DataFrame:
-    """Rows that meet all conditions.  A specification that sets nothing retrieves nothing."""
+    """Rows that meet all conditions.  A specification that sets nothing retrieves nothing.
+
+    On the table of ``sources.enriched`` the stored columns are compared, else the raw ones.
+    """
     if spec.is_empty():
         return reviews.filter(F.lit(False))
-    found = predicates(spec)
+    found = predicates(spec, compared_columns(reviews))
     return reviews.filter(reduce(and_, found)) if found else reviews
 
 

@@ -28,16 +28,14 @@ def last_per_key(df: DataFrame, key: str, order: Column, columns: Sequence[str])
 
 
 def fill_from_checkpoint(
-    base: DataFrame, checkpoint: DataFrame, key: str = "review_uid",
-    columns: Sequence[str] = ENRICHED, order: Column | None = None,
+    base: DataFrame, checkpoint: DataFrame, order: Column, key: str = "review_uid", columns: Sequence[str] = ENRICHED,
 ) -> DataFrame:
     """Fill nulls of ``base`` from scored checkpoint rows; a value of ``base`` stays.
 
-    ``order`` tells which of several checkpoint rows of a key is the last one; without it the choice
-    is arbitrary but the same in every run.
+    ``order`` tells which of several checkpoint rows of a key is the last one.
     """
     scored = checkpoint.filter(F.col("sentiment_score").isNotNull())
-    last = last_per_key(scored, key, F.xxhash64(*columns) if order is None else order, columns)
+    last = last_per_key(scored, key, order, columns)
     saved = last.select(key, *[F.col(c).alias(f"_saved_{c}") for c in columns])
     joined = base.join(saved, key, "left")
     filled = {c: F.coalesce(F.col(c), F.col(f"_saved_{c}")) for c in columns}
@@ -45,11 +43,10 @@ def fill_from_checkpoint(
 
 
 def overwrite_from_results(
-    base: DataFrame, results: DataFrame, key: str = "review_uid",
-    columns: Sequence[str] = ENRICHED, order: Column | None = None,
+    base: DataFrame, results: DataFrame, order: Column, key: str = "review_uid", columns: Sequence[str] = ENRICHED,
 ) -> DataFrame:
-    """Take all enrichment columns from ``results`` for its keys, nulls too."""
-    last = last_per_key(results, key, F.xxhash64(*columns) if order is None else order, columns)
+    """Take all enrichment columns from ``results`` for its keys, nulls too; of several rows the last in ``order``."""
+    last = last_per_key(results, key, order, columns)
     new = last.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = base.join(new, key, "left")
     taken = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from guestlens.functions.calendar import months_of_season, visit_month
+from guestlens.operators.filters import Compared, raw_columns
 from guestlens.operators.insights import weighted_mean
 from guestlens.operators.ranking import first_k_per_group
 
@@ -66,13 +67,14 @@ def _accepted_months() -> Column:
     return F.coalesce(both, of_season, one)
 
 
-def question_fields() -> tuple[Field, ...]:
-    """The fields of questions over reviews; a season counts only for a known park."""
+def question_fields(columns: Compared | None = None) -> tuple[Field, ...]:
+    """The fields of questions over reviews, raw or stored ones; a season counts only for a known park."""
+    columns = columns or raw_columns()
     return (
-        Field("branch", F.lower("Branch"), _any_case("branch")),
-        Field("location", F.lower("Reviewer_Location"), _any_case("reviewer_location")),
+        Field("branch", columns.branch, _any_case("branch")),
+        Field("location", columns.location, _any_case("reviewer_location")),
         Field("year_month", F.col("Year_Month"), _text("year_month")),
-        Field("month", visit_month(F.col("Year_Month")), _accepted_months(), several=True),
+        Field("month", columns.month, _accepted_months(), several=True),
         Field("sentiment", F.col("sentiment_label"), _text("sentiment_label")),
         Field("complaint", F.col("is_complaint"), F.col("is_complaint")),
         Field("crowd", F.col("crowd_level"), _text("crowd_level")),

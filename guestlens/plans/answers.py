@@ -11,6 +11,7 @@ from guestlens.functions.models import Embed, word_hash_embedder
 from guestlens.functions.text import one_decimal, spaced
 from guestlens.functions.themes import contains_any
 from guestlens.functions.vectors import with_norm
+from guestlens.operators.filters import compared_columns
 from guestlens.operators.insights import coverage, share_text, valid_branches
 from guestlens.operators.matching import SpecMatcher, question_fields
 from guestlens.plans.quant import keyed_specs
@@ -154,7 +155,7 @@ def searches(guarded: DataFrame) -> DataFrame:
 
 
 def matcher(reviews: DataFrame, asked: DataFrame) -> SpecMatcher:
-    return SpecMatcher(reviews, asked.select("spec_key", *MATCH_FIELDS).distinct(), question_fields())
+    return SpecMatcher(reviews, asked.select("spec_key", *MATCH_FIELDS).distinct(), question_fields(compared_columns(reviews)))
 
 
 def spec_distributions(label_counts: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from guestlens.operators.insights import with_season
 from guestlens.operators.joins import fill_from_checkpoint, last_per_key, not_yet_done, overwrite_from_results, with_keys
 from guestlens.operators.ranking import even_batches, hashed_batches
 from guestlens.schema import ENRICHMENT, ensure_columns, layout
+from guestlens.sources.enriched import read_laid_out, write_enriched
 from guestlens.sources.files import append, read_if_present, write_stage
 
 FIELDS = tuple(ENRICHMENT.fieldNames())
@@ -46,10 +47,34 @@ def latest_results(store: DataFrame, key: str = "review_uid") -> DataFrame:
     return last_per_key(scored, key, F.struct("run_id", "enriched_json"), [*FIELDS, "run_id"])
 
 
-def remaining(base: DataFrame, store: DataFrame, key: str = "review_uid") -> DataFrame:
-    """Rows without a score in the base and in the store."""
+def failures(store: DataFrame, key: str = "review_uid") -> DataFrame:
+    """Keys without a score in any run: number of runs that tried, the last of them and its error."""
+    scored = F.max(F.col("sentiment_score").isNotNull())
+    last = F.max_by(F.struct("run_id", "enrich_error"), F.struct("run_id", F.col("enrich_error").isNotNull(), "enrich_error"))
+    tried = store.groupBy(key).agg(scored.alias("_scored"), F.count_distinct("run_id").alias("attempts"), last.alias("_last"))
+    return tried.filter(~F.col("_scored")).select(key, "attempts", F.col("_last.run_id").alias("last_run"), F.col("_last.enrich_error").alias("enrich_error"))
+
+
+def dead_letters(store: DataFrame, most_attempts: int, key: str = "review_uid") -> DataFrame:
+    """Rows that failed in ``most_attempts`` runs and are not tried any more."""
+    return failures(store, key).filter(F.col("attempts") >= most_attempts)
+
+
+def remaining(
+    base: DataFrame, store: DataFrame, key: str = "review_uid", run_id: int | None = None, most_attempts: int | None = None,
+) -> DataFrame:
+    """Rows without a score in the base and in the store.
+
+    With ``most_attempts`` rows that failed so often are left out, and one that failed n times waits for 2 ** (n - 1)
+    runs after the last one that tried it (``run_id`` counts the runs).
+    """
     unscored = ensure_columns(base, ENRICHMENT).filter(F.col("sentiment_score").isNull())
-    return not_yet_done(unscored, store.filter(F.col("sentiment_score").isNotNull()), key)
+    todo = not_yet_done(unscored, store.filter(F.col("sentiment_score").isNotNull()), key)
+    if most_attempts is None:
+        return todo
+    waiting = F.lit(run_id) < F.col("last_run") + F.pow(F.lit(2.0), F.col("attempts") - 1)
+    held = failures(store, key).filter((F.col("attempts") >= most_attempts) | waiting)
+    return not_yet_done(todo, held, key)
 
 
 def first_batches(todo: DataFrame, key: str, batch_size: int, limit: int | None, exact: bool = True) -> DataFrame:
@@ -71,18 +96,22 @@ def first_batches(todo: DataFrame, key: str, batch_size: int, limit: int | None,
 def run_enrichment(
     base: DataFrame, store_path: str, run_id: int, factory: Callable[[], Annotate] = rule_annotator,
     key: str = "review_uid", batch_size: int = BATCH_SIZE, limit_batches: int | None = None,
-    partitions: int | None = None, exact_batches: bool = True,
+    partitions: int | None = None, exact_batches: bool = True, in_flight: int = 1, most_attempts: int | None = None,
 ) -> None:
-    """Label what is left of ``base`` and append it to the store."""
-    todo = remaining(base, read_store(base, store_path, key), key)
+    """Label what is left of ``base`` and append it to the store.
+
+    Each task has up to ``in_flight`` calls under way.  ``most_attempts`` as in :func:`remaining`.
+    """
+    todo = remaining(base, read_store(base, store_path, key), key, run_id, most_attempts)
     todo = first_batches(todo, key, batch_size, limit_batches, exact_batches)
-    labelled = annotate(todo.select(key, "Review_Text"), factory, partitions=partitions, call_size=batch_size)
+    labelled = annotate(
+        todo.select(key, "Review_Text"), factory, partitions=partitions, call_size=batch_size, in_flight=in_flight)
     columns = store_schema(base.schema[key].dataType, key).fieldNames()
     append(labelled.withColumn("run_id", F.lit(run_id).cast("bigint")).select(*columns), store_path)
 
 
 def merged(base: DataFrame, results: DataFrame, policy: str = "model", key: str = "review_uid") -> DataFrame:
-    """The base with results.
+    """The base with results, of which a key's last run counts.
 
     ``model``: the model's value, or the present one where the model has none.
     ``resume``: present values stay, results fill nulls; as when a run is taken up again.
@@ -90,9 +119,9 @@ def merged(base: DataFrame, results: DataFrame, policy: str = "model", key: str
     """
     base = ensure_columns(base, ENRICHMENT)
     if policy == "resume":
-        return fill_from_checkpoint(base, results, key)
+        return fill_from_checkpoint(base, results, F.col("run_id"), key)
     if policy == "overwrite":
-        return overwrite_from_results(base, results, key)
+        return overwrite_from_results(base, results, F.col("run_id"), key)
     if policy != "model":
         raise ValueError(f"unknown policy {policy!r}")
     new = results.select(key, *[F.col(c).alias(f"_new_{c}") for c in FIELDS])
@@ -114,9 +143,10 @@ def prepared(raw: DataFrame) -> DataFrame:
 def enrich_reviews(
     spark: SparkSession, raw: DataFrame, root: str, out_path: str, run_id: int,
     factory: Callable[[], Annotate] = rule_annotator, limit_batches: int | None = None,
-    stage_out: str | None = None, policy: str = "model", partitions: int | None = None,
+    stage_out: str | None = None, policy: str = "model", partitions: int | None = None, in_flight: int = 1,
+    most_attempts: int | None = None, laid_out: bool = False,
 ) -> DataFrame:
-    """The whole job: raw reviews to a versioned enriched table.
+    """The whole job: raw reviews to a versioned enriched table, ``laid_out`` for filters on request.
 
     ``root`` holds the result store and survives between runs.  ``stage_out`` keeps the table before
     the model; without it that stage is only a plan.
@@ -126,6 +156,11 @@ def enrich_reviews(
         write_stage(base, stage_out)
         base = spark.read.parquet(stage_out)
     store_path = f"{root.rstrip('/')}/results"
-    run_enrichment(base, store_path, run_id, factory, limit_batches=limit_batches, partitions=partitions)
-    write_stage(layout(enriched_view(base, store_path, policy)), out_path)
+    run_enrichment(
+        base, store_path, run_id, factory, limit_batches=limit_batches, partitions=partitions, in_flight=in_flight, most_attempts=most_attempts)
+    out = layout(enriched_view(base, store_path, policy))
+    if laid_out:
+        write_enriched(out, out_path)
+        return read_laid_out(spark, out_path)
+    write_stage(out, out_path)
     return spark.read.parquet(out_path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from guestlens import fixed_values as fixed
@@ -12,7 +14,8 @@ from guestlens.registry.base import (
     as_text, light_reviews, query, rounded,
 )
 from guestlens.plans import playbook
-from guestlens.sources import files, paging, tables
+from guestlens.session import use_checkpoints
+from guestlens.sources import enriched, files, paging, tables
 
 UID = "CAST(review_uid AS BIGINT) AS review_uid"
 
@@ -169,6 +172,17 @@ _filtered("filter_combined", Spec(branch="Disneyland_California", month=6, topic
 _filtered("filter_nothing_set", Spec(), "false")
 
 
+@query("filter_laid_out", SEASONED + f""" SELECT {UID}, Branch, Season, CAST(visit_month AS BIGINT) AS visit_month FROM seasoned
+WHERE lower(Branch) = 'disneyland_paris' AND visit_month IN (3,4,5) AND lower(Reviewer_Location) = 'nation_3'""")
+def filter_laid_out(spark, sf):
+    """The same filters on the table with a folder for each park and stored keys."""
+    path = f"{use_checkpoints(spark).rstrip('/')}/enriched-{uuid.uuid4().hex}"
+    enriched.write_enriched(light_reviews(spark, sf), path)
+    wanted = Spec(branch="Disneyland_PARIS", season="spring", reviewer_location="Nation_3")
+    found = filters.apply_filters(enriched.read_laid_out(spark, path), wanted)
+    return as_bigint(found.select("review_uid", "Branch", "Season", "visit_month"), "visit_month")
+
+
 @query("filter_equal_map", REVIEWS + f" SELECT {UID} FROM reviews WHERE crowd_level = 'Crowded' AND Branch = 'Disneyland_Paris'")
 def filter_equal_map(spark, sf):
     wanted = {"crowd_level": "Crowded", "Branch": "Disneyland_Paris", "no_such_column": 1}

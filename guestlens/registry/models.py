@@ -115,7 +115,7 @@ SELECT CAST(r.review_uid AS BIGINT) AS review_uid, CAST(CASE WHEN l.review_uid I
 FROM reviews r LEFT JOIN last l ON l.review_uid = r.review_uid""")
 def result_upsert(spark, sf):
     r = light_reviews(spark, sf)
-    return _merged(joins.overwrite_from_results(r, _checkpoint(r).filter("seq = 2")))
+    return _merged(joins.overwrite_from_results(r, _checkpoint(r).filter("seq = 2"), order=F.col("seq")))
 
 
 @query("model_first_merge", CHECKPOINT_SQL + """
