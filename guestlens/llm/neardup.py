@@ -35,10 +35,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Leaders of a bucket, and the nodes up to which a bucket is compared in full at last.
-ROUNDS = 4
+ROUNDS = 2
 SMALL_BUCKET = 24
 #: Candidates of the join of differences that two classes compare in a round; the last round takes all that are left.
-CANDIDATES = (1, 16, None)
+CANDIDATES = (1, None)
 #: For sums of weights in floating point.
 ROUNDING = 1e-9
 SLICE_BYTES = 1 << 20
@@ -201,13 +201,13 @@ def difference_pairs(groups: DataFrame, texts: DataFrame, classes: DataFrame, th
     parts = stored(to_python(both, difference_rows, "hub binary, node binary, total long, kind int, shingle long, share double"), "differences")
     part = ["hub", "kind", "shingle"]
     end = F.col("kind") == END
-    frequent = parts.where(~end).groupBy(*part).agg(F.count("*").alias("n"))
     largest_text = parts.where(end).groupBy("hub").agg(F.max("total").alias("most"))
     # From rare to frequent parts; the end is the last one, which all nodes of a hub share.
     whole = W.partitionBy("hub", "node")
     order = whole.orderBy(F.asc_nulls_last("n"), "kind", "shingle")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    placed = parts.join(frequent, part, "left").withColumns({
+    known = parts.withColumn("n", F.when(~end, F.count("*").over(W.partitionBy(*part))))
+    placed = known.withColumns({
         "more": F.coalesce(F.sum("share").over(earlier), F.lit(0.0)),
         "less": F.coalesce(F.sum((F.col("kind") == LESS).cast("int")).over(earlier), F.lit(0)),
         "left": F.count("*").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)),
@@ -237,6 +237,22 @@ def difference_pairs(groups: DataFrame, texts: DataFrame, classes: DataFrame, th
     return found
 
 
+def merged_hubs(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(hub, node) with fewer hubs: a hub that is a node under better hubs hands its nodes to the best of them, twice.
+
+    Any text can be the hub of any others, so two nodes under one hub stay under one hub.
+    """
+    weights = members.groupBy("node").agg(F.min("weight").alias("weight"))
+    for _ in range(2):
+        groups = stored(groups, "hubs")
+        hubs = groups.select("hub").distinct()
+        own = hubs.join(weights, F.col("hub") == F.col("node")).select("hub", "weight")
+        better = groups.join(hubs.withColumnRenamed("hub", "node"), "node", "left_semi").join(own, "hub")
+        better = better.groupBy("node").agg(F.min_by("hub", F.struct("weight", "hub")).alias("best")).withColumnRenamed("node", "hub")
+        groups = groups.join(better, "hub", "left").select(F.coalesce("best", "hub").alias("hub"), "node").distinct()
+    return stored(groups, "hubs")
+
+
 def finished(members: DataFrame, texts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     """``known`` similarities with those that connect what is similar in large buckets of several classes."""
     def classes_of(rated: DataFrame) -> DataFrame:
@@ -247,7 +263,7 @@ def finished(members: DataFrame, texts: DataFrame, known: DataFrame, threshold:
     hub = F.min_by("node", F.struct("weight", "node")).alias("hub")
     several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n"), hub)
     several = several.where((F.col("one") != F.col("other")) & (F.col("n") > SMALL_BUCKET)).select("bucket", "hub")
-    groups = stored(members.join(several, "bucket").select("hub", "node").distinct(), "hubs")
+    groups = merged_hubs(members, members.join(several, "bucket").select("hub", "node").distinct())
     if groups.isEmpty():
         return known
     pairs = difference_pairs(groups, texts, classes, threshold)
@@ -270,8 +286,8 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     """Links (a, b) that connect similar nodes of the buckets (bucket, node).
 
     In each of ``ROUNDS`` rounds every bucket of several classes has one leader, which is compared with the nodes of other
-    classes: first the two nodes whose buckets are largest, as the text that all copies of a group were made from is in
-    most of the group's largest buckets, then others by a hash that differs from bucket to bucket.  What is left in buckets
+    classes: the two nodes whose buckets are largest, as the text that all copies of a group were made from is in
+    most of the group's largest buckets.  What is left in buckets
     of at most ``SMALL_BUCKET`` nodes is then compared in full, and in larger ones by ``finished``.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
@@ -283,10 +299,9 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n")).where("one <> other")
         if turn == ROUNDS:
             several = several.where(F.col("n") <= SMALL_BUCKET)
-        order = F.col("weight") if turn < 2 else F.xxhash64("node", "bucket")
-        open_rows = stored(placed.join(several.select("bucket"), "bucket", "left_semi").withColumn("order", order), "open-members")
-        first = F.row_number().over(W.partitionBy("bucket").orderBy("order", "node"))
-        last = SMALL_BUCKET if turn == ROUNDS else 1 + turn % 2
+        open_rows = stored(placed.join(several.select("bucket"), "bucket", "left_semi"), "open-members")
+        first = F.row_number().over(W.partitionBy("bucket").orderBy("weight", "node"))
+        last = SMALL_BUCKET if turn == ROUNDS else 1 + turn
         leaders = open_rows.withColumn("place", first).where(F.col("place") <= last)
         leaders = leaders if turn == ROUNDS else leaders.where(F.col("place") == last)
         leaders = leaders.select("bucket", F.col("node").alias("leader"), F.col("class").alias("theirs"))
@@ -296,6 +311,7 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(similarities(pairs, texts), "similarities")
         known = found if known is None else known.union(found)
+        discard(open_rows)
         if turn < ROUNDS:
             classes = components(known.where(F.col("similarity") >= threshold).select("a", "b"))
     known = finished(members, texts, known, threshold)
