@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from guestlens.llm.common import stored
+from guestlens.llm.common import discard, stored
 from guestlens.plans.search import small_enough
 
 WILDCARD = "<*>"
@@ -26,6 +26,8 @@ DEPTH = 3
 ALIKE = 0.6
 DOCUMENTS = 10
 SKETCH = 8
+#: Digits of a pair's hash.
+HASH = 16
 #: Rounds of splitting a leaf.
 ROUNDS = 2
 #: Shorter lines ("And.") recur by chance and stay.
@@ -59,7 +61,7 @@ def sketched(lines: str) -> Column:
     """The least hashes of a text's pairs of a long word and its successor, each with the first line that has it."""
     def pairs(line: Column, i: Column) -> Column:
         found = F.regexp_extract_all(line, F.lit(WORD_PAIR), F.lit(0))
-        return F.transform(found, lambda pair: F.named_struct(F.lit("key"), F.md5(pair), F.lit("line"), i))
+        return F.transform(found, lambda pair: F.named_struct(F.lit("key"), F.left(F.md5(pair), F.lit(HASH)), F.lit("line"), i))
 
     return F.slice(F.array_sort(F.flatten(F.transform(lines, pairs))), 1, SKETCH)
 
@@ -112,6 +114,7 @@ def recurring_lines(docs: DataFrame, text: str) -> DataFrame:
     document = F.coalesce(F.when(F.array_contains(inside, best["lead"]), best["key"]).otherwise(best["lead"]), F.lit(""))
     told = candidates.join(documents_of(lines), ["t1", "t2"], "left").withColumn("document", F.xxhash64(document)).drop("told")
     candidates = stored(told, "line-candidates")
+    discard(lines)
 
     seen = candidates.select("leaf", "hash", "document").distinct()
     enough = seen.select("leaf", "document").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= DOCUMENTS).select("leaf")
@@ -178,7 +181,7 @@ WITH texts AS (SELECT DISTINCT {text} AS t FROM {table} WHERE {text} IS NOT NULL
 split AS (SELECT t, list_transform(string_split(t, chr(10)), lambda l: {form}) AS lines FROM texts),
 numbered AS (SELECT t, unnest(string_split(t, chr(10))) AS raw, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM split),
 words AS (SELECT t, i, unnest(regexp_extract_all(line, '{WORD_PAIR}')) AS pair FROM numbered),
-pairs AS (SELECT t, md5(pair) AS key, min(i) AS i, count(*) AS times FROM words GROUP BY t, key),
+pairs AS (SELECT t, left(md5(pair), {HASH}) AS key, min(i) AS i, count(*) AS times FROM words GROUP BY t, key),
 spread AS (SELECT t, key, i, sum(times) OVER (PARTITION BY t ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM pairs),
 counted AS (SELECT t, key, i, count(*) OVER (PARTITION BY key) AS texts FROM spread WHERE coalesce(before, 0) < {SKETCH}),
 best AS (SELECT t, max({{'n': texts, 'key': key}}) AS b FROM counted GROUP BY t),
