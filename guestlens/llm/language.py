@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from guestlens.llm.common import byte_slices, to_python
+from guestlens.plans.search import small_enough
 
 UNKNOWN = "und"
 STATES = 8
@@ -25,14 +26,13 @@ SLOPE, HALF = np.float32(0.25), np.float32(0.5)
 #: Bytes of a window, and windows that are worked on at a time.
 WINDOW = 128
 WINDOWS = 2_048
-#: The sample that is learned from: the most frequent languages, documents of each, windows of each, and their characters.
-LANGUAGES = 64
+#: The sample that is learned from: documents of each language, windows of each and of all, and their characters.
 DOCUMENTS_PER_LANGUAGE = 600
 WINDOWS_PER_LANGUAGE = 3_000
+SAMPLE_WINDOWS = 200_000
 SAMPLE_CHARACTERS = 48
 STEPS = 260
 BATCH = 128
-LETTER = re.compile(r"[^\W\d_]")
 
 Weights = dict[str, np.ndarray]
 
@@ -45,6 +45,11 @@ class LanguageModel:
     weights: Weights
 
 
+def has_letter(text: str) -> bool:
+    """A letter in any script; number signs such as a half or a Roman numeral are none."""
+    return any(map(str.isalpha, text))
+
+
 def new_weights(languages: int, rng: np.random.Generator) -> Weights:
     h = STATES
     out: Weights = {"out": rng.normal(0, 0.3, (2 * h, languages)), "shift": np.zeros(languages)}
@@ -189,13 +194,15 @@ def pooled(raw: list[bytes], w: Weights) -> np.ndarray:
 def fit_language(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from rows where ``learn_from`` holds and neither ``text`` nor ``lang`` is null.
 
-    The sample is bounded by the constants above and chosen by hash, so a repeated run learns the same.  Without such
+    Every language is learned.  The sample is bounded by the constants above and chosen by hash, so a repeated run learns
+    the same.  Without such
     rows the model knows no language.
     """
     known = docs.where(learn_from).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     known = known.where("lang IS NOT NULL AND length(trim(text)) > 0")
-    often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    some = known.join(F.broadcast(often), "lang").where(
+    often = known.groupBy("lang").agg(F.count("*").alias("n"))
+    most = min(WINDOWS_PER_LANGUAGE, max(1, SAMPLE_WINDOWS // max(1, often.count())))
+    some = known.join(small_enough(often, 64), "lang").where(
         F.pmod(F.xxhash64("key", F.length("text")), F.lit(1_000_000)) < F.lit(1_000_000 * DOCUMENTS_PER_LANGUAGE) / F.col("n")
     )
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / SAMPLE_CHARACTERS).cast("int"))
@@ -203,8 +210,8 @@ def fit_language(docs: DataFrame, learn_from: Column, key: str = "doc_id", text:
         "lang", F.xxhash64("key", "at").alias("order"), F.expr(f"substring(text, at * {SAMPLE_CHARACTERS} + 1, {SAMPLE_CHARACTERS})").alias("piece")
     )
     rank = F.row_number().over(W.partitionBy("lang").orderBy("order", "piece"))
-    rows = sorted((r["lang"], r["piece"]) for r in pieces.withColumn("rank", rank).where(F.col("rank") <= WINDOWS_PER_LANGUAGE).collect())
-    rows = [r for r in rows if LETTER.search(r[1])]
+    rows = sorted((r["lang"], r["piece"]) for r in pieces.withColumn("rank", rank).where(F.col("rank") <= most).collect())
+    rows = [r for r in rows if has_letter(r[1])]
     languages = tuple(sorted({r[0] for r in rows}))
     if len(languages) < 2:
         return LanguageModel(languages, {})
@@ -216,7 +223,7 @@ def fit_language(docs: DataFrame, learn_from: Column, key: str = "doc_id", text:
 
 
 def predict_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], list[float]]:
-    spoken = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    spoken = [i for i, t in enumerate(texts) if t and has_letter(t)]
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if len(model.languages) == 1:
         for i in spoken:

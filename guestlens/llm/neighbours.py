@@ -37,7 +37,13 @@ def vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two next to their largest component: exact, and their squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def normalised(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -102,6 +108,7 @@ def best(scores: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[float,
 
 def cosines(entries: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Cosine of one query with each row, each by the same sums whatever rows are beside it."""
+    entries, query = scaled(entries), scaled(query)
     return (entries * query).sum(1) / (np.sqrt((entries * entries).sum(1)) * np.sqrt((query * query).sum()))
 
 
@@ -125,12 +132,12 @@ def top_of_block(entries: np.ndarray, ids: list[list[int]], allowed: np.ndarray,
 def entry_rows(table: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(h1, h2, vector, ids): distinct usable vectors with their ``k`` smallest ids."""
     x = F.col("vector")
-    square = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    usable = F.size(x).between(2, 1 << 20) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    usable = F.exists(x, lambda v: v != 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = table.select(F.col(key).alias("id"), F.col(vector).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL").where(usable)
-    rows = rows.where((square > 0) & (square < float("inf")))
     sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     rows = rows.where(F.size("vector") == (sizes["size"] if sizes else 0))
+    if sizes and sizes["size"] == 1:  # a second component of zero changes no cosine, and gives two halves
+        rows = rows.withColumn("vector", F.concat("vector", F.transform("vector", lambda v: v * 0)))
     return rows.select("id", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("second"), "vector").alias("h2"))
 
 

@@ -47,7 +47,7 @@ def test_held_out_accuracy(spark):
 
 def test_odd_inputs(spark):
     rows = [(1, "the cat and the dog " * 9, "en", "s"), (2, "le chat et le chien " * 9, "fr", "s"), (3, None, "en", "s"), (None, "", None, "s"),
-            (4, "1234 !! 55", "fr", "s"), (1, "the cat and the dog " * 9, "en", "s"), (5, "the dog " * 9_000, None, "s")]
+            (4, "1234 \u00bd\u00b2\u2163\u2460 !! 55", "fr", "s"), (1, "the cat and the dog " * 9, "en", "s"), (5, "the dog " * 9_000, None, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     model = L.fit_language(docs, F.lit(True))
     got = sorted((r.doc_id or 0, r.lang_pred) for r in L.label_languages(docs, model).collect())
@@ -57,3 +57,30 @@ def test_odd_inputs(spark):
     assert {(r.lang_pred, r.score) for r in L.label_languages(docs, nothing).collect()} == {("und", 0.0)}
     single = L.fit_language(docs.where("lang = 'en'"), F.lit(True))
     assert {r.lang_pred for r in L.label_languages(docs, single).collect()} == {"en", "und"}
+
+
+def test_every_language_is_learned(spark):
+    """More than 64 languages: the rarest is learned too."""
+    rows = [(i * 100 + j, chr(0x4E00 + i) * 30, f"l{i:03}") for i in range(70) for j in range(1 if i == 69 else 3)]
+    model = L.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model.languages) == 70
+
+
+def test_texts_equal_a_plain_run(spark):
+    """Each text's label and score by one window after another, without batches, slices or Spark."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
+    model = L.fit_language(docs.select("doc_id", "text", "lang"), learn)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op3_language(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        raw = L.to_bytes(r.text or "")
+        total = np.zeros(len(model.languages))
+        for at in range(0, len(raw), L.WINDOW):
+            part = raw[at : at + L.WINDOW]
+            row = np.frombuffer(part.ljust(L.WINDOW), np.uint8)[:, None].copy()
+            total += L.position_probabilities(row, model.weights)[: len(part), 0].sum(0)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0.0)
+        else:
+            assert abs(got[r.doc_id][1] - total.max() / len(raw)) < 1e-4
+            assert got[r.doc_id][0] == model.languages[total.argmax()] or np.sort(total)[-1] - np.sort(total)[-2] < 1e-3 * len(raw)

@@ -70,3 +70,14 @@ def test_odd_inputs(spark, monkeypatch):
     few = found(A.nearest(spark.createDataFrame([(50, [1.0, 2.0], ""), (1, [2.0, 4.0], ""), (2, [0.5, 0.1], "")], SCHEMA)))
     assert [j for j, _ in few[50]] == [1, 2]
     assert A.nearest(spark.createDataFrame([(1, [1.0, 2.0], "")], SCHEMA)).count() == 0
+
+
+def test_one_component_and_extreme_numbers(spark):
+    schema = "vec_id long, embedding array<double>, score string"
+    rows = [(50, [3.0]), (1, [2.0]), (2, [-1.0]), (3, [0.0]), (4, [5.0])]
+    got = found(A.nearest(spark.createDataFrame([(*r, "x") for r in rows], schema)))
+    assert got[50] == [(1, 1.0), (4, 1.0), (2, -1.0)]
+    rows = [(50, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [-1e300, -1e300]), (4, [1e-320, 0.0])]
+    got = found(A.nearest(spark.createDataFrame([(*r, "x") for r in rows], schema)))
+    assert [j for j, _ in got[50]] == [1, 2, 4, 3]
+    assert all(abs(s - want) < 1e-12 for (_, s), want in zip(got[50], [1.0, 0.5**0.5, 0.5**0.5, -1.0]))
