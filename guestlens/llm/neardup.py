@@ -164,35 +164,52 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return to_python(both.select("a", "b", "text_a", "text_b"), compared_rows, "a binary, b binary, similarity double")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node of the distinct edges (u, v) is either the end u of one edge or the end v of any."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"))))
+    roles = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.count("*").alias("n"))
+    return roles.where("up > 1 OR up = 1 AND n > 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, class): the least node that links (a, b) connect each node with.
+    """(node, class): the least node that links (a, b) connect each node with; no row for that node itself.
 
-    Large-star and small-star steps by turns: each node's neighbours are joined to the least one it knows, until nothing
-    changes.  All steps are aggregations and joins, and every turn is written to the shared folder.
+    Large-star and small-star steps by turns: each node's neighbours are joined to the least one it knows, until the edges
+    are stars.  All steps are aggregations and joins, and every turn is written to the shared folder.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not are_stars(edges):
         around = edges.union(edges.select("v", "u"))
         least = around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         finished_turn, edges = edges, stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         discard(finished_turn)
-        now = edges.agg(F.count("*"), F.sum(F.crc32("u").cast("decimal(30,0)") * F.crc32("v"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("class"))
 
 
-def with_class(df: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
+def with_class(df: DataFrame, classes: DataFrame | None, node: str, name: str) -> DataFrame:
     """Column ``name``: the class of ``node``, itself where it has no links."""
+    if classes is None:
+        return df.withColumn(name, F.col(node))
     found = df.join(classes.select(F.col("node").alias(node), F.col("class").alias("found")), node, "left")
     return found.withColumn(name, F.coalesce("found", node)).drop("found")
 
 
-def difference_pairs(groups: DataFrame, texts: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def extended(classes: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``classes`` (None: no links yet) after further links (a, b): components of the classes that these connect."""
+    if links.isEmpty():
+        return classes
+    if classes is None:
+        return components(links)
+    between = with_class(with_class(links, classes, "a", "class_a"), classes, "b", "class_b")
+    merged = components(between.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    moved = with_class(classes.select("node", F.col("class").alias("before")), merged, "before", "class")
+    return stored(moved.select("node", "class").union(merged), "classes")
+
+
+def difference_pairs(groups: DataFrame, texts: DataFrame, classes: DataFrame | None, threshold: float) -> DataFrame:
     """(a, b, bound): pairs of different classes under one hub whose similarity can reach the threshold, with an upper bound of it."""
     hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")).join(groups.select("hub").distinct(), "hub", "left_semi")
     told = hub_texts.agg(F.coalesce(F.sum(F.octet_length("hub_text") + 64), F.lit(0))).first()[0]
@@ -237,36 +254,32 @@ def difference_pairs(groups: DataFrame, texts: DataFrame, classes: DataFrame, th
     return found
 
 
-def merged_hubs(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(hub, node) with fewer hubs: a hub that is a node under better hubs hands its nodes to the best of them, twice.
+def merged_hubs(groups: DataFrame) -> DataFrame:
+    """(hub, weight, node) with fewer hubs: a hub that is a node under better hubs hands its nodes to the best of them, twice.
 
     Any text can be the hub of any others, so two nodes under one hub stay under one hub.
     """
-    weights = members.groupBy("node").agg(F.min("weight").alias("weight"))
     for _ in range(2):
-        groups = stored(groups, "hubs")
-        hubs = groups.select("hub").distinct()
-        own = hubs.join(weights, F.col("hub") == F.col("node")).select("hub", "weight")
-        better = groups.join(hubs.withColumnRenamed("hub", "node"), "node", "left_semi").join(own, "hub")
-        better = better.groupBy("node").agg(F.min_by("hub", F.struct("weight", "hub")).alias("best")).withColumnRenamed("node", "hub")
-        groups = groups.join(better, "hub", "left").select(F.coalesce("best", "hub").alias("hub"), "node").distinct()
-    return stored(groups, "hubs")
-
+        hubs = groups.select(F.col("hub").alias("node")).distinct()
+        best = F.min_by(F.struct("hub", "weight"), F.struct("weight", "hub")).alias("best")
+        better = groups.join(hubs, "node", "left_semi").groupBy("node").agg(best).withColumnRenamed("node", "hub")
+        moved = groups.join(better, "hub", "left")
+        hub, weight = F.coalesce("best.hub", "hub").alias("hub"), F.coalesce("best.weight", "weight").alias("weight")
+        groups = stored(moved.select(hub, weight, "node").distinct(), "hubs")
+    return groups
 
-def finished(members: DataFrame, texts: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """``known`` similarities with those that connect what is similar in large buckets of several classes."""
-    def classes_of(rated: DataFrame) -> DataFrame:
-        return components(rated.where(F.col("similarity") >= threshold).select("a", "b"))
 
-    classes = classes_of(known)
+def finished(members: DataFrame, texts: DataFrame, known: DataFrame, classes: DataFrame | None, threshold: float) -> DataFrame | None:
+    """``classes`` after what is similar in large buckets of several classes is connected, too; ``known`` is not compared again."""
     placed = with_class(members, classes, "node", "class")
-    hub = F.min_by("node", F.struct("weight", "node")).alias("hub")
+    hub = F.min(F.struct("weight", "node")).alias("hub")
     several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n"), hub)
-    several = several.where((F.col("one") != F.col("other")) & (F.col("n") > SMALL_BUCKET)).select("bucket", "hub")
-    groups = merged_hubs(members, members.join(several, "bucket").select("hub", "node").distinct())
+    several = several.where((F.col("one") != F.col("other")) & (F.col("n") > SMALL_BUCKET))
+    several = several.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.weight").alias("weight"))
+    groups = stored(members.select("bucket", "node").join(several, "bucket").select("hub", "weight", "node").distinct(), "hubs")
     if groups.isEmpty():
-        return known
-    pairs = difference_pairs(groups, texts, classes, threshold)
+        return classes
+    pairs = difference_pairs(merged_hubs(groups).select("hub", "node"), texts, classes, threshold)
     for most in CANDIDATES:
         rest = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         rest = with_class(with_class(rest, classes, "a", "class_a"), classes, "b", "class_b").where("class_a <> class_b")
@@ -277,13 +290,12 @@ def finished(members: DataFrame, texts: DataFrame, known: DataFrame, threshold:
         if found.isEmpty():
             break
         known = known.union(found)
-        if most is not None:
-            classes = classes_of(known)
-    return known
+        classes = extended(classes, found.where(F.col("similarity") >= threshold).select("a", "b"))
+    return classes
 
 
-def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that connect similar nodes of the buckets (bucket, node).
+def node_classes(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """(node, class) of the nodes of buckets (bucket, node) that similarity connects with a lesser one; None: there are none.
 
     In each of ``ROUNDS`` rounds every bucket of several classes has one leader, which is compared with the nodes of other
     classes: the two nodes whose buckets are largest, as the text that all copies of a group were made from is in
@@ -293,7 +305,7 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     weights = members.join(sizes, "bucket").groupBy("node").agg((-F.sum("size")).alias("weight"))
     members = stored(members.join(weights, "node"), "weighed-members")
-    known, classes = None, members.select("node", F.col("node").alias("class")).limit(0)
+    known = classes = None
     for turn in range(ROUNDS + 1):
         placed = with_class(members, classes, "node", "class")
         several = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count("*").alias("n")).where("one <> other")
@@ -312,10 +324,8 @@ def node_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         found = stored(similarities(pairs, texts), "similarities")
         known = found if known is None else known.union(found)
         discard(open_rows)
-        if turn < ROUNDS:
-            classes = components(known.where(F.col("similarity") >= threshold).select("a", "b"))
-    known = finished(members, texts, known, threshold)
-    return known.where(F.col("similarity") >= threshold).select("a", "b")
+        classes = extended(classes, found.where(F.col("similarity") >= threshold).select("a", "b"))
+    return finished(members, texts, known, classes, threshold)
 
 
 def near_duplicates(
@@ -341,7 +351,7 @@ def near_duplicates(
     busy = stored(full.join(shared, "bucket", "left_semi"), "busy-members")
     first = nodes.join(busy.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
     texts = stored(to_python(first.join(rows, "key").select("node", "text"), same_node, "node binary, text string").dropDuplicates(["node"]), "texts")
-    classes = components(node_links(busy, texts, threshold))
+    classes = node_classes(busy, texts, threshold)
     placed = with_class(nodes.select("key", "node", "mark"), classes, "node", "class")
     least = placed.where("node IS NOT NULL").groupBy("class").agg(F.min("key").alias("class_id"))
     alone = placed.where("node IS NULL").select("key", F.col("key").alias("class_id"), "mark")
