@@ -189,18 +189,21 @@ EMBEDDED = T.StructType([T.StructField("vector", T.ArrayType(T.FloatType())), T.
 def embed_text(
     text: Column, factory: Callable[[], Embed] = word_hash_embedder, call_size: int = CALL_SIZE, in_flight: int = 1,
 ) -> Column:
-    """Vector and error per text; null text counts as empty.  A text that fails has no vector and the reason."""
+    """Vector and error per text; null text counts as empty.  A text that fails has no vector and the reason.
+
+    Of equal texts in an Arrow batch the model reads one.
+    """
 
     @F.pandas_udf(EMBEDDED)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         embed = factory()
         with calls_in_flight(in_flight) as pool:
             for batch in batches:
-                answers = answers_of(embed, batch.fillna("").tolist(), call_size, pool)
+                places, texts = pd.factorize(batch.fillna("").astype(object))
+                answers = answers_of(embed, texts.tolist(), call_size, pool)
                 failed = [isinstance(a, Exception) for a in answers]
-                yield pd.DataFrame({
-                    "vector": pd.Series([None if f else np.asarray(a) for a, f in zip(answers, failed)], dtype=object),
-                    "error": [repr(a) if f else None for a, f in zip(answers, failed)],
-                })
+                vectors = pd.Series([None if f else np.asarray(a) for a, f in zip(answers, failed)], dtype=object)
+                errors = pd.Series([repr(a) if f else None for a, f in zip(answers, failed)], dtype=object)
+                yield pd.DataFrame({"vector": vectors.to_numpy()[places], "error": errors.to_numpy()[places]})
 
     return call(text)

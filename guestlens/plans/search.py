@@ -16,15 +16,16 @@ from guestlens.functions.vectors import NO_NORM, cosine_of_normed, with_norm
 from guestlens.operators.joins import last_per_key, not_yet_done
 from guestlens.operators.matching import BROADCAST_BYTES, Field, SpecMatcher
 from guestlens.operators.ranking import first_k_per_group
+from guestlens.session import use_checkpoints
 from guestlens.sources.files import append, read_if_present
 
 TOP_K = 5
 CANDIDATE_POOL = 150
-# Bytes of query vectors that go to the tasks at a time, and scores that a task works out at a time.
-QUERY_BYTES = 32 << 20
+# Bytes of vectors in double precision that a block of queries, or of rows, has, and scores that a task works out at a time.
+QUERY_BYTES = 16 << 20
 SCORES = 1 << 21
-# Scores this close to the best are summed again in order.
-ROUNDING = 1e-9
+# Rows that a task holds to tell copies from.
+HELD = 1 << 16
 
 
 def with_embeddings(
@@ -91,50 +92,65 @@ def top_by_similarity(
     )
 
 
-def query_blocks(asks: DataFrame, vector: str) -> list[DataFrame]:
-    """``asks`` in parts whose vectors take at most ``QUERY_BYTES`` each; usually one."""
-    told = asks.agg(F.coalesce(F.sum(F.coalesce(F.size(vector), F.lit(0)) * 8 + 64), F.lit(0))).first()[0]
-    parts = max(1, -(-told // QUERY_BYTES))
-    return [asks.filter(F.pmod(F.xxhash64("ask"), F.lit(parts)) == i) for i in range(parts)]
-
-
-class Asks:
-    """The queries of one group of items as a matrix, and the best ``k`` items of each so far."""
-
-    def __init__(self, ids: list, vectors: list, k: int) -> None:
-        self.ids, self.k = ids, k
-        size = max((len(v) for v in vectors if v is not None), default=0)
-        self.known = np.array([v is not None and len(v) == size for v in vectors])
-        self.matrix = np.array([v if ok else [0.0] * size for v, ok in zip(vectors, self.known)], float).reshape(len(ids), size)
-        self.lengths = guarded_lengths(self.matrix)
-        self.least = np.full(len(ids), -np.inf)
-        self.best = pd.DataFrame({"ask": pd.Series(dtype=int), "order": pd.Series(dtype=float), "key": pd.Series(dtype=object)})
-
-    def meet(self, keys: np.ndarray, vectors: np.ndarray, known: np.ndarray) -> None:
-        """Take in items.  Scores come from a matrix product; those near the best are then summed in order, as a column would."""
-        step = max(1, SCORES // max(len(self.ids), 1))
-        lengths = guarded_lengths(vectors)
-        for start in range(0, len(keys), step):
-            some = slice(start, start + step)
-            rough = vectors[some] @ self.matrix.T / np.outer(lengths[some], self.lengths)
-            rough[~known[some], :] = -np.inf
-            rough[:, ~self.known] = -np.inf
-            rough[np.isnan(rough)] = np.inf
-            place = max(0, len(rough) - self.k)
-            least = np.maximum(self.least, np.partition(rough, place, axis=0)[place]) if len(rough) >= self.k else self.least
-            row, ask = np.nonzero(rough >= least - ROUNDING)
-            score = np.zeros(len(row))
-            for d in range(vectors.shape[1]):
-                score += vectors[some][row, d] * self.matrix[ask, d]
-            score /= lengths[some][row] * self.lengths[ask]
-            score = np.where(np.isneginf(rough[row, ask]), -np.inf, np.where(np.isnan(score), np.inf, score))
-            found = pd.DataFrame({"ask": ask, "order": score, "key": keys[some][row]})
-            both = pd.concat([self.best, found]) if len(self.best) else found
-            both = both.sort_values(["ask", "order", "key"], ascending=[True, False, True])
-            self.best = both.groupby("ask", sort=False).head(self.k)
-            full = self.best.groupby("ask")["order"].agg(["size", "min"])
-            full = full[full["size"] == self.k]
-            self.least[full.index.to_numpy(int)] = full["min"].to_numpy(float)
+def flat_vectors(vector: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All numbers in a row, where each vector starts, and its size; size -1 if it or one of its numbers is missing."""
+    starts = vector.offsets.to_numpy(zero_copy_only=False)
+    sizes = np.diff(starts)
+    missing = pc.is_null(vector).to_numpy(zero_copy_only=False)
+    numbers = vector.values
+    if numbers.null_count:
+        holes = np.concatenate([[0], np.cumsum(pc.is_null(numbers).to_numpy(zero_copy_only=False))])
+        missing = missing | (holes[starts[1:]] > holes[starts[:-1]])
+        numbers = pc.fill_null(numbers, 0.0)
+    return numbers.to_numpy(zero_copy_only=False), starts[:-1], np.where(missing, -1, sizes)
+
+
+def copy_codes(vector: pa.ListArray, group: pa.Array | None = None) -> np.ndarray:
+    """One number for each different vector (of each group), bit by bit; all missing ones count as equal."""
+    numbers, starts, sizes = flat_vectors(vector)
+    raw, width = memoryview(np.ascontiguousarray(numbers)).cast("B"), numbers.itemsize
+    told = [None if n < 0 else bytes(raw[s * width : (s + n) * width]) for s, n in zip(starts.tolist(), sizes.tolist())]
+    codes = pd.factorize(np.array([*told, None], object)[:-1], use_na_sentinel=False)[0]
+    if group is None:
+        return codes
+    groups = group.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pd.factorize(groups * (len(codes) + 1) + codes)[0]
+
+
+def key_ranks(keys: pa.Array) -> np.ndarray:
+    ranks = np.empty(len(keys), np.int64)
+    ranks[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(keys))
+    return ranks
+
+
+def first_of_each(codes: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` of each run of equal codes."""
+    new = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+    return np.flatnonzero(np.arange(len(codes)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k)
+
+
+def cut_copies(k: int) -> Callable:
+    """Rows (group, key, vector) to those with the least ``k`` keys of each group and vector that the task holds."""
+
+    def cut(rows: pa.Table) -> pa.Table:
+        group, key, vector = (rows.column(i).combine_chunks() for i in range(3))
+        codes = copy_codes(vector, group)
+        order = np.lexsort((key_ranks(key), codes))
+        return rows.take(pa.array(order[first_of_each(codes[order], k)]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(cut(pa.Table.from_batches([batch])))
+            if sum(t.num_rows for t in held) > HELD:
+                held = [cut(pa.concat_tables(held))]
+                if held[0].num_rows > HELD // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from cut(pa.concat_tables(held)).to_batches()
+
+    return work
 
 
 def guarded_lengths(vectors: np.ndarray) -> np.ndarray:
@@ -145,67 +161,154 @@ def guarded_lengths(vectors: np.ndarray) -> np.ndarray:
     return np.where(lengths == 0, NO_NORM, lengths)
 
 
-def best_of_task(asks: pa.Table, k: int, ask_type: pa.DataType, key_type: pa.DataType) -> Callable:
-    """Rows (group, key, vector) to the task's best ``k`` of each ask: (ask, key, similarity)."""
+def directions(vectors: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 in single precision, and which cannot be told so: numbers that are not finite, very large or small."""
+    odd = ~((lengths == NO_NORM) | ((lengths > 1e-100) & (lengths < 1e100)))
+    return np.where(odd[:, None], 0.0, vectors / lengths[:, None]).astype(np.float32), odd
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed: dict = {}
-        for group, ask, vector in zip(*(asks.column(i).to_pylist() for i in range(3))):
-            ids, vectors = listed.setdefault(group, ([], []))
-            ids.append(ask)
-            vectors.append(vector)
-        held = {group: Asks(ids, vectors, k) for group, (ids, vectors) in listed.items()}
-        for batch in batches:
-            group_of = batch.column(0).dictionary_encode()
-            keys = np.array(batch.column(1).to_pylist(), object)
-            vector = batch.column(2)
-            sizes = pc.fill_null(pc.list_value_length(vector), -1).to_numpy(zero_copy_only=False)
-            codes = group_of.indices.to_numpy(zero_copy_only=False)
-            for code, group in enumerate(group_of.dictionary.to_pylist()):
-                if group not in held:
-                    continue
-                asked, rows = held[group], np.flatnonzero(codes == code)
-                size = asked.matrix.shape[1]
-                known = sizes[rows] == size
-                matrix = np.zeros((len(rows), size))
-                if known.any() and size:
-                    flat = pc.list_flatten(vector.take(pa.array(rows[known]))).cast(pa.float64())
-                    holes = pc.is_null(flat).to_numpy(zero_copy_only=False).reshape(-1, size).any(axis=1)
-                    matrix[known] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).reshape(-1, size)
-                    known[np.flatnonzero(known)[holes]] = False
-                asked.meet(keys[rows], matrix, known)
-        for asked in held.values():
-            best = asked.best
-            score = [None if o == -np.inf else float("nan") if o == np.inf else o for o in best["order"]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([asked.ids[i] for i in best["ask"]], ask_type), pa.array(best["key"].tolist(), key_type), pa.array(score, pa.float64())],
-                ["ask", "key", "similarity"],
-            )
+
+class Block:
+    """Different items and different queries with vectors of one size, and the best ``k`` keys of each query.
+
+    A product in single precision leaves out what cannot be among the best, by its largest possible error; the rest is
+    summed in double, in order, as a column would.
+    """
+
+    def __init__(self, items: np.ndarray, item_of_key: np.ndarray, ranks: np.ndarray, asks: np.ndarray, k: int) -> None:
+        self.items, self.asks, self.k = items, asks, k
+        order = np.lexsort((ranks, item_of_key))
+        kept = order[first_of_each(item_of_key[order], k)]
+        self.keys, self.ranks = kept, ranks
+        self.start = np.searchsorted(item_of_key[kept], np.arange(len(items) + 1))
+        self.item_lengths, self.ask_lengths = guarded_lengths(items), guarded_lengths(asks)
+        self.margin = np.float32((items.shape[1] + 8) * 2.0**-22)
+        self.best = (np.array([], int), np.array([], int), np.array([], float))
+
+    def scores(self, ask: np.ndarray, item: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(ask))
+        for d in range(self.items.shape[1]):
+            total += self.items[item, d] * self.asks[ask, d]
+        return total / (self.item_lengths[item] * self.ask_lengths[ask])
+
+    def settle(self, ask: np.ndarray, item: np.ndarray) -> None:
+        """Take these pairs into the best: (query, place of the key, similarity)."""
+        score, copies = self.scores(ask, item), self.start[item + 1] - self.start[item]
+        within = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        found = (np.repeat(ask, copies), self.keys[np.repeat(self.start[item], copies) + within], np.repeat(score, copies))
+        ask, key, score = (np.concatenate(both) for both in zip(self.best, found))
+        order = np.lexsort((self.ranks[key], -np.where(np.isnan(score), np.inf, score), ask))
+        order = order[first_of_each(ask[order], self.k)]
+        self.best = (ask[order], key[order], score[order])
+
+    def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, places of keys and similarities: at most ``k`` for each query."""
+        with np.errstate(all="ignore"):
+            turned, odd_items = directions(self.items, self.item_lengths)
+            asked, odd_asks = directions(self.asks, self.ask_lengths)
+            step = max(self.k, SCORES // max(len(asked), 1))
+            top = np.full((len(asked), self.k), -np.inf, np.float32)
+            waiting: list[tuple] = []
+            bound = np.full(len(asked), -np.inf, np.float32)
+            for start in range(0, len(turned), step):
+                odd = odd_items[start : start + step]
+                rough = asked @ turned[start : start + step].T
+                rough[:, odd] = np.inf
+                rough[odd_asks, :] = np.inf
+                hit = np.flatnonzero(rough.max(axis=1) >= bound)
+                rough = rough[hit]
+                both = np.concatenate([top[hit], np.where(odd, np.float32(-np.inf), rough)], axis=1)  # odd ones raise no bound
+                top[hit] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+                top[odd_asks] = -np.inf
+                bound[hit] = top[hit].min(axis=1) - self.margin
+                ask, item = np.nonzero(rough >= bound[hit][:, None])
+                waiting.append((hit[ask], item + start, rough[ask, item]))
+                if sum(len(w[0]) for w in waiting) > SCORES or start + step >= len(turned):
+                    ask, item, about = (np.concatenate(c) for c in zip(*waiting))
+                    near, waiting = about >= bound[ask], []
+                    self.settle(ask[near], item[near])
+            return self.best
+
+
+def best_of_block(k: int, ask_type: pa.DataType, key_type: pa.DataType) -> Callable:
+    """Rows (group, key, vector) and (group, ask, query_vector) of one block to each ask's best ``k``: (ask, key, similarity)."""
+
+    def matrix(numbers: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        return numbers[starts[:, None] + np.arange(size)].astype(float)
+
+    def work(items: pa.Table, asks: pa.Table) -> pa.Table:
+        if not (items.num_rows and asks.num_rows):
+            return pa.table({"ask": pa.array([], ask_type), "key": pa.array([], key_type), "similarity": pa.array([], pa.float64())})
+        key, vector = (items.column(n).combine_chunks() for n in ("key", "vector"))
+        ask, asked = (asks.column(n).combine_chunks() for n in ("ask", "query_vector"))
+        ranks, codes = key_ranks(key), copy_codes(vector)
+        numbers, starts, sizes = flat_vectors(vector)
+        ask_numbers, ask_starts, ask_sizes = flat_vectors(asked)
+        found: list[tuple] = []
+        for size in np.unique(ask_sizes):
+            mine = np.flatnonzero(ask_sizes == size)
+            known = np.flatnonzero(sizes == size) if size >= 0 else np.array([], int)
+            if len(known):
+                _, one, item = np.unique(codes[known], return_index=True, return_inverse=True)
+                block = Block(matrix(numbers, starts[known[one]], size), item, ranks[known], matrix(ask_numbers, ask_starts[mine], size), k)
+                a, place, score = block.search()
+                found.append((mine[a], known[place], score, np.zeros(len(a), bool)))
+            if len(known) < k:
+                rest = np.flatnonzero(sizes != size) if size >= 0 else np.arange(len(sizes))
+                rest = rest[np.argsort(ranks[rest])][:k]
+                n = len(mine) * len(rest)
+                found.append((np.repeat(mine, len(rest)), np.tile(rest, len(mine)), np.zeros(n), np.ones(n, bool)))
+        a, place, score, missing = (np.concatenate(c) for c in zip(*found))
+        return pa.table({
+            "ask": ask.take(pa.array(a)).cast(ask_type), "key": key.take(pa.array(place)).cast(key_type),
+            "similarity": pa.array(score, pa.float64(), mask=missing, from_pandas=False),
+        })
 
     return work
 
 
+def blocks_of(rows: DataFrame, vector: str, name: str) -> DataFrame:
+    """For each group, into how many blocks of ``QUERY_BYTES`` its rows go."""
+    told = F.sum(F.coalesce(F.size(vector), F.lit(0)) * 8 + 64)
+    return rows.groupBy("group").agg(F.ceil(told / QUERY_BYTES).cast("int").alias(name))
+
+
 def search_matches(
     matcher: SpecMatcher, asking: DataFrame, query: str, key: str, vector: str = "vector", query_vector: str = "query_vector", k: int = TOP_K,
 ) -> DataFrame:
     """The most similar of all matching rows, exactly.  ``asking`` has ``query``, the matcher's key and the query's vector.
 
     Queries of one specification with one vector are asked once.  A row is listed once for each specification that it
-    matches and meets that one's queries as a matrix product in its task, which keeps ``k`` rows of each.  So what is
-    shuffled is at most ``k`` keys and scores for each task and different query.  Queries beyond ``QUERY_BYTES`` take further passes.
-    A missing vector sorts last, ties go by key.
+    matches; of rows with one vector a task leaves the first ``k``, as no more can be found.  What is left is written to the
+    checkpoint folder, so rows are read and matched once, however many queries there are.  Then each specification's rows
+    and queries are dealt into blocks of ``QUERY_BYTES``, and each block of rows meets each block of queries in a task,
+    as a matrix product that keeps ``k`` rows of each query.  A missing vector, or one of another size than the query's,
+    sorts last, ties go by key.  The products grow with different vectors times different queries; nothing else does.
     """
-    group = matcher.spec_key
+    group, spark = matcher.spec_key, asking.sparkSession
     told = asking.select(F.col(query).alias("query"), F.col(group).alias("group"), F.col(query_vector).alias("query_vector"))
     asks = told.groupBy("group", "query_vector").agg(F.min("query").alias("ask"))
-    pairs = matcher.matches(key, vector).select(F.col(group).alias("group"), F.col(key).alias("key"), vector)
+    pairs = matcher.matches(key, vector).select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(vector).alias("vector"))
+    use_checkpoints(spark)
+    items = pairs.mapInArrow(cut_copies(k), pairs.schema).checkpoint()
+
+    many, few = blocks_of(items, "vector", "item_blocks"), blocks_of(asks, "query_vector", "ask_blocks")
+    dealt = many.join(few, many["group"].eqNullSafe(few["group"])).select(many["group"].alias("of"), "item_blocks", "ask_blocks").checkpoint()
+    dealt = small_enough(dealt, 64)
+    tasks = dealt.agg(F.coalesce(F.sum(F.col("item_blocks").cast("bigint") * F.col("ask_blocks")), F.lit(0))).first()[0]
+    parts = max(1, min(4 * tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    block = ["group", "item_block", "ask_block"]
+
+    def placed(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        met = rows.join(dealt, rows["group"].eqNullSafe(dealt["of"])).drop("of")
+        met = met.withColumn(f"{own}_block", F.pmod(F.xxhash64(by), F.col(f"{own}_blocks")).cast("int"))
+        met = met.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
+        return met.drop("item_blocks", "ask_blocks").repartition(parts, *block)
+
     ask_type, key_type = told.schema["query"].dataType, pairs.schema["key"].dataType
     schema = T.StructType([T.StructField("ask", ask_type), T.StructField("key", key_type), T.StructField("similarity", T.DoubleType())])
-    found = None
-    for block in query_blocks(asks.select("group", "ask", "query_vector"), "query_vector"):
-        work = best_of_task(block.toArrow(), k, to_arrow_type(ask_type), to_arrow_type(key_type))
-        part = pairs.mapInArrow(work, schema)
-        found = part if found is None else found.unionAll(part)
+    left, right = placed(items, "vector", "item", "ask"), placed(asks, "ask", "ask", "item")
+    work = best_of_block(k, to_arrow_type(ask_type), to_arrow_type(key_type))
+    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(work, schema)
     top = first_k_per_group(found, ["ask"], [F.desc_nulls_last("similarity"), F.col("key")], k, F.col("key"), salts=8)
     same = told["group"].eqNullSafe(asks["group"]) & told["query_vector"].eqNullSafe(asks["query_vector"])
     fanned = told.join(asks, same).select("query", "ask").join(top, "ask")
@@ -226,9 +329,14 @@ def filtered_search(
         wanted = F.when(F.size(f"_on_{name}") > 0, F.col(f"_on_{name}")) if many else F.col(f"_on_{name}")
         return Field(name, F.col(name), wanted, many=many, several=many)
 
-    specs = queries.select(query, query_vector, *[F.col(c).alias(f"_on_{c}") for c in on])
-    matcher = SpecMatcher(items.select(key, vector, *on), specs, [field(c) for c in on], query)
-    asking = specs.select(query, query_vector).withColumn("_query", F.col(query))
+    names = [f"_on_{c}" for c in on]
+    asked = queries.select(query, query_vector, *[F.col(c).alias(n) for c, n in zip(on, names)])
+    specs = asked.groupBy(*names).agg(F.min(query).alias("_spec"))  # equal filters are matched once
+    same = F.lit(True)
+    for n in names:
+        same = same & asked[n].eqNullSafe(specs[n])
+    matcher = SpecMatcher(items.select(key, vector, *on), specs, [field(c) for c in on], "_spec")
+    asking = asked.join(specs, same).select(F.col(query).alias("_query"), query_vector, "_spec")
     found = search_matches(matcher, asking, "_query", key, vector, query_vector, k).withColumnRenamed("_query", query)
     if not shown:
         return found
